@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op2_best_fit_packing
+from .simhash import op9_golay_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op9_golay_simhash": op9_golay_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
