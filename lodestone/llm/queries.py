@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op5_centroid_langid
 from .packing import op2_best_fit_packing
 from .simhash import op9_golay_simhash
+from .warc import op3_warc_zstd
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_warc_zstd": op3_warc_zstd,
+    "op5_centroid_langid": op5_centroid_langid,
     "op9_golay_simhash": op9_golay_simhash,
 }
 
