@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op5_centroid_langid
 from .packing import op2_best_fit_packing
+from .sharding import op8_label_propagation_sharding
 from .simhash import op9_golay_simhash
 from .warc import op3_warc_zstd
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc_zstd": op3_warc_zstd,
     "op5_centroid_langid": op5_centroid_langid,
+    "op8_label_propagation_sharding": op8_label_propagation_sharding,
     "op9_golay_simhash": op9_golay_simhash,
 }
 
