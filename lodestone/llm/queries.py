@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_extract import op10_host_html_extraction
 from .langid import op5_centroid_langid
 from .packing import op2_best_fit_packing
 from .sharding import op8_label_propagation_sharding
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_centroid_langid": op5_centroid_langid,
     "op8_label_propagation_sharding": op8_label_propagation_sharding,
     "op9_golay_simhash": op9_golay_simhash,
+    "op10_host_html_extraction": op10_host_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
