@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .html_extract import op10_host_html_extraction
 from .langid import op5_centroid_langid
 from .packing import op2_best_fit_packing
+from .pii import op4_skip_chain_pii
 from .sharding import op8_label_propagation_sharding
 from .simhash import op9_golay_simhash
 from .warc import op3_warc_zstd
@@ -16,6 +17,7 @@ from .warc import op3_warc_zstd
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc_zstd": op3_warc_zstd,
+    "op4_skip_chain_pii": op4_skip_chain_pii,
     "op5_centroid_langid": op5_centroid_langid,
     "op8_label_propagation_sharding": op8_label_propagation_sharding,
     "op9_golay_simhash": op9_golay_simhash,
