@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op1_template_decontamination
 from .html_extract import op10_host_html_extraction
 from .langid import op5_centroid_langid
 from .packing import op2_best_fit_packing
@@ -15,6 +16,7 @@ from .simhash import op9_golay_simhash
 from .warc import op3_warc_zstd
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_template_decontamination": op1_template_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc_zstd": op3_warc_zstd,
     "op4_skip_chain_pii": op4_skip_chain_pii,
