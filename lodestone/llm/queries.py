@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op1_template_decontamination
+from .embed_dedup import op6_rotation_code_dedup
 from .html_extract import op10_host_html_extraction
 from .langid import op5_centroid_langid
 from .packing import op2_best_fit_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_zstd": op3_warc_zstd,
     "op4_skip_chain_pii": op4_skip_chain_pii,
     "op5_centroid_langid": op5_centroid_langid,
+    "op6_rotation_code_dedup": op6_rotation_code_dedup,
     "op8_label_propagation_sharding": op8_label_propagation_sharding,
     "op9_golay_simhash": op9_golay_simhash,
     "op10_host_html_extraction": op10_host_html_extraction,
