@@ -14,6 +14,7 @@ from .packing import op2_best_fit_packing
 from .pii import op4_skip_chain_pii
 from .sharding import op8_label_propagation_sharding
 from .simhash import op9_golay_simhash
+from .suffix_dedup import op7_suffix_array_dedup
 from .warc import op3_warc_zstd
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_skip_chain_pii": op4_skip_chain_pii,
     "op5_centroid_langid": op5_centroid_langid,
     "op6_rotation_code_dedup": op6_rotation_code_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_label_propagation_sharding": op8_label_propagation_sharding,
     "op9_golay_simhash": op9_golay_simhash,
     "op10_host_html_extraction": op10_host_html_extraction,
