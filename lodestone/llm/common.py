@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -28,6 +33,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, so that Python objects are made for few rows at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; idle workers would keep it from the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this system's C library
+
+
+def releasing(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f, a function of a partition's batches, with release() at the end of each task."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

@@ -10,10 +10,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import cut, table
+from .common import cut, releasing, slices, table
 
 DIM = 2048
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @cache
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, lang: str = "lang", per_lang: int = 1000, centroids: in
                 keep = tf.any(axis=1)
                 yield pd.DataFrame({"lang": own["lang"][keep], "tf": [r.tobytes() for r in tf[keep]]})
 
-    sample = cut(chosen.mapInPandas(vectors, "lang string, tf binary"))
+    sample = cut(chosen.mapInPandas(releasing(vectors), "lang string, tf binary"))
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(dim), 0
@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: pd.DataFrame, dim: int = DIM) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, c, which, low, langs = sent.value
-        for b in batches:
+        for b in slices(batches):
             texts, names, scores, out = b.column("text").to_pylist(), [], [], []
             for at in range(0, len(texts), 256):
                 tf = counts(texts[at : at + 256], dim)
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: pd.DataFrame, dim: int = DIM) -> DataFrame:
     schema = T.StructType(list(kept.schema))
     for name, kind in zip(added, ("string", "double", "boolean"), strict=True):
         schema = schema.add(name, kind)
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(releasing(run), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

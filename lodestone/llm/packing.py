@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, table
+from .common import cut, releasing, slices, table
 
 #: One piece of a document in the packed members of a bin.
 PIECE = np.dtype([("doc_id", "<i8"), ("known", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
@@ -30,7 +30,7 @@ class ChunkEncoder:
     those of its chunks in a row. Each chunk is encoded by the tokenizer itself.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 found.append(_pieces(b.select(["doc_id"]).to_pandas(), b.column("text").to_pylist(), vocabulary, capacity, end_id))
         if not found:
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
         return _bins(pdf["size"].to_numpy(np.int64), pdf["members"].tolist(), capacity, full_at).astype({"size": "int32"})
 
     schema = "size int, members binary, done boolean"
-    cur = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(first, schema))
+    cur = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(first), schema))
     parts, left = [cur.where("done")], cur.where("NOT done")
     n, groups, before = left.count(), None, None
     while n > 1 and before != 1 and (groups is None or n < 0.99 * last):

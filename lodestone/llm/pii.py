@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import releasing, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -237,7 +237,7 @@ def personal_data(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Data
     kept = docs.drop(*added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, base, spans = [], [], []
             for t in b.column("text").to_pylist():
                 own, all_of = find_spans(t, model)
@@ -248,14 +248,14 @@ def personal_data(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Data
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.list_(pa.int64())), pa.array(base, pa.string()), pa.array(spans, pa.string())], names=[*b.schema.names, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, base_counts array<long>, base_spans string, spans string")
+    return kept.mapInArrow(releasing(run), f"{fields}, base_counts array<long>, base_spans string, spans string")
 
 
 def redact(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """docs (text and any other columns) with each span replaced by its kind in angle brackets; overlapping spans become one, of the first's kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at, out = b.schema.names.index("text"), []
             for t in b.column("text").to_pylist():
                 _, spans = find_spans(t, model)
@@ -267,7 +267,7 @@ def redact(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 out.append("".join([*parts, t[last:]]) if spans else t)
             yield b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, cut, table
+from .common import components, cut, releasing, slices, table
 
 _GENERATOR = 0xAE3  # x^11+x^9+x^7+x^6+x^5+x+1
 
@@ -91,11 +91,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
     names = [f"f{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = np.array([fingerprint(t or b"", shingle, words) for t in b.column("text").to_pylist()], dtype=np.uint64).reshape(-1, words)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(found[:, i].view(np.int64)) for i in range(words))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(releasing(run), "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def exact_and_segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,9 +224,9 @@ def links(classes: DataFrame, within: int, keys: Callable, words: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     fields = ", ".join(f"{n} long" for n in names)
-    rows = classes.where("node IS NOT NULL").mapInArrow(expand, f"key long, own boolean, node long, {fields}")
+    rows = classes.where("node IS NOT NULL").mapInArrow(releasing(expand), f"key long, own boolean, node long, {fields}")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(releasing(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, within: int = 42, keys: Callable = segment_and_bits_keys) -> DataFrame:

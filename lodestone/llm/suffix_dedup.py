@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, table
+from .common import cut, releasing, slices, table
 from .suffix_array import repeat_groups, suffix_array, words
 
 GRAM = 16
@@ -27,7 +28,7 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 
 def _packed(*parts) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts, protocol=5))
 
 
 def _unpacked(raw: bytes) -> tuple:
@@ -142,19 +143,37 @@ def _row(doc: int | None, text: bytes, spans: list[tuple[int, int]]) -> tuple:
     return doc, len(text), sum(e - s for s, e in spans), len(spans), kept.hexdigest()
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, blob): documents, compressed together with those of their bucket in the batch."""
+    for b in batches:
+        ids, texts, rows = b.column("doc_id").to_pylist(), b.column("text").to_pylist(), []
+        for bucket, (which,) in _split(_bucket(np.array(ids, np.int64), buckets), np.arange(len(ids))):
+            rows.append((bucket, _packed([ids[i] for i in which.tolist()], [texts[i] for i in which.tolist()])))
+        if rows:
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _documents(docs: pa.Table) -> Iterator[tuple[int, bytes]]:
+    for raw in docs.column("blob").to_pylist():
+        yield from zip(*_unpacked(raw), strict=True)
+
+
+def _name(doc: int, text: bytes) -> tuple:
+    """Tells rows apart that share a doc_id."""
+    return doc, len(text), zlib.crc32(text)
+
+
 def _cut_out(docs: pa.Table, shared: pa.Table, length: int, shards: int) -> pa.Table:
-    """Of one bucket: rows for shards (distinct segments with the smallest document), what is needed to finish its
-    documents (kind `rest`), and the finished rows of documents that share nothing."""
+    """Of one bucket: rows for shards (distinct segments with the smallest document of the bucket), and where they occur (kind `rest`)."""
     marks: dict[int, list] = {}
     for raw in shared.column("blob").to_pylist():
         for d, (mm,) in _split(*_unpacked(raw)):
             marks.setdefault(d, []).append(mm)
-    number, low, cuts, left, done = {}, [], [], [], []
+    number, low, cuts, names = {}, [], [], []
     occ_row, occ_at, occ_seg = [], [], []
-    for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+    for d, t in _documents(docs):
         mine = marks.get(d)
         if mine is None or len(t) < length:
-            done.append(_row(d, t, []))
             continue
         at, m, n = segments(t, length)
         end = np.append(at[1:], n)
@@ -167,20 +186,20 @@ def _cut_out(docs: pa.Table, shared: pa.Table, length: int, shards: int) -> pa.T
                 cuts.append(anchor)
             elif d < low[k]:
                 low[k] = d
-            occ_row.append(len(left))
+            occ_row.append(len(names))
             occ_at.append(s)
             occ_seg.append(k)
-        left.append((d, t))
-    rows = [("done", 0, _packed(done))] if done else []
-    bucket = int(docs.column("bucket")[0].as_py()) if docs.num_rows else 0
-    if left:
-        rows.append(("rest", 0, _packed([d for d, _ in left], [t for _, t in left], np.array(occ_row, np.int32), np.array(occ_at, np.int64), np.array(occ_seg, np.int32))))
-    keys, low_of = list(number), np.array(low, np.int64)
-    to = (np.array(cuts, np.uint64) % np.uint64(shards)).astype(np.int64)
-    for shard, (which,) in _split(to, np.arange(len(keys))):
-        own = [keys[i] for i in which.tolist()]
-        rows.append(("segments", shard, _packed(bucket, which.astype(np.int32), low_of[which], np.array([len(k) for k in own], np.int32), b"".join(own))))
-    return pa.table({"kind": pa.array([r[0] for r in rows], pa.string()), "bucket": pa.array([bucket] * len(rows), pa.int64()), "to": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+        names.append(_name(d, t))
+    rows = []
+    if names:
+        bucket = int(docs.column("bucket")[0].as_py())
+        rows.append(("rest", bucket, shards + bucket % shards, _packed(names, np.array(occ_row, np.int32), np.array(occ_at, np.int64), np.array(occ_seg, np.int32))))
+        keys, low_of = list(number), np.array(low, np.int64)
+        to = (np.array(cuts, np.uint64) % np.uint64(shards)).astype(np.int64)
+        for shard, (which,) in _split(to, np.arange(len(keys))):
+            own = [keys[i] for i in which.tolist()]
+            rows.append(("segments", bucket, shard, _packed(bucket, which.astype(np.int32), low_of[which], np.array([len(k) for k in own], np.int32), b"".join(own))))
+    return pa.table({"kind": pa.array([r[0] for r in rows], pa.string()), "bucket": pa.array([r[1] for r in rows], pa.int64()), "to": pa.array([r[2] for r in rows], pa.int64()), "blob": pa.array([r[3] for r in rows], pa.binary())})
 
 
 def smallest_documents(text: np.ndarray, size: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
@@ -205,7 +224,7 @@ def smallest_documents(text: np.ndarray, size: np.ndarray, low: np.ndarray, leng
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, blob): for each segment of a bucket, runs (first start, number, smallest document)."""
+    """Rows (kind, bucket, blob): for each segment of a bucket, runs (first start, number, smallest document); other kinds pass."""
 
     def solve(parts: list[tuple]) -> Iterator[tuple]:
         number, low, keys, owners = {}, [], [], []
@@ -238,52 +257,56 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
             at = np.repeat(run_of[mine], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             yield bucket, _packed(np.repeat(which, c), inside[at].astype(np.int32), run_size[at].astype(np.int32), run_low[at])
 
-    def shard_parts() -> Iterator[list[tuple]]:
-        held, to = [], None
-        for b in batches:
-            for t, raw in zip(b.column("to").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                if to is not None and t != to:
-                    yield held
-                    held = []
-                to = t
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in found], pa.string()), "bucket": pa.array([r[1] for r in found], pa.int64()), "blob": pa.array([r[2] for r in found], pa.binary())})
+
+    held, now = [], None
+    for b in _and_end(batches):
+        for kind, bucket, to, raw in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "to", "blob")), strict=True) if b is not None else [(None, None, None, None)]:
+            if held and to != now:
+                for k, r in solve(held):
+                    yield rows([("found", k, r)])
+                held = []
+            now = to
+            if kind == "segments":
                 held.append(_unpacked(raw))
-        if held:
-            yield held
-
-    for parts in shard_parts():
-        for bucket, raw in solve(parts):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "blob": pa.array([raw], pa.binary())})
-
-
-def _finish(rest: pa.Table, found: pa.Table, length: int) -> pa.Table:
+            elif kind:
+                yield rows([(kind, bucket, raw)])
+
+
+def _and_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _finish(docs: pa.Table, found: pa.Table, length: int) -> pa.Table:
+    """The result's rows of one bucket."""
+    got, cuts = [], {}
+    kinds = list(zip(found.column("kind").to_pylist(), found.column("blob").to_pylist(), strict=True))
+    got = [_unpacked(raw) for kind, raw in kinds if kind == "found"]
+    if got:
+        seg, at, n, low = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.argsort(seg, kind="stable")
+        seg, at, n, low = seg[order], at[order], n[order], low[order]
+        for names, row, start, own in (_unpacked(raw) for kind, raw in kinds if kind == "rest"):
+            first, last = np.searchsorted(seg, own), np.searchsorted(seg, own, side="right")
+            c = last - first
+            k = np.repeat(first, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            r, s = np.repeat(row, c), np.repeat(start, c) + at[k]
+            e = s + n[k] + length - 1
+            later = low[k] < np.array([x[0] for x in names], np.int64)[r]
+            r, s, e = r[later], s[later], e[later]
+            bounds = np.searchsorted(r, np.arange(len(names) + 1))
+            cuts |= {name: (s[bounds[i] : bounds[i + 1]], e[bounds[i] : bounds[i + 1]]) for i, name in enumerate(names) if bounds[i] < bounds[i + 1]}
     out = []
-    got = [_unpacked(raw) for raw in found.column("blob").to_pylist()]
-    seg, at, n, low = ([np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 4)
-    order = np.argsort(seg, kind="stable")
-    seg, at, n, low = seg[order], at[order], n[order], low[order]
-    for kind, raw in zip(rest.column("kind").to_pylist(), rest.column("blob").to_pylist(), strict=True):
-        if kind == "done":
-            out += _unpacked(raw)[0]
-            continue
-        ids, texts, row, start, own = _unpacked(raw)
-        first, last = np.searchsorted(seg, own), np.searchsorted(seg, own, side="right")
-        c = last - first
-        k = np.repeat(first, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        r, s = np.repeat(row, c), np.repeat(start, c) + at[k]
-        e = s + n[k] + length - 1
-        later = low[k] < np.array(ids, np.int64)[r]
-        r, s, e = r[later], s[later], e[later]
-        bounds = np.searchsorted(r, np.arange(len(ids) + 1))
-        for i, (d, t) in enumerate(zip(ids, texts, strict=True)):
-            a, b = s[bounds[i] : bounds[i + 1]], e[bounds[i] : bounds[i + 1]]
-            spans = []
-            if len(a):
-                order = np.argsort(a, kind="stable")
-                a, b = a[order], np.maximum.accumulate(b[order])
-                new = np.concatenate([[True], a[1:] > b[:-1]])  # runs that touch are one
-                f = np.flatnonzero(new)
-                spans = list(zip(a[f].tolist(), b[np.append(f[1:], len(a)) - 1].tolist(), strict=True))
-            out.append(_row(d, t, spans))
+    for d, t in _documents(docs):
+        spans = []
+        if cuts and (mine := cuts.get(_name(d, t))):
+            order = np.argsort(mine[0], kind="stable")
+            a, b = mine[0][order], np.maximum.accumulate(mine[1][order])
+            f = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))  # runs that touch are one
+            spans = list(zip(a[f].tolist(), b[np.append(f[1:], len(a)) - 1].tolist(), strict=True))
+        out.append(_row(d, t, spans))
     cols = list(zip(*out, strict=True)) if out else [[]] * 5
     return pa.table([pa.array(c, pa.string() if i == 4 else pa.int64()) for i, c in enumerate(cols)], names=[c.split()[0] for c in OUT.split(", ")])
 
@@ -311,18 +334,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_docs: int = 1000, c
     nameless = rows.where("doc_id IS NULL").select("doc_id", n.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     total = narrow.count() - c
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, shards = max(1, -(-total // bucket_docs)), parts
+    buckets, shards = max(1, -(-total // bucket_docs)), 4 * parts
     known = rows.where("doc_id IS NOT NULL").withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit("second")))
     mine = known.join(skip, ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "text")
-    sent = mine.mapInArrow(lambda it: _anchored(it, length, shards, buckets, common), "to long, blob binary")
-    shared = sent.repartition(parts, "to").mapInArrow(lambda it: _shared(it, buckets), "bucket long, blob binary")
-    bucket = F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 17)), F.lit(buckets).cast("long"))
-    dealt = mine.select("doc_id", "text", bucket.alias("bucket"))
-    parted = cut(dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(lambda a, b: _cut_out(a, b, length, shards), "kind string, bucket long, to long, blob binary"))
-    segs = parted.where("kind = 'segments'").select("to", "blob")
-    found = segs.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(lambda it: _sorted_shards(it, length), "bucket long, blob binary")
-    rest = parted.where("kind <> 'segments'").select("bucket", "kind", "blob")
-    done = rest.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(lambda a, b: _finish(a, b, length), OUT)
+    sent = mine.mapInArrow(releasing(lambda it: _anchored(slices(it, 4000), length, shards, buckets, common)), "to long, blob binary")
+    shared = sent.repartition(parts, "to").mapInArrow(releasing(lambda it: _shared(it, buckets)), "bucket long, blob binary")
+    packed = mine.mapInArrow(releasing(lambda it: _by_bucket(it, buckets)), "bucket long, blob binary")
+    kinds = "kind string, bucket long, to long, blob binary"
+    parted = packed.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(lambda a, b: _cut_out(a, b, length, shards), kinds)
+    found = parted.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(releasing(lambda it: _sorted_shards(it, length)), "kind string, bucket long, blob binary")
+    # the packed documents' exchange is the same as above, so it is written once
+    done = packed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(lambda a, b: _finish(a, b, length), OUT)
     return done.unionByName(settled).unionByName(nameless)
 
 
