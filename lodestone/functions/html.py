@@ -11,10 +11,15 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 _HIDDEN = {"script", "style", "noscript", "template", "svg"}
-PAGE = "canonical string, title string, description string, h1 string, og map<string,string>, text string, json_ld array<string>, json_ld_errors int, robots string, has_password_form boolean, is_challenge boolean, currency string"
+_S = T.StringType()
+PAGE = T.StructType(
+    [T.StructField(n, _S) for n in ("canonical", "title", "description", "h1")]
+    + [T.StructField("og", T.MapType(_S, _S)), T.StructField("text", _S), T.StructField("json_ld", T.ArrayType(_S)), T.StructField("json_ld_errors", T.IntegerType()), T.StructField("robots", _S)]
+    + [T.StructField("has_password_form", T.BooleanType()), T.StructField("is_challenge", T.BooleanType()), T.StructField("currency", _S)]
+)
 
 
 class _Reader(HTMLParser):
@@ -91,7 +96,7 @@ def compact(value):
 
 
 def _squeezed(s: str | None) -> str | None:
-    return " ".join(s.replace("", " ").split()) or None if s else None
+    return " ".join(s.replace("\ufeff", " ").split()) or None if s else None
 
 
 def read_page(html: str | None) -> dict:
@@ -116,7 +121,7 @@ def read_page(html: str | None) -> dict:
 @F.pandas_udf(PAGE)
 def parse_page(html: pd.Series) -> pd.DataFrame:
     """A page as a struct, see PAGE. Read it once a row: Spark does not prune a UDF's fields."""
-    return pd.DataFrame([read_page(h) for h in html], columns=[f.split()[0] for f in PAGE.split(", ")])
+    return pd.DataFrame([read_page(h) for h in html], columns=PAGE.fieldNames())
 
 
 def product_nodes(json_ld: Column, kind: str = "Product") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: Fixed value: what counts as white space in captured pages.
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -101,12 +101,12 @@ def contains_tokens(text: Column, tokens: Column) -> Column:
     return (tokens != "") & F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), tokens, F.lit(" ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unmarked(s: pd.Series) -> pd.Series:
     """NFKD without combining marks."""
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)), na_action="ignore")
@@ -122,7 +122,7 @@ def token_key(c: Column, ascii_only: bool = False) -> Column:
     return F.trim(F.regexp_replace(F.lower(c if ascii_only else unmarked(c)), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def anchor_quote(quote: pd.Series, text: pd.Series) -> pd.Series:
     """The span of text that a quote repeats, but for emphasis marks, white space and the first letter's case; else null."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#]*)@)?([^/?#:@]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -85,7 +85,7 @@ def issue(c: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolute(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link resolved against its page; null where that gives no web address."""
 

@@ -38,7 +38,7 @@ def prefer_field(observations: DataFrame, keys: list[str], catalog: str) -> Data
     voting = observations.where("vkey IS NOT NULL").join(first, keys).where("tier = used")
     by_value = voting.groupBy(*keys, "used", "vkey").agg(F.count_distinct("source").alias("s"), F.min(F.struct("ord", "value")).alias("f"), F.max((F.col("source") == catalog).cast("int")).alias("c"))
     out = by_value.groupBy(*keys, "used").agg(
-        F.count("*").alias("n_values"), F.max("s").alias("best"), F.min("f").alias("f"), F.max(F.when((F.col("c") == 1) & (F.col("s") >= 2), F.col("f"))).alias("win")
+        F.count("*").alias("n_values"), F.max("s").alias("best"), F.min("f").alias("f"), F.min(F.when((F.col("c") == 1) & (F.col("s") >= 2), F.col("f"))).alias("win")
     )
     sources = voting.groupBy(*keys).agg(F.count_distinct("source").alias("n_sources"))
     out = out.join(sources, keys)
