@@ -33,11 +33,11 @@ def _grams(codes: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _part_counts(parts: list[str], owners: list[int], n: int, dim: int) -> np.ndarray:
-    text = " ".join(parts) + "  "
+    text = " " + " ".join(parts) + "  "
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     codes = np.where(_is_letter()[codes], codes, 0)
     owner = np.repeat(np.array(owners), [len(p) + 1 for p in parts])
-    owner = np.append(owner, owner[-1:])
+    owner = np.concatenate([owner[:1], owner, owner[-1:]])
     at, bucket = _grams(codes, dim)
     return np.bincount(owner[at] * dim + bucket, minlength=n * dim).reshape(n, dim)
 

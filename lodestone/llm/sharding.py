@@ -11,26 +11,27 @@ def _by_shard(shard: Column, values: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), shard + 1)
 
 
-def propagate(state: DataFrame, shards: int, quota: int, rounds: int = 4) -> DataFrame:
+def propagate(state: DataFrame, shards: int, quota: int, rounds: int = 8, slack: float = 0.1) -> DataFrame:
     """Moves whole units. state: (unit, home, shard, n), n rows of `unit` that began in shard `home`.
 
-    In each round a unit prefers the shard that holds most of its rows among those with room (ties: the lowest).
-    A shard that is asked for more rows than its quota leaves room for accepts that share of the units, dealt by hash.
-    What comes to the driver are counts by shard.
+    In each round a unit that is spread prefers the shard that holds most of its rows among those with room (ties: the
+    lowest) and stays where none has. A shard's room is its quota with `slack`, which the final counts take back, less
+    what it holds. One that is asked for more than its room and what may leave it accepts that share of the units,
+    dealt by hash. What comes to the driver are counts by shard.
     """
     for step in range(rounds):
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = [quota - load.get(s, 0) for s in range(shards)]
+        room = [int(quota * (1 + slack)) - load.get(s, 0) for s in range(shards)]
         here = state.groupBy("unit", "shard").agg(F.sum("n").alias("n"))
-        total = here.groupBy("unit").agg(F.count("*").alias("parts"), F.max(F.struct(F.when(_by_shard(F.col("shard"), room) + F.col("n") > 0, F.col("n")).otherwise(0), -F.col("shard"))).alias("best"))
-        wish = cut(total.where("parts > 1").select("unit", (-F.col("best.col2")).cast("int").alias("goal")))
-        moves = state.join(wish, "unit").where("shard <> goal").groupBy("goal").agg(F.sum("n").alias("n"))
-        leave = state.join(wish, "unit").where("shard <> goal").groupBy("shard").agg(F.sum("n").alias("n"))
-        come = {r["goal"]: r["n"] for r in moves.collect()}
-        if not come:
+        open_ = F.when(_by_shard(F.col("shard"), room) > 0, F.struct(F.col("n"), -F.col("shard")))
+        total = here.groupBy("unit").agg(F.count("*").alias("parts"), F.max(open_).alias("best"))
+        wish = cut(total.where("parts > 1 AND best IS NOT NULL").select("unit", (-F.col("best.col2")).cast("int").alias("goal")))
+        asked = state.join(wish, "unit").where("shard <> goal").groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect()
+        if not asked:
             break
-        gone = {r["shard"]: r["n"] for r in leave.collect()}
-        share = [min(1.0, max(0, room[s] + gone.get(s, 0) // 2) / come[s]) if come.get(s) else 1.0 for s in range(shards)]
+        come = [sum(r["n"] for r in asked if r["goal"] == s) for s in range(shards)]
+        gone = [sum(r["n"] for r in asked if r["shard"] == s) for s in range(shards)]
+        share = [min(1.0, max(0, room[s] + gone[s] // 2) / come[s]) if come[s] else 1.0 for s in range(shards)]
         u = F.pmod(F.xxhash64("unit", F.lit(step)), F.lit(1 << 30)) / float(1 << 30)
         accepted = wish.where(u < F.element_at(F.array(*[F.lit(x) for x in share]), F.col("goal") + 1))
         state = cut(state.join(accepted, "unit", "left").withColumn("shard", F.coalesce("goal", "shard")).select("unit", "home", "shard", "n"))
@@ -49,7 +50,7 @@ def ranked(df: DataFrame, key: str, *order: str) -> DataFrame:
     return dealt.join(F.broadcast(parts), ["_part", key]).withColumn("place", F.col("_at") - F.col("_from") + F.col("_before")).drop("_part", "_at", "_from", "_before")
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, rounds: int = 4, unit_share: int = 2) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 8, rounds: int = 8, unit_share: int = 2) -> DataFrame:
     """Deals docs (doc_id, text; more columns are ignored) to shards whose counts are at most one apart.
 
     Documents of equal text are neighbours. A group of more than 1/unit_share of a shard is split by hash into units

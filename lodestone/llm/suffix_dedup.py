@@ -69,9 +69,11 @@ def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
 
 def _split(by: np.ndarray, *cols: np.ndarray) -> Iterator[tuple]:
     """(value, columns) for each value of `by`."""
+    if not len(by):
+        return
     order = np.argsort(by, kind="stable")
     by, cols = by[order], [c[order] for c in cols]
-    first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else []
+    first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
     for s, e in zip(first, [*first[1:], len(by)], strict=True):
         yield int(by[s]), [c[s:e] for c in cols]
 
