@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontam import op1_template_decontamination
+from .decontam import op1_template_decontamination, oracle_sql as _decontamination_sql
 from .embed_dedup import op6_rotation_code_dedup
 from .html_extract import op10_host_html_extraction
 from .langid import op5_centroid_langid
@@ -35,6 +35,7 @@ _DECODED = f"replace(replace(replace(replace(replace(replace({_ARTICLE}, '&quot;
 
 #: The others learn, tokenise, hash or iterate in ways that SQL has not; tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op1_template_decontamination": _decontamination_sql(),
     "op3_warc_zstd": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
