@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..operators import board, folds, report
+from ..operators import board, folds, profile, report
 from ..sources.tables import table
 from .registry import query
 
@@ -107,3 +107,39 @@ def interruption(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
         F.max_by("role", "turn").alias("last_role"), F.max("turn").alias("last_turn"), F.count_if(n < 60).alias("short_turns"), F.when(F.count_if(n < 20) > 0, "blocked").otherwise("complete").alias("gate"))
+
+
+@query("""
+WITH s AS (SELECT user_id, max(ts) AS updated_at, arg_max(event_type, ts) AS last FROM events GROUP BY user_id)
+SELECT user_id AS session, epoch_us(updated_at) AS at_us FROM s WHERE last <> 'purchase' AND epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(updated_at) >= 480000000 ORDER BY updated_at, user_id LIMIT 20
+""")
+def stalled_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session")).agg(F.max("ts").cast("timestamp").alias("updated_at"), F.max_by("event_type", "ts").alias("last"))
+    rows = last.select("session", "updated_at", F.lit("reserved").alias("status"), (F.col("last") == "purchase").alias("claimed"))
+    return profile.stalled(rows, F.lit("2024-01-30 12:00:00").cast("timestamp")).select("session", F.unix_micros("updated_at").alias("at_us"))
+
+
+@query("""
+WITH q AS (SELECT conv_id, turn, left(text, 12) AS quote FROM conversations WHERE role = 'assistant' AND length(text) >= 12),
+o AS (SELECT DISTINCT q.conv_id, q.quote, max(q.turn) OVER (PARTITION BY q.conv_id, q.quote) AS t FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t DESC, quote) AS k FROM o)
+SELECT conv_id, string_agg(quote, '|' ORDER BY k) AS quotes FROM r WHERE k <= 3 GROUP BY conv_id
+""")
+def decision_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    claims = turns.where("role = 'assistant' AND length(text) >= 12").select(
+        "conv_id", "turn", F.lit(0).alias("ord"), F.lit("required").alias("need_kind"), F.lit("supported").alias("status"), F.lit("cited_reference").alias("level"), F.substring("text", 1, 12).alias("quote"), F.col("turn").alias("quote_turn"))
+    return profile.decision_evidence(claims, turns.select("conv_id", "turn", "text"), "conv_id").select("conv_id", F.array_join("quotes", "|").alias("quotes"))
+
+
+@query("""
+SELECT * FROM (VALUES ('generator', true, true, false, false), ('auditor', true, true, false, false), ('observer', false, true, true, false), ('classifier', false, true, true, false)) AS t(role, brief, transcript, identity, observations)
+""")
+def context_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.boundaries(spark)
+
+
+@query("SELECT conv_id, CAST(count(CASE WHEN role = 'system' OR length(text) % 3 = 0 THEN 1 END) AS BIGINT) AS rejected, CASE WHEN count(CASE WHEN role = 'system' OR length(text) % 3 = 0 THEN 1 END) = 0 THEN 'accepted' WHEN count(CASE WHEN role = 'system' OR length(text) % 3 = 0 THEN 1 END) <= 2 THEN 'revise' ELSE 'failed_validation' END AS next FROM conversations GROUP BY conv_id")
+def revision_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count_if((F.col("role") == "system") | (F.length("text") % 3 == 0))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(n.alias("rejected")).withColumn("next", profile.revision(F.col("rejected")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import evidence, readiness, report
+from ..operators import evidence, profile, readiness, report
 from ..sources.tables import table
 from .registry import query
 
@@ -284,3 +284,38 @@ def classifier_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     choice = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("label") % 7 + 1).cast("int"))
     out = report.classified(choice, (F.col("vec_id") % 11).cast("double") / 10, (F.col("vec_id") % 6).cast("double") / 5, F.when(F.col("vec_id") % 2 == 0, "comparison").otherwise("list"))
     return v.select("vec_id", out.alias("o")).select("vec_id", "o.*")
+
+
+@query("""
+WITH f AS (SELECT p_partkey, p_name, p_brand, p_type, CASE WHEN p_size % 4 = 0 THEN 'conflicted' ELSE 'verified' END AS s FROM part)
+SELECT p_partkey, left(p_name, 12) AS name, CASE WHEN s <> 'conflicted' THEN left(p_brand, 12) END AS brand, left(p_type, 12) AS type, s AS brand_state FROM f
+""")
+def product_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brand = F.when(F.col("p_size") % 4 == 0, "conflicted").otherwise("verified")
+    each = F.array(*[F.struct(F.lit(n).alias("field"), s.alias("state"), F.col(c).alias("value")) for n, s, c in (("name", F.lit("verified"), "p_name"), ("brand", brand, "p_brand"), ("type", F.lit("single_source"), "p_type"))])
+    out = profile.profile(table(spark, sf_dir, "part").select("p_partkey", F.inline(each)), "p_partkey", ["name", "brand", "type"], most=12)
+    return out.select("p_partkey", "name", "brand", "type", F.col("states")["brand"].alias("brand_state"))
+
+
+@query("""
+WITH c AS (SELECT l_partkey AS part, 'S' || l_suppkey AS c, min(0 * 1000000000 + l_orderkey) AS o FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY o, c) AS k FROM c)
+SELECT p_partkey AS part, p_name AS name, CASE WHEN p_size > 25 THEN p_brand ELSE 'shop.example.com' END AS brand, coalesce(string_agg(c, ' ' ORDER BY k) FILTER (k <= 5), '') AS codes FROM part LEFT JOIN r ON part = p_partkey GROUP BY ALL
+""")
+def target_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("brand"), F.lit("https://www.shop.example.com/products/x").alias("url"), F.lit(None).cast("string").alias("final_url"))
+    variants = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("ord"), F.concat(F.lit("S"), "l_suppkey").alias("sku"), F.lit("").alias("barcode"))
+    return profile.target_identity(products, variants, "part", most=5).select("part", "name", "brand", F.array_join("codes", " ").alias("codes"))
+
+
+@query("""
+SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey WHEN o_orderkey % 4 <> 3 AND o_custkey % 3 > 0 THEN o_custkey WHEN o_orderkey % 4 <> 1 AND o_custkey % 3 > 0 THEN o_custkey WHEN o_orderkey % 4 <> 3 THEN o_custkey END AS account_id FROM orders
+""")
+def account_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders name a customer (every fourth), a checkout (not every fourth), an address (not every fourth); a third of the accounts have none."""
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey")
+    name = lambda p: F.concat(F.lit(p), c.cast("string"))
+    events = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.when(k == 0, name("c")).alias("customer_id"), F.when(k != 3, name("k")).alias("checkout_id"), F.when(k != 1, name("e")).alias("email"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    accounts = people.select(F.col("o_custkey").alias("account_id"), F.when(c % 3 > 0, name("e")).alias("email"))
+    return profile.resolve_account(events, people.select(name("c").alias("customer_id"), c.alias("account_id")), people.select(name("k").alias("checkout_id"), c.alias("account_id")), accounts)
