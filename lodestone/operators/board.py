@@ -45,7 +45,8 @@ def newest_of_each(rows: DataFrame, key: str, at: str, most: int = 20) -> DataFr
 
 
 def bill(calls: DataFrame, role: str, cost: str, *sums: str) -> DataFrame:
-    """Calls, priced calls and sums by role with a total row; unknown cost is not zero, and complete means that every call is priced."""
+    """Calls, priced calls and sums by role with a total row; unknown cost is not zero, and complete means that every call is priced.
+    No calls give no rows."""
     known = F.count(cost)
     out = calls.rollup(role).agg(
         F.grouping(role).alias("is_total"), F.count("*").alias("calls"), known.alias("priced_calls"), F.coalesce(F.sum(cost), F.lit(0)).alias("cost"), *[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in sums]

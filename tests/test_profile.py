@@ -45,5 +45,4 @@ def test_labels_and_catalog(spark):
 
 
 def test_bill_of_nothing(spark):
-    got = board.bill(spark.createDataFrame([], "role string, cost long, n long"), "role", "cost", "n").collect()
-    assert [(r["role"], r["calls"], r["complete"], r["usd"]) for r in got] == [("total", 0, False, "0.000000")]
+    assert board.bill(spark.createDataFrame([], "role string, cost long, n long"), "role", "cost", "n").collect() == []
