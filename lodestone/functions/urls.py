@@ -62,26 +62,27 @@ def handle(c: Column) -> Column:
 
 
 def product_json_url(c: Column) -> Column:
-    return F.concat(_base(c), F.regexp_replace(part(c, 5), "/+$", ""), F.lit(".js"))
+    return F.concat(_base(c), F.regexp_replace(part(c, 5), "/$", ""), F.lit(".js"))
 
 
-#: Names that must never be fetched.
-BLOCKED_HOSTS = ("localhost", "metadata.google.internal")
-BLOCKED_SUFFIXES = (".localhost", ".local", ".internal", ".home.arpa")
+#: Hosts and host endings that must never be fetched.
+BLOCKED_HOSTS = ("localhost", "localhost.localdomain", "metadata.google.internal", "metadata.google", "instance-data")
+BLOCKED_SUFFIXES = (".local", ".internal", ".localhost")
 
 
 def issue(c: Column) -> Column:
     """Why a product page's URL is refused, the first reason that holds; null where it is fine."""
-    h, path = host(c), F.filter(F.split(part(c, 5), "/"), lambda s: s != "")
-    blocked = h.isin(*BLOCKED_HOSTS)
+    h, path = F.regexp_replace(host(c), r"\.$", ""), F.filter(F.split(part(c, 5), "/"), lambda s: s != "")
+    byte = "(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+    blocked = h.isin(*BLOCKED_HOSTS) | h.rlike(rf"^{byte}(\.{byte}){{3}}$") | h.startswith("[") | (h == "")
     for s in BLOCKED_SUFFIXES:
         blocked |= h.endswith(s)
     return (
         F.when(c.isNull() | ~c.rlike(_PARTS) | h.isNull(), "INVALID_URL")
         .when(F.lower(part(c, 1)) != "https", "HTTPS_REQUIRED")
-        .when(part(c, 2) != "", "CREDENTIALS_FORBIDDEN")
-        .when(blocked | h.rlike(r"^[0-9.]+$|^\[") | ~F.contains(h, F.lit(".")), "HOST_FORBIDDEN")
-        .when((F.size(path) < 2) | (F.try_element_at(path, F.lit(-2)) != "products"), "NOT_A_PRODUCT")
+        .when(part(c, 2) != "", "CREDENTIALS_NOT_ALLOWED")
+        .when(blocked, "PRIVATE_TARGET")
+        .when((F.size(path) < 2) | (F.try_element_at(path, F.lit(-2)) != "products"), "UNSUPPORTED_PRODUCT_PATH")
     )
 
 

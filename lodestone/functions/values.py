@@ -9,13 +9,13 @@ def minor_of_decimal(c: Column) -> Column:
     """Minor units of a decimal amount, half up on the double product; blank text is zero, other text null."""
     text = F.trim(c.cast("string"))
     d = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
-    return F.when(d >= 0, F.floor(d * 100.0 + 0.5)).cast("long")
+    return F.when((d >= 0) & (d < float("inf")), F.floor(d * 100.0 + 0.5)).cast("long")
 
 
 def minor_of_integer(c: Column) -> Column:
     """Minor units that are integers already; blank, negative and broken ones are null."""
     d = F.when(F.trim(c.cast("string")) != "", F.trim(c.cast("string"))).try_cast("double")
-    return F.when((d >= 0) & (d == F.floor(d)), d).cast("long")
+    return F.when((d >= 0) & (d < float("inf")) & (d == F.floor(d)), d).cast("long")
 
 
 def currency(c: Column) -> Column:
@@ -54,5 +54,5 @@ def within_skew(occurred: Column, now: Column, seconds: int = 86_400) -> Column:
 
 def availability(c: Column) -> Column:
     """True, false or unknown (null) from the last path segment of a schema address or plain token."""
-    t = F.lower(F.element_at(F.split(F.trim(c), "/"), -1))
-    return F.when(t.isin("instock", "limitedavailability", "instoreonly", "onlineonly", "preorder", "presale", "backorder"), True).when(t.isin("outofstock", "soldout", "discontinued"), False)
+    t = F.element_at(F.split(F.lower(c), "/"), -1)
+    return F.when(t.isin("instock", "in_stock"), True).when(t.isin("outofstock", "out_of_stock", "soldout"), False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Crawlers that are checked, by what they are for.
-AGENTS = {"general": "*", "search": "OAI-SearchBot", "training": "GPTBot"}
+AGENTS = {"general_crawl": "*", "openai_search": "OAI-SearchBot", "openai_training": "GPTBot"}
 
 
 def rules(robots: DataFrame, key: str) -> DataFrame:

@@ -48,9 +48,9 @@ _NORMAL = f"string_split(trim({_part(5)}, '/'), '/')"
 
 
 @query(f"""
-SELECT page_id, CASE WHEN lower({_part(1)}) <> 'https' THEN 'HTTPS_REQUIRED' WHEN {_part(2)} <> '' THEN 'CREDENTIALS_FORBIDDEN'
-  WHEN {_HOST} = 'localhost' OR regexp_matches({_HOST}, '(\\.localhost|\\.local|\\.internal|\\.home\\.arpa)$|^[0-9.]+$') OR NOT contains({_HOST}, '.') THEN 'HOST_FORBIDDEN'
-  WHEN NOT regexp_matches({_part(5)}, '/products/[^/]+/*$') THEN 'NOT_A_PRODUCT' END AS issue FROM pages
+SELECT page_id, CASE WHEN lower({_part(1)}) <> 'https' THEN 'HTTPS_REQUIRED' WHEN {_part(2)} <> '' THEN 'CREDENTIALS_NOT_ALLOWED'
+  WHEN regexp_matches({_HOST}, '^(localhost|instance-data|metadata\\.google)$|(\\.localhost|\\.local|\\.internal|\\.localdomain)$|^[0-9]+(\\.[0-9]+){{3}}$') THEN 'PRIVATE_TARGET'
+  WHEN NOT regexp_matches({_part(5)}, '/products/[^/]+/*$') THEN 'UNSUPPORTED_PRODUCT_PATH' END AS issue FROM pages
 """)
 def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.issue(F.col("url")).alias("issue"))
@@ -106,8 +106,8 @@ Disallow:
 
 @query(f"""
 WITH p AS (SELECT page_id, {_part(5)} AS path FROM pages),
-g AS (SELECT page_id, 'general' AS kind, CASE WHEN path LIKE '/fr/8%' THEN 5 ELSE 0 END AS a, greatest(CASE WHEN path LIKE '/fr/%' THEN 4 ELSE 0 END, CASE WHEN path LIKE '/%9' THEN 2 ELSE 0 END) AS d FROM p
-UNION ALL SELECT page_id, 'training', CASE WHEN path LIKE '/en/2%' THEN 5 ELSE 0 END, CASE WHEN path LIKE '/en%' THEN 3 ELSE 0 END FROM p UNION ALL SELECT page_id, 'search', 0, 0 FROM p)
+g AS (SELECT page_id, 'general_crawl' AS kind, CASE WHEN path LIKE '/fr/8%' THEN 5 ELSE 0 END AS a, greatest(CASE WHEN path LIKE '/fr/%' THEN 4 ELSE 0 END, CASE WHEN path LIKE '/%9' THEN 2 ELSE 0 END) AS d FROM p
+UNION ALL SELECT page_id, 'openai_training', CASE WHEN path LIKE '/en/2%' THEN 5 ELSE 0 END, CASE WHEN path LIKE '/en%' THEN 3 ELSE 0 END FROM p UNION ALL SELECT page_id, 'openai_search', 0, 0 FROM p)
 SELECT page_id, kind, a >= d AS allowed FROM g
 """)
 def robots_access(spark: SparkSession, sf_dir: str) -> DataFrame:

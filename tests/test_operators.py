@@ -46,9 +46,9 @@ def test_anchor_quote(spark):
 @pytest.mark.parametrize(
     "url, issue",
     [
-        ("https://shop.example.com/products/mug", None), ("http://shop.example.com/products/mug", "HTTPS_REQUIRED"), ("https://u:p@shop.example.com/products/mug", "CREDENTIALS_FORBIDDEN"),
-        ("https://localhost/products/mug", "HOST_FORBIDDEN"), ("https://10.0.0.1/products/mug", "HOST_FORBIDDEN"), ("https://a.internal/products/mug", "HOST_FORBIDDEN"),
-        ("https://shop.example.com/pages/mug", "NOT_A_PRODUCT"), ("nonsense", "INVALID_URL"), (None, "INVALID_URL"),
+        ("https://shop.example.com/products/mug", None), ("http://shop.example.com/products/mug", "HTTPS_REQUIRED"), ("https://u:p@shop.example.com/products/mug", "CREDENTIALS_NOT_ALLOWED"),
+        ("https://localhost/products/mug", "PRIVATE_TARGET"), ("https://10.0.0.1/products/mug", "PRIVATE_TARGET"), ("https://a.internal/products/mug", "PRIVATE_TARGET"),
+        ("https://shop.example.com/pages/mug", "UNSUPPORTED_PRODUCT_PATH"), ("nonsense", "INVALID_URL"), (None, "INVALID_URL"),
     ],
 )
 def test_url_issue(spark, url, issue):
@@ -65,7 +65,7 @@ def test_url_keys(spark):
     assert [r[0] for r in df.select(urls.absolute("b", "l")).collect()] == ["https://a.org/d?x#y", None, None]
 
 
-@pytest.mark.parametrize("raw, minor", [("", 0), ("19.99", 1999), ("1,999", None), ("-1", None), ("1.005", 100), ("abc", None), ("1e2", 10000)])
+@pytest.mark.parametrize("raw, minor", [("", 0), ("19.99", 1999), ("1,999", None), ("-1", None), ("1.005", 100), ("abc", None), ("1e2", 10000), ("Infinity", None), ("NaN", None)])
 def test_minor(spark, raw, minor):
     assert one(spark, raw, values.minor_of_decimal) == minor
 
@@ -136,8 +136,8 @@ def test_robots(spark):
     parsed = robots.rules(spark.createDataFrame([("s", body)], "s string, body string"), "s")
     pages = spark.createDataFrame([(1, "s", "/a/x"), (2, "s", "/a/b/c"), (3, "s", "/i.gif"), (4, "s", "/i.gifs"), (5, "s", "/(x)")], "page long, s string, path string")
     got = {(r["page"], r["kind"]): r["allowed"] for r in robots.access(pages, parsed, "s").collect()}
-    assert [got[i, "general"] for i in range(1, 6)] == [False, True, False, True, True]
-    assert not any(got[i, "training"] for i in range(1, 6)) and all(got[i, "search"] for i in range(1, 6))
+    assert [got[i, "general_crawl"] for i in range(1, 6)] == [False, True, False, True, True]
+    assert not any(got[i, "openai_training"] for i in range(1, 6)) and all(got[i, "openai_search"] for i in range(1, 6))
 
 
 def test_presence_and_recheck(spark):
