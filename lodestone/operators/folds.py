@@ -98,27 +98,27 @@ def decide(a: dict, history: dict, max_turns: int = 6, max_repairs: int = 2, sta
     history["idle"] = 0 if fresh else history["idle"] + 1
     needs = tuple((a["unresolved"] or a["hard"])[:2])
     if a["proposed"] == "finish" and a["quote"] and a["quote_names_full"] and not a["drift"]:
-        action, reason = "finish", "supported_choice"
+        action, reason = "finish", "decision_supported"
     elif history["idle"] >= stalled:
         action, reason = "stop", "no_progress"
     elif a["turn"] >= max_turns:
         action, reason = "stop", "turn_limit"
     elif a["drift"] or not a["plausible"]:
-        action, reason = "explore", "no_candidate"
+        action, reason = "explore", "unmet_needs"
     elif a["full"] >= 2:
-        action, reason = "compare", "several_supported"
+        action, reason = "compare", "comparison_ready"
     else:
-        action, reason = "verify", "needs_open"
+        action, reason = "verify", "unknown_evidence"
     if action == "explore":
         history["repairs"] += 1
         if history["repairs"] > max_repairs:
-            action, reason = "stop", "repair_limit"
-    if action == "verify" and not a["unresolved"] and a["full"] >= 1:
-        action, reason = "compare", "one_supported"
+            action, reason = "stop", "no_progress"
+    if action == "verify" and a["full"]:
+        action, reason = "compare", "comparison_ready"
     if action == "verify" and not needs:
-        action, reason = "stop", "nothing_to_verify"
+        action, reason = "stop", "no_progress"
     if action not in ("finish", "stop") and history["last"][-2:] == [(action, needs)] * 2:
-        action, reason = "stop", "repeated_action"
+        action, reason = "stop", "no_progress"
     history["last"].append((action, needs))
     del history["last"][:-2]
     return action, reason

@@ -65,9 +65,9 @@ def replay_action(status: Column) -> Column:
 
 
 def publisher_label(title: Column, host: Column, redirect_hosts: tuple[str, ...] = ("vertexaisearch.cloud.google.com",)) -> Column:
-    """A title that looks like a domain, else the host; the host of a search redirect says nothing."""
-    t = F.lower(F.trim(title))
-    return F.when(t.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$"), F.regexp_replace(t, r"^www\.", "")).when(~host.isin(*redirect_hosts), F.regexp_replace(host, r"^www\.", ""))
+    """A title that looks like a domain, else the host, except that of a search redirect; failing these the title or host as it is."""
+    bare = lambda c: F.regexp_replace(c, r"^www\.", "")
+    return F.when(title.rlike(r"(?i)^[a-z0-9.-]+\.[a-z]{2,}$"), bare(title)).when(~host.isin(*redirect_hosts), bare(host)).otherwise(F.coalesce(title, host, F.lit("Source")))
 
 
 def target_match(host: Column, title: Column, answer: Column, domains: list[str], needles: list[str]) -> Column:
@@ -114,5 +114,5 @@ def recovered(assessment: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def technical_summary(status: Column, codes: Column) -> Column:
-    bad = F.exists(codes, lambda c: c.isin("NOINDEX", "CRAWLER_BLOCKED_SEARCH", "PASSWORD_PAGE", "CHALLENGE_PAGE"))
+    bad = F.exists(codes, lambda c: c.isin("PAGE_NOINDEX", "CRAWLER_BLOCKED", "PASSWORD_PAGE", "CHALLENGE_PAGE"))
     return F.when(status.isNull(), "unknown").when(bad, "issues_found").when(status == "complete", "readable").otherwise("partial")

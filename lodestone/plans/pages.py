@@ -80,12 +80,12 @@ def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT page_id, 0 AS ord, 'MISSING_CANONICAL' AS code, 'warning' AS severity FROM pages UNION ALL SELECT page_id, 1, 'MALFORMED_JSON_LD', 'warning' FROM pages WHERE NOT contains(html, '</body>')
-UNION ALL SELECT page_id, 2, 'AJAX_UNAVAILABLE', 'warning' FROM pages WHERE contains(url, '?'))
+UNION ALL SELECT page_id, 2, 'AJAX_PRODUCT_UNAVAILABLE', 'warning' FROM pages WHERE contains(url, '?'))
 SELECT page_id, ord, code, severity FROM c
 """)
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = table(spark, sf_dir, "pages").select("page_id", "url", (~F.contains("html", F.lit("</body>"))).alias("cut"), html.parse_page("html")["canonical"].alias("canonical"))
-    return readiness.findings(page, "page_id", {"MISSING_CANONICAL": F.col("canonical").isNull(), "MALFORMED_JSON_LD": F.col("cut"), "AJAX_UNAVAILABLE": F.contains("url", F.lit("?"))})
+    return readiness.findings(page, "page_id", {"MISSING_CANONICAL": F.col("canonical").isNull(), "MALFORMED_JSON_LD": F.col("cut"), "AJAX_PRODUCT_UNAVAILABLE": F.contains("url", F.lit("?"))})
 
 
 ROBOTS = """# rules

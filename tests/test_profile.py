@@ -39,7 +39,7 @@ def test_blind_context_never_shows_the_target(spark):
 
 def test_labels_and_catalog(spark):
     df = spark.createDataFrame([("www.a.org", "x.org"), ("Some title", "www.b.org"), ("Title", "vertexaisearch.cloud.google.com")], "t string, h string")
-    assert [r[0] for r in df.select(report.publisher_label(F.col("t"), F.col("h"))).collect()] == ["a.org", "b.org", None]
+    assert [r[0] for r in df.select(report.publisher_label(F.col("t"), F.col("h"))).collect()] == ["a.org", "b.org", "Title"]
     price = spark.createDataFrame([(10, 100, 0, 3), (10, 110, 10, 3), (10, 101, 0, 3), (10, 100, 0, 4)], "u int, c int, b int, t int")
     assert [r[0] for r in price.select(ledger.catalog_issue(F.col("u"), F.col("c"), F.col("b"), F.col("t"))).collect()] == [None, None, "CREDITS", "TASKS"]
 
