@@ -93,7 +93,9 @@ def fit(docs: DataFrame, lang: str = "lang", per_lang: int = 1000, centroids: in
     times `slack`. An empty table gives no rows.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    share = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share"))
+    share = cut(rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")))
+    # languages are few as a rule; texts are shuffled by language only where they are not
+    share = F.broadcast(share) if share.count() <= 100_000 else share
     u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
     chosen = rows.join(share, "lang").where(u < F.col("share")).select("lang", "text")
 

@@ -24,32 +24,48 @@ OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence
 
 
 class ChunkEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, by a cache of space-separated chunks.
+    """Ids of a text as little-endian unsigned 32-bit bytes, by caches of space-separated chunks and of their words.
 
-    The tokenizer drops white space and never joins characters across it, so the ids of a text are
-    those of its chunks in a row. Each chunk is encoded by the tokenizer itself.
+    The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its chunks
+    in a row. Nor does it join a letter or digit with punctuation after it, or tell cases apart, so a chunk's ids are
+    those of its lower-case word and of its tail of punctuation. Each word and tail is encoded by the tokenizer itself.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    _TAIL = ".,;:!?%&*#$"
+
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most, {"": b""}
+        self.tokenizer, self.most, self.cache, self.words = Tokenizer.from_file(path), most, {"": b""}, {"": b""}
+
+    def _parts(self, chunk: str) -> tuple[str, str]:
+        word = chunk.rstrip(self._TAIL)
+        # beyond these letters, and for a dotted capital I, Python's lower case may differ from the tokenizer's
+        if word and (word[-1].isalpha() or "0" <= word[-1] <= "9") and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
+            return word.lower(), chunk[len(word) :]
+        return chunk, ""
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > self.most:
             self.cache = {"": b""}
+        if len(self.words) > self.most:
+            self.words = {"": b""}
         chunks = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        cache = self.cache
-        new = list({c for own in chunks for c in own if c not in cache})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
+        cache, words = self.cache, self.words
+        new = {c: self._parts(c) for own in chunks for c in own if c not in cache}
+        need = list({w for parts in new.values() for w in parts if w not in words})
+        for i in range(0, len(need), 5_000):
+            part = need[i : i + 5_000]
+            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                words[w] = np.array(e.ids, "<u4").tobytes()
+        for c, (word, tail) in new.items():
+            cache[c] = words[word] + words[tail]
         out = [b"".join(map(cache.__getitem__, own)) for own in chunks]
-        for c in new:
+        for c, (word, _) in new.items():
             if len(c) > 64:
                 del cache[c]
+                words.pop(word, None)
         return out
 
 
