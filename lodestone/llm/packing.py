@@ -7,6 +7,7 @@ of bounded size, repeats best-fit over them until one group is left or a round s
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -14,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, releasing, slices, table
@@ -24,20 +26,44 @@ OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence
 
 
 class ChunkEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, by caches of space-separated chunks and of their words.
+    """Ids of texts, by the ids of their space-separated chunks and of the chunks' words.
 
     The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its chunks
     in a row. Nor does it join a letter or digit with punctuation after it, or tell cases apart, so a chunk's ids are
     those of its lower-case word and of its tail of punctuation. Each word and tail is encoded by the tokenizer itself.
+    Arrow splits the texts and numbers the distinct chunks of a call; only those are looked up one by one. What was
+    encoded is kept as ranges of one array of ids and forgotten beyond `most` chunks or `most_ids` ids.
     """
 
     _TAIL = ".,;:!?%&*#$"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_500_000, most_ids: int = 12_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.cache, self.words = Tokenizer.from_file(path), most, {"": b""}, {"": b""}
+        self.tokenizer, self.most, self.most_ids = Tokenizer.from_file(path), most, most_ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number, self.used = {"": 0}, 0
+        self.ids, self.start, self.length = np.zeros(1 << 16, "<u4"), np.zeros(1, "i8"), np.zeros(1, "i8")
+
+    def _add(self, found: np.ndarray, lengths: np.ndarray) -> None:
+        """Stores ids, `lengths` of them under each of the next numbers."""
+        ends = self.used + np.cumsum(lengths)
+        self.start, self.length = np.concatenate([self.start, ends - lengths]), np.concatenate([self.length, lengths])
+        stop = self.used + len(found)
+        if stop > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), stop - len(self.ids)), "<u4")])
+        self.ids[self.used : stop], self.used = found, stop
+
+    def _row(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers in a row, and where each number's end."""
+        lengths = self.length[numbers]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.start[numbers] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        return self.ids[at], ends
 
     def _parts(self, chunk: str) -> tuple[str, str]:
         word = chunk.rstrip(self._TAIL)
@@ -46,27 +72,43 @@ class ChunkEncoder:
             return word.lower(), chunk[len(word) :]
         return chunk, ""
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.most:
-            self.cache = {"": b""}
-        if len(self.words) > self.most:
-            self.words = {"": b""}
-        chunks = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        cache, words = self.cache, self.words
-        new = {c: self._parts(c) for own in chunks for c in own if c not in cache}
-        need = list({w for parts in new.values() for w in parts if w not in words})
+    def _learn(self, chunks: list[str]) -> None:
+        """Gives every chunk a number."""
+        number = self.number
+        parts = {c: self._parts(c) for c in chunks if c not in number}
+        need = list({w for own in parts.values() for w in own if w not in number})
         for i in range(0, len(need), 5_000):
             part = need[i : i + 5_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                words[w] = np.array(e.ids, "<u4").tobytes()
-        for c, (word, tail) in new.items():
-            cache[c] = words[word] + words[tail]
-        out = [b"".join(map(cache.__getitem__, own)) for own in chunks]
-        for c, (word, _) in new.items():
+            number.update(zip(part, range(len(self.start), len(self.start) + len(part)), strict=True))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._add(np.fromiter(itertools.chain.from_iterable(ids), "<u4"), np.array([len(x) for x in ids], "i8"))
+        number.update((c, number[w]) for c, (w, tail) in parts.items() if not tail)
+        both = [c for c in parts if c not in number]
+        pairs = np.array([(number[w], number[tail]) for w, tail in map(parts.__getitem__, both)], "i8").reshape(-1, 2)
+        number.update(zip(both, range(len(self.start), len(self.start) + len(both)), strict=True))
+        self._add(self._row(pairs.ravel())[0], self.length[pairs].sum(1))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        ids, begins = self.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (little-endian unsigned, 32 bits) of all texts in a row, and where each text's begin, with the end of the last."""
+        if len(self.number) > self.most or self.used > self.most_ids:
+            self._forget()
+        spaced = pc.replace_substring(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), "\t", " ")
+        split = pc.split_pattern(spaced, " ")
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        self._learn(chunks)
+        own = np.array([self.number[c] for c in chunks], "i8")[coded.indices.to_numpy()]
+        ids, ends = self._row(own)
+        of_text = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for c in chunks:
             if len(c) > 64:
-                del cache[c]
-                words.pop(word, None)
-        return out
+                self.number.pop(c, None)
+                self.number.pop(self._parts(c)[0], None)
+        return ids, of_text
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -102,11 +144,12 @@ def best_fit(sizes: Iterable[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pieces(ids: pd.DataFrame, texts: list[str | None], path: str, capacity: int, end_id: int) -> np.ndarray:
+def _pieces(ids: pd.DataFrame, texts: pa.Array, path: str, capacity: int, end_id: int) -> np.ndarray:
     end, found = np.array([end_id], "<u4").tobytes(), []
-    doc_ids = ids["doc_id"]
-    for d, known, raw in zip(doc_ids.fillna(0).astype("int64").tolist(), doc_ids.notna().tolist(), encoder(path)([t or "" for t in texts]), strict=True):
-        raw += end
+    doc_ids, (all_ids, begins) = ids["doc_id"], encoder(path)(texts)
+    spans = zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)
+    for d, known, (begin, stop) in zip(doc_ids.fillna(0).astype("int64").tolist(), doc_ids.notna().tolist(), spans, strict=True):
+        raw = all_ids[begin:stop].tobytes() + end
         for k, at in enumerate(range(0, len(raw), 4 * capacity)):
             part = raw[at : at + 4 * capacity]
             found.append((d, known, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -133,9 +176,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for b in slices(batches):
+        for b in slices(batches, 2000):
             if b.num_rows:
-                found.append(_pieces(b.select(["doc_id"]).to_pandas(), b.column("text").to_pylist(), vocabulary, capacity, end_id))
+                found.append(_pieces(b.select(["doc_id"]).to_pandas(), b.column("text"), vocabulary, capacity, end_id))
         if not found:
             return
         pieces = np.concatenate(found)
