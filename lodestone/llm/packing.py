@@ -146,7 +146,7 @@ def best_fit(sizes: Iterable[int], capacity: int) -> list[list[int]]:
 
 def _pieces(ids: pd.DataFrame, texts: pa.Array, path: str, capacity: int, end_id: int) -> np.ndarray:
     end, found = np.array([end_id], "<u4").tobytes(), []
-    doc_ids, (all_ids, begins) = ids["doc_id"], encoder(path)(texts)
+    doc_ids, (all_ids, begins) = ids["doc_id"], encoder(path).encode(texts)
     spans = zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)
     for d, known, (begin, stop) in zip(doc_ids.fillna(0).astype("int64").tolist(), doc_ids.notna().tolist(), spans, strict=True):
         raw = all_ids[begin:stop].tobytes() + end
