@@ -29,13 +29,16 @@ class ChunkEncoder:
     """Ids of texts, by the ids of their space-separated chunks and of the chunks' words.
 
     The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its chunks
-    in a row. Nor does it join a letter or digit with punctuation after it, or tell cases apart, so a chunk's ids are
-    those of its lower-case word and of its tail of punctuation. Each word and tail is encoded by the tokenizer itself.
+    in a row. Nor does it join a letter or digit with punctuation after it, or tell A-Z from a-z but in special tokens,
+    so a chunk's ids are those of its lower-case word and of its tail of punctuation. Each word and tail is encoded by
+    the tokenizer itself.
     Arrow splits the texts and numbers the distinct chunks of a call; only those are looked up one by one. What was
     encoded is kept as ranges of one array of ids and forgotten beyond `most` chunks or `most_ids` ids.
     """
 
     _TAIL = ".,;:!?%&*#$"
+    #: Letters and digits after which a tail is taken off (not U+0130, whose lower case ends in a mark); a chunk that ends otherwise is encoded whole.
+    _WORD_END = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$"
 
     def __init__(self, path: str, most: int = 1_500_000, most_ids: int = 12_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -65,27 +68,28 @@ class ChunkEncoder:
         at += np.arange(len(at))
         return self.ids[at], ends
 
-    def _parts(self, chunk: str) -> tuple[str, str]:
-        word = chunk.rstrip(self._TAIL)
-        # beyond these letters, and for a dotted capital I, Python's lower case may differ from the tokenizer's
-        if word and (word[-1].isalpha() or "0" <= word[-1] <= "9") and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
-            return word.lower(), chunk[len(word) :]
-        return chunk, ""
+    def _encode(self, words: list[str]) -> None:
+        for i in range(0, len(words), 5_000):
+            part = words[i : i + 5_000]
+            self.number.update(zip(part, range(len(self.start), len(self.start) + len(part)), strict=True))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._add(np.fromiter(itertools.chain.from_iterable(ids), "<u4"), np.array([len(x) for x in ids], "i8"))
 
     def _learn(self, chunks: list[str]) -> None:
         """Gives every chunk a number."""
         number = self.number
-        parts = {c: self._parts(c) for c in chunks if c not in number}
-        need = list({w for own in parts.values() for w in own if w not in number})
-        for i in range(0, len(need), 5_000):
-            part = need[i : i + 5_000]
-            number.update(zip(part, range(len(self.start), len(self.start) + len(part)), strict=True))
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self._add(np.fromiter(itertools.chain.from_iterable(ids), "<u4"), np.array([len(x) for x in ids], "i8"))
-        number.update((c, number[w]) for c, (w, tail) in parts.items() if not tail)
-        both = [c for c in parts if c not in number]
-        pairs = np.array([(number[w], number[tail]) for w, tail in map(parts.__getitem__, both)], "i8").reshape(-1, 2)
-        number.update(zip(both, range(len(self.start), len(self.start) + len(both)), strict=True))
+        new = [c for c in chunks if c not in number]
+        trimmed = pc.utf8_rtrim(pa.array(new, pa.large_string()), characters=self._TAIL)
+        ends = pc.match_substring_regex(trimmed, self._WORD_END).to_numpy(zero_copy_only=False)
+        tailed = [(c, w) for c, w, end in zip(new, trimmed.to_numpy(zero_copy_only=False), ends, strict=True) if end and len(c) > len(w)]
+        whole = set(new).difference(c for c, _ in tailed)
+        whole.update(w for _, w in tailed if w not in number)
+        whole.update(t for t in {c[len(w) :] for c, w in tailed} if t not in number)
+        self._encode(list(whole))
+        # a tail may be a chunk, too; what has a number by now keeps it
+        tailed = [(c, w) for c, w in tailed if c not in number]
+        pairs = np.array([(number[w], number[c[len(w) :]]) for c, w in tailed], "i8").reshape(-1, 2)
+        number.update(zip((c for c, _ in tailed), range(len(self.start), len(self.start) + len(tailed)), strict=True))
         self._add(self._row(pairs.ravel())[0], self.length[pairs].sum(1))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
@@ -96,18 +100,21 @@ class ChunkEncoder:
         """The ids (little-endian unsigned, 32 bits) of all texts in a row, and where each text's begin, with the end of the last."""
         if len(self.number) > self.most or self.used > self.most_ids:
             self._forget()
-        spaced = pc.replace_substring(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), "\t", " ")
+        texts = texts.cast(pa.large_string()).fill_null("")
+        spaced = pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " ")
+        if not pc.any(pc.match_substring(spaced, "<|")).as_py():
+            spaced = pc.ascii_lower(spaced)
         split = pc.split_pattern(spaced, " ")
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self._learn(chunks)
-        own = np.array([self.number[c] for c in chunks], "i8")[coded.indices.to_numpy()]
+        own = np.fromiter(map(self.number.__getitem__, chunks), "i8", len(chunks))[coded.indices.to_numpy()]
         ids, ends = self._row(own)
         of_text = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
         for c in chunks:
             if len(c) > 64:
                 self.number.pop(c, None)
-                self.number.pop(self._parts(c)[0], None)
+                self.number.pop(c.rstrip(self._TAIL) or c, None)
         return ids, of_text
 
 
