@@ -4,11 +4,14 @@ The binary Golay code of length 23 is perfect: each 23-bit word lies within 3 bi
 4096 codewords. The keys of a segment are the codewords of all words within one bit of it (1 to 7,
 5 on average); two segments that differ in at most 2 bits share a key. Fingerprints that share a composed key
 are compared in full, so keys decide what is compared and never what is linked.
+
+Where a similarity is asked for, keys and distances (and MinHash keys, as Golay keys alone miss a part) only name
+candidates, and the shingle sets themselves decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -66,24 +69,56 @@ def golay() -> Golay:
     return _GOLAY[0]
 
 
-def fingerprint(text: bytes, shingle: int, words: int) -> np.ndarray:
-    """`words` unsigned 64-bit words: the SimHash under XXH64 with seed 42, and under hashes mixed from it."""
+def _shingles(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of each run of `shingle` words, a shorter text being one, in parts."""
     tokens = text.lower().split()
     if not tokens:
-        return np.zeros(words, dtype=np.uint64)
+        return
     joined, ends = b" ".join(tokens), list(accumulate(map(len, tokens), lambda at, n: at + 1 + n))
     starts = [0, *(e + 1 for e in ends[:-1])]
     last = ends[shingle - 1 :] or ends[-1:]
-    count = np.zeros((words, 64), dtype=np.int64)
     for k in range(0, len(last), 50_000):
-        h = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[k : k + 50_000], last[k : k + 50_000])], dtype=np.uint64)  # noqa: B905
+        yield np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[k : k + 50_000], last[k : k + 50_000])], dtype=np.uint64)  # noqa: B905
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *_shingles(text, shingle)]))
+
+
+def _simhash(parts: Iterable[np.ndarray], words: int) -> np.ndarray:
+    count, n = np.zeros((words, 64), dtype=np.int64), 0
+    for h in parts:
+        n += len(h)
         for i in range(words):
             if i:
                 h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
                 h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 h ^= h >> np.uint64(33)
             count[i] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * count > len(last), axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return np.packbits(2 * count > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def fingerprint(text: bytes, shingle: int, words: int) -> np.ndarray:
+    """`words` unsigned 64-bit words: the SimHash under XXH64 with seed 42, and under hashes mixed from it."""
+    return _simhash(_shingles(text, shingle), words)
+
+
+#: MinHash keys: a similarity of 0.8 shares one of 16 keys of 4 values with probability 0.9998, one of 0.9 always but for 1e-7.
+BANDS, BAND_ROWS = 16, 4
+_MIX = np.random.default_rng(29).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minhash_keys(found: np.ndarray) -> np.ndarray:
+    """The keys (int64, below zero) of a set of hashes."""
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(found), 4096):
+        low = np.minimum(low, ((found[None, k : k + 4096] ^ _MIX[0]) * _MIX[1]).min(1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in low.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return (key | np.uint64(1 << 63)).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
@@ -98,6 +133,39 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(releasing(run), "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
+def set_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(doc_id, text_hash, digest, f0, ..., m0, ...): fingerprints and MinHash keys of each text's set of shingles; digest names the set."""
+    names = [f"f{i}" for i in range(words)] + [f"m{i}" for i in range(BANDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingle_set(t or b"", shingle) for t in b.column("text").to_pylist()]
+            f = np.array([_simhash([x], words) for x in sets], dtype=np.uint64).reshape(-1, words).view(np.int64)
+            m = np.array([minhash_keys(x) for x in sets], dtype=np.int64).reshape(-1, BANDS)
+            digest = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(digest), *(pa.array(c) for c in (*f.T, *m.T))], names=["doc_id", "text_hash", "digest", *names])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(releasing(run), "doc_id long, text_hash long, digest long, " + ", ".join(f"{n} long" for n in names))
+
+
+def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, broadcast_rows: int = 200_000) -> DataFrame:
+    """Those of pairs (a, b: text hashes) whose sets of shingles have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingle_set(t, shingle).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("text_hash"), pa.array(sets, pa.list_(pa.int64()))], names=["text_hash", "s"])
+
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct())
+    rows = docs.where("text IS NOT NULL").select(F.col("text").cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    rows = rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    sets = cut(rows.mapInArrow(releasing(run), "text_hash long, s array<long>"))
+    both = pairs.join(sets.select(F.col("text_hash").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("text_hash").alias("b"), F.col("s").alias("y")), "b")
+    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    return both.where(F.col("shared") / (F.col("n") - F.col("shared")) >= similarity).select("a", "b")
+
+
 def exact_and_segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For links within 3 of 64 bits: one of four 16-bit blocks has no error, and one half of the other
     48 bits has at most one. A key is a block, its bits, a half and a codeword of 23 of its bits."""
@@ -154,32 +222,51 @@ def _spanning(node: np.ndarray, f: np.ndarray, within: int) -> tuple[list, list]
     return a, b
 
 
+def _apart(node: np.ndarray, f: np.ndarray, root: np.ndarray, within: int) -> tuple[list, list]:
+    """All links among these between different roots; rows of the commonest root need no comparing with each other."""
+    found, n = np.unique(root, return_counts=True)
+    a, b = [], []
+    for i in np.flatnonzero(root != found[n.argmax()]).tolist() if len(found) > 1 else []:
+        got = node[(root != root[i]) & (_distance(f, i, slice(None)) <= within)]
+        a += [int(node[i])] * len(got)
+        b += got.tolist()
+    return a, b
+
+
 def _and_end(batches: Iterator) -> Iterator:
     yield from batches
     yield None
 
 
-def links(classes: DataFrame, within: int, keys: Callable, words: int) -> DataFrame:
+def links(classes: DataFrame, within: int, keys: Callable, words: int, forest: int | None = None, more: tuple[str, ...] = (), apart: bool = False) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of classes (node, f0, ...) within so many bits.
 
+    `more` names columns with further keys; `forest` is another distance for the forests of groups of over 8. With
+    `apart` only those groups are read, and all their pairs of different `root` (a column) are given.
+
     A key's rows come to one task in order and hold 8 (1 + words) bytes each; groups of over 8 give a spanning
     forest instead of their pairs. Classes have distinct fingerprints, so copies never meet here.
     """
     names = [f"f{i}" for i in range(words)]
+    labels = ["root"] if apart else []
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, f = b.column("node").to_numpy(), np.stack([b.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
             for at in range(0, len(node), 2000):
                 row, key, own = keys(f[at : at + 2000])
+                if more:
+                    n = len(f[at : at + 2000])
+                    row, own = np.concatenate([row, np.tile(np.arange(n), len(more))]), np.concatenate([own, np.ones(n * len(more), dtype=bool)])
+                    key = np.concatenate([key, *(b.column(c).to_numpy()[at : at + 2000] for c in more)])
                 row = row + at
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(node[row]), *(pa.array(f[row, i].view(np.int64)) for i in range(words))], names=["key", "own", "node", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(node[row]), *(pa.array(f[row, i].view(np.int64)) for i in range(words)), *(pa.array(b.column(c).to_numpy()[row]) for c in labels)], names=["key", "own", "node", *names, *labels])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in _and_end(batches):
             if b is not None:
-                new = [b.column(n).to_numpy(zero_copy_only=False) for n in ("key", "own", "node", *names)]
+                new = [b.column(n).to_numpy(zero_copy_only=False) for n in ("key", "own", "node", *names, *labels)]
                 held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
                 if not len(held[0]):
                     continue
@@ -197,16 +284,17 @@ def links(classes: DataFrame, within: int, keys: Callable, words: int) -> DataFr
             return
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
-        keep = np.repeat((size > 1) & (np.add.reduceat(own.astype(np.int64), first) > 0), size)
+        keep = np.repeat((size > (8 if apart else 1)) & (np.add.reduceat(own.astype(np.int64), first) > 0), size)
         key, own, node = key[keep], own[keep], node[keep]
-        f = np.stack([c[keep] for c in cols[3:]], axis=1).view(np.uint64)
+        root = cols[-1][keep]
+        f = np.stack([c[keep] for c in cols[3 : 3 + words]], axis=1).view(np.uint64)
         if not len(key):
             return
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         a, b = [], []
         for s, n in zip(first[size > 8].tolist(), size[size > 8].tolist(), strict=True):
-            x, y = _spanning(node[s : s + n], f[s : s + n], within)
+            x, y = _apart(node[s : s + n], f[s : s + n], root[s : s + n], within) if apart else _spanning(node[s : s + n], f[s : s + n], within if forest is None else forest)
             a.append(np.array(x, dtype=np.int64))
             b.append(np.array(y, dtype=np.int64))
         at = np.flatnonzero(np.repeat(size <= 8, size))
@@ -223,28 +311,55 @@ def links(classes: DataFrame, within: int, keys: Callable, words: int) -> DataFr
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    fields = ", ".join(f"{n} long" for n in names)
+    fields = ", ".join(f"{n} long" for n in [*names, *labels])
     rows = classes.where("node IS NOT NULL").mapInArrow(releasing(expand), f"key long, own boolean, node long, {fields}")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(releasing(compare), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, within: int = 42, keys: Callable = segment_and_bits_keys) -> DataFrame:
+def _similar_components(classes: DataFrame, docs: DataFrame, shingle: int, words: int, similarity: float, within: int, loose: int, keys: Callable) -> DataFrame:
+    """(node, root) over pairs of classes (f0, ..., m0, ..., node, text_hash) that share a key, lie within `loose` bits and have the similarity.
+
+    Large groups of a key first give a forest at `within` bits. What is still apart once its edges were verified is then
+    compared in full, so that a forest's edge that fails takes no link away.
+    """
+    names, more = [f"f{i}" for i in range(words)], tuple(f"m{i}" for i in range(BANDS))
+    named = classes.where("node IS NOT NULL")
+    ends = lambda pairs: pairs.join(named.select(F.col("text_hash").alias("a"), F.col("node").alias("p")), "a").join(named.select(F.col("text_hash").alias("b"), F.col("node").alias("q")), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    first = cut(links(named.select(F.col("text_hash").alias("node"), *names, *more), loose, keys, words, within, more).distinct())
+    edges = cut(ends(similar(first, docs, shingle, similarity)))
+    roots = components(edges)
+    labelled = named.join(roots, "node", "left").select(F.col("text_hash").alias("node"), *names, *more, F.coalesce("root", "node").alias("root"))
+    rest = links(labelled, loose, keys, words, None, more, True).distinct()
+    rest = cut(rest.join(first, ["a", "b"], "left_anti"))
+    return components(edges.unionByName(ends(similar(rest, docs, shingle, similarity)))) if rest.limit(1).count() else roots
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, within: int = 42, keys: Callable = segment_and_bits_keys, similarity: float | None = 0.8, loose: int = 64) -> DataFrame:
     """(doc_id, f0, ..., component_id) for each row of docs (doc_id, text; more columns are ignored).
 
-    component_id is the smallest doc_id reachable over fingerprints that differ in at most `within` bits.
-    The defaults take five-word shingles and 256 bits of SimHash, of which 39 differ at a similarity of 0.8 in
-    the mean; 42 allows for part of the estimate's spread (README has measured shares). Null and blank texts have the fingerprint zero and link like any
-    other; rows without doc_id belong to their copies' component, and only to that; an empty table gives no rows.
+    component_id is the smallest doc_id reachable over pairs whose sets of `shingle`-word shingles have a Jaccard
+    similarity of at least `similarity`; the fingerprints are then those of the sets. Keys and at most `loose` differing
+    bits (of 256, 39 differ at 0.8 in the mean, with a deviation of 6) only name the pairs that are compared.
+    Without `similarity`, pairs whose fingerprints differ in at most `within` bits link. Null and blank texts have the
+    fingerprint zero and are copies of each other; rows without doc_id belong to their copies' component, and only to
+    that; an empty table gives no rows.
     """
     names = [f"f{i}" for i in range(words)]
-    fps = cut(fingerprints(docs, shingle, words))
-    classes = cut(fps.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    roots = components(links(classes, within, keys, words))
-    named = classes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
-    return fps.join(named, names, "left").select("doc_id", *names, "component_id")
+    if similarity is None:
+        by = names
+        fps = cut(fingerprints(docs, shingle, words))
+        classes = cut(fps.groupBy(*names).agg(F.min("doc_id").alias("node")))
+        roots = components(links(classes, within, keys, words))
+    else:
+        by = ["digest", *names]
+        fps = cut(set_fingerprints(docs, shingle, words))
+        classes = cut(fps.groupBy(*by).agg(F.min("doc_id").alias("node"), *[F.min(n).alias(n) for n in ("text_hash", *(f"m{i}" for i in range(BANDS)))]))
+        roots = _similar_components(classes, docs, shingle, words, similarity, within, loose, keys)
+    named = classes.join(roots, "node", "left").select(*by, F.coalesce("root", "node").alias("component_id"))
+    return fps.join(named, by, "left").select("doc_id", *names, "component_id")
 
 
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, words=1, within=3, keys=exact_and_segment_keys)
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, words=1, within=3, keys=exact_and_segment_keys, similarity=None)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -457,6 +457,25 @@ def test_simhash_rows(docs):
     assert simhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_near_copies_are_those_of_the_similarity(spark):
+    """Edited copies from 0.6 to 1: the components are those of all pairs with a true similarity of 0.8."""
+    rng, texts = random.Random(17), []
+    for k in range(120):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 400]))]
+        texts.append(base)
+        for _ in range(12 if k == 0 else 2):  # a group of over 8
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) * rng.randint(1, 5) // 100)):
+                copy[at] = f"new{rng.randrange(10**9)}"
+            texts.append(copy)
+    texts += [["same"] * 300 + [f"u{i}x{j}" for j in range(40)] for i in range(3)]  # one shingle repeated, little else alike
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = [(i, j) for i in range(len(sets)) for j in range(max(0, i - 15), i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == roots(len(texts), want) and len(want) > 80
+
+
 # 10
 HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head><body><header>H</header><nav><ul><li>menu</li></ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- c <article>no</article> --><article class="post"><header>by x</header><h1>Title &amp; more</h1><p>First <b>bold</b>er&nbsp;text<br>line</p><div class="ad"><p>Buy</p></div>
