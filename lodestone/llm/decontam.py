@@ -64,23 +64,28 @@ def _windows(tokens: Column, width: int, step: int) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i, width)).alias("h")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, step: int = 3, share: float = 0.5, broadcast_rows: int = 200_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, step: int = 1, share: float = 0.5, broadcast_rows: int = 200_000) -> DataFrame:
     """Pairs (doc_id, item_id, matched, item_tokens, share, kind) of docs (doc_id, text) and benchmark (item_id, text); more columns are ignored.
 
     Benchmark windows start at every token and document windows at every `step`-th, so any run of
     width + step - 1 equal template tokens is found. A pair counts where one alignment matches at least `share` of
     the item's tokens and its slots map one to one; kind is `exact` where all slot values are equal, else
-    `reparameterised`. Items of fewer than `width` tokens, null and empty texts match nothing. Rows with equal
+    `reparameterised`. An item of fewer than `width` tokens is one window, at every document token; one that is
+    placeholders alone counts only with its own values. Null and empty texts match nothing. Rows with equal
     doc_id (nulls included) are judged one by one and reported once; so are items with equal item_id.
     A side is broadcast only after it was counted as at most `broadcast_rows` rows; beyond that Spark shuffles both.
     """
     small = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = cut(_once(_once(items, t=template(F.col("text")), v=slot_values(F.col("text"))).drop("text"), p=slot_places(F.col("t"))).where(F.size("t") >= width))
-    heads = items.select("item_id", F.explode(_windows(F.col("t"), width, 1)).alias("w")).select("item_id", F.col("w.at").alias("item_at"), F.col("w.h").alias("h"))
+    items = cut(_once(_once(items, t=template(F.col("text")), v=slot_values(F.col("text"))).drop("text"), p=slot_places(F.col("t"))).where(F.size("t") >= 1))
+    short = sorted(r[0] for r in items.where(F.size("t") < width).select(F.size("t")).distinct().collect())
+    whole = F.array(F.struct(F.lit(1).alias("at"), F.xxhash64(F.col("t")).alias("h")))
+    heads = items.select("item_id", F.explode(F.when(F.size("t") < width, whole).otherwise(_windows(F.col("t"), width, 1))).alias("w")).select("item_id", F.col("w.at").alias("item_at"), F.col("w.h").alias("h"))
     heads = cut(heads)
-    rows = _once(docs, t=template(F.col("text"))).select("doc_id", F.explode(_windows(F.col("t"), width, step)).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.h").alias("h"))
+    windows = _windows(F.col("t"), width, step)
+    windows = F.concat(windows, *[_windows(F.col("t"), n, 1) for n in short]) if short else windows
+    rows = _once(docs, t=template(F.col("text"))).select("doc_id", F.explode(windows).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.h").alias("h"))
     found = cut(rows.join(small(heads, heads.count()), "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
     ids = found.select(F.col("doc_id").alias("hit")).distinct()
     tokens = docs.join(small(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi")
@@ -92,11 +97,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, step: in
     both = _once(both.select("doc_id", "item_id", "shift", "t", "v", "p", "dt", "dv", "dp"), same=same)
     slot = F.filter("same", lambda i: F.element_at("t", i).between(NUM, NAME))
     pairs = F.transform(slot, lambda i: F.struct(_value("v", "p", i).alias("a"), _value("dv", "dp", i + F.col("shift")).alias("b")))
-    both = _once(both.select("doc_id", "item_id", F.size("same").cast("long").alias("matched"), F.size("t").cast("long").alias("item_tokens"), "same", "t", "v", "p", "dv", "dp", "shift"), pairs=pairs)
+    bare = (F.size("t") < width) & F.forall("t", lambda x: x.between(NUM, NAME))
+    both = _once(both.select("doc_id", "item_id", bare.alias("bare"), F.size("same").cast("long").alias("matched"), F.size("t").cast("long").alias("item_tokens"), "same", "t", "v", "p", "dv", "dp", "shift"), pairs=pairs)
     n = F.size(F.array_distinct("pairs"))
     one_to_one = (n == F.size(F.array_distinct("pairs.a"))) & (n == F.size(F.array_distinct("pairs.b")))
-    good = both.where(one_to_one & (F.col("matched") >= F.col("item_tokens") * share))
-    kind = F.when(F.forall("pairs", lambda p: p.a == p.b), "exact").otherwise("reparameterised")
+    equal = F.forall("pairs", lambda p: p.a == p.b)
+    good = both.where(one_to_one & (F.col("matched") >= F.col("item_tokens") * share) & (equal | ~F.col("bare")))
+    kind = F.when(equal, "exact").otherwise("reparameterised")
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("matched"), F.col("item_tokens"), kind.alias("kind"))).alias("m"))
     return best.select("doc_id", "item_id", "m.matched", "m.item_tokens", (F.col("m.matched") / F.col("m.item_tokens")).alias("share"), "m.kind")
 

@@ -85,6 +85,15 @@ def test_contaminated_questions(spark):
     assert decontam.contaminated(empty(df), bench).count() == 0 and decontam.contaminated(df, empty(bench)).count() == 0
 
 
+def test_contaminated_by_short_items(spark):
+    """Items of one to seven template tokens are found at every offset, with other numbers too."""
+    items = ["What is 7 times 8?", "Name the largest ocean of earth", "Who wrote the first of these books", "Photosynthesis", "42"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = [(10 * i + k, "So. " * k + t + " and then more") for i, t in enumerate(items) for k in range(4)] + [(90, "what is 3 times 4"), (91, "what is 7 times"), (92, "see 41 there"), (93, "what is 3 times 3")]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(spark.createDataFrame(found, "doc_id long, text string"), bench).collect()}
+    assert got == {(10 * i + k, i): "exact" for i in range(5) for k in range(4)} | {(90, 0): "reparameterised"}
+
+
 def test_contaminated_corpus(spark, corpus, rows):
     bench = common.table(spark, SF, "benchmark").collect()
     tokens = lambda t: re.findall(r"[^\W_]+", t.lower())
