@@ -522,6 +522,23 @@ def test_pages_without_article(spark):
     assert html_extract.extract(empty(df)).count() == 0
 
 
+def test_pages_keep_their_own_text(spark):
+    """Copies of a page, class words on or around an article, and article tags in scripts take no text away."""
+    words = "this is the one story that both of the pages tell in the same words"
+    for page in (f'<article class="post has-sidebar"><p>{words}</p></article>', f'<main class="no-sidebar">{words}</main>', f'<div id="page-with-comments"><article>{words}</article><p>x</p></div>', f'<div class="sponsored"><div role="main">{words}</div></div>'):
+        assert html_extract.blocks(page) == ([words], True)
+    assert html_extract.blocks(f'<article>{words}<div class="comments">reader</div></article><div class="ad">Buy</div>') == ([words], True)
+    assert html_extract.blocks('<div hidden><article>no</article></div>')[0] == []
+    menu = "<div>home about us contact and all our terms of use apply here</div>"
+    rows = [(i, f"https://a.org/{i}", f"<body>{menu}<p>{words} and more words make it the longest</p></body>") for i in range(2)]
+    rows += [(2, "https://a.org/2", f"<body><script>'<article>'</script>{menu}<p>another page that says something of its own and is longest here by far</p></body>")]
+    second = "<p>its second part is the same at two addresses with other things around it</p>"
+    rows += [(i, f"https://a.org/{i}", f"<body>{menu}<p>the first part of an article at two addresses is its longest part by a word</p>{second}<p>seen {i}</p></body>") for i in (3, 4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("home about" not in t for t in got.values()) and all("first part of" in got[i] and "its second part" in got[i] for i in (3, 4))
+    assert got[0] == got[1] == f"{words} and more words make it the longest" and "home about" not in got[2] and "another page" in got[2]
+
+
 # pipeline
 def test_pipeline(spark, rows):
     pipeline = pytest.importorskip("corpus_pipeline")
