@@ -123,12 +123,29 @@ def contained_texts(needles: DataFrame, texts: DataFrame, needle: str, text: str
     """Pairs (needle id, text id) where a text holds a needle, white space aside; both frames have (id, text) columns by these names.
 
     Words 2 to `words` + 1 of a needle stand whole in any text that holds it, so that window is hash-joined before texts
-    are compared; needles of fewer than words + 2 words match nothing.
+    are compared. A needle of 3 to words + 1 words joins by all its inner words, one of 1 or 2 by up to 8 characters of its
+    longer word, which a word of the text must hold; an empty one is in every text. The lengths in use are collected.
     """
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    a = needles.select(needle, flat(F.col("text")).alias("q")).withColumn("w", F.split("q", " ")).where(F.size("w") >= words + 2)
-    a = a.select(needle, "q", F.xxhash64(F.slice("w", 2, words)).alias("h"))
-    b = texts.select(text, F.explode(F.array(F.split(flat(F.col("text")), " "))).alias("w"))
-    b = b.where(F.size("w") >= words).select(text, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.slice("w", i, words))))).alias("h"))
-    pairs = b.join(a, "h").select(needle, text, "q").distinct()
+    a = needles.where("text IS NOT NULL").select(needle, flat(F.col("text")).alias("q")).withColumn("w", F.split("q", " "))
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+    n = F.size("w")
+    # so many whole words, or below zero so many characters
+    kind = F.when(n > 2, F.least(n - 2, F.lit(words))).otherwise(-F.least(longest["n"], F.lit(8)))
+    a = a.withColumn("kind", kind).withColumn("h", F.when(F.col("kind") > 0, F.xxhash64(F.expr("slice(w, 2, greatest(kind, 0))"))).otherwise(F.xxhash64(longest["x"].substr(F.lit(1), -F.col("kind")))))
+    a = a.select(needle, "q", "kind", "h")
+    kinds = [r[0] for r in a.select("kind").distinct().collect()]
+    b = texts.where("text IS NOT NULL").select(text, F.explode(F.array(F.split(flat(F.col("text")), " "))).alias("w"))
+    whole = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.slice("w", i, k)))
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.length("x") - k + 1), lambda i: F.xxhash64(F.col("x").substr(i, F.lit(k))))
+    pairs = a.where("kind = 0").crossJoin(texts.where("text IS NOT NULL").select(text)).select(needle, text, "q").distinct() if 0 in kinds else None
+    for k in sorted(x for x in kinds if x):
+        if k > 0:
+            rows = b.where(F.size("w") >= k).select(text, F.explode(F.array_distinct(whole(k))).alias("h"))
+        else:
+            rows = b.select(text, F.explode(F.array_distinct("w")).alias("x")).where(F.length("x") >= -k).select(text, F.explode(grams(-k)).alias("h"))
+        found = rows.join(a.where(F.col("kind") == k), "h").select(needle, text, "q").distinct()
+        pairs = found if pairs is None else pairs.unionByName(found)
+    if pairs is None:
+        pairs = a.crossJoin(texts.select(text)).where("1 = 0").select(needle, text, "q")
     return pairs.join(texts.select(text, flat(F.col("text")).alias("t")), text).where(F.contains("t", "q")).select(needle, text)

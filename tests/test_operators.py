@@ -238,3 +238,15 @@ def test_routing(spark):
     df = spark.createDataFrame([("a", 0), ("b", 1), ("a", 3), ("z", 0)], "kind string, attempts int")
     streams.routed(df, "kind", {k: (lambda d, k=k: got.__setitem__(k, d.count())) for k in ("a", "b", "dead")}, "attempts")
     assert got == {"a": 1, "b": 1, "dead": 2}
+
+
+def test_short_needles_are_contained(spark):
+    """Needles of no to eight words, whole or within words, as Python's `in` finds them."""
+    needles = ["", "a", "at sat", "cat", "é", "cat sat on", "the cat sat on", "the cat sat on the", "cat  sat on the mat", "he cat sat on the mat to", "dog", "dog ran", "the dog sat on", "ca t", "extraordinarily", "inarily lo"]
+    texts = ["the cat sat on the mat today", "concatenate", "cat", "", "café at sat", "an extraordinarily long dog", "the cat\nsat on\tthe mat", None]
+    flat = lambda x: " ".join(x.split())
+    a = spark.createDataFrame(list(enumerate(needles)) + [(99, None)], "item long, text string")
+    b = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    got = sorted((r["item"], r["doc"]) for r in evidence.contained_texts(a, b, "item", "doc").collect())
+    assert got == sorted((i, j) for i, x in enumerate(needles) for j, y in enumerate(texts) if y is not None and flat(x) in flat(y))
+    assert evidence.contained_texts(a.where("1 = 0"), b, "item", "doc").count() == 0
