@@ -44,13 +44,13 @@ def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def encode_record(page_id: int, url: str, payload: bytes | None, digest: str, refers_to: int | None, when: str) -> bytes:
-    """One record. A revisit (refers_to is set) holds the HTTP headers only; digest is that of the full payload."""
+def encode_record(page_id: int | None, url: str, payload: bytes | None, digest: str, refers_to: int | None, when: str) -> bytes:
+    """One record; without page_id its id is a random one and no Page-ID names it. A revisit (refers_to is set) holds the HTTP headers only; digest is that of the full payload."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block = head + b"\r\n" if refers_to is not None else head + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
     fields = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": _record_id(page_id),
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else _record_id(page_id),
         "WARC-Date": when,
         "WARC-Target-URI": "".join(url.split()) or "about:blank",
         "WARC-Payload-Digest": digest,
@@ -58,6 +58,8 @@ def encode_record(page_id: int, url: str, payload: bytes | None, digest: str, re
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
     }
+    if page_id is not None:
+        fields["Page-ID"] = str(page_id)
     if refers_to is not None:
         fields |= {"WARC-Refers-To": _record_id(refers_to), "WARC-Profile": REVISIT_PROFILE}
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -190,11 +192,11 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     digest = f.get("warc-payload-digest", "")
                     hexed = base64.b32decode(digest.removeprefix("sha1:")).hex() if digest.startswith("sha1:") else None
                     refers = _page_id(f["warc-refers-to"]) if "warc-refers-to" in f else None
-                    rows.append((_page_id(f["warc-record-id"]), f.get("warc-target-uri"), f["warc-type"], refers, r["payload"], hexed, path.rsplit("/", 1)[-1]))
+                    rows.append((int(f["page-id"]) if "page-id" in f else None, f.get("warc-target-uri"), f["warc-type"], refers, r["payload"], hexed, path.rsplit("/", 1)[-1]))
                     if len(rows) >= 2000:
-                        yield pd.DataFrame(rows, columns=names).astype({"refers_to": "Int64"})
+                        yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
                         rows = []
-                yield pd.DataFrame(rows, columns=names).astype({"refers_to": "Int64"})
+                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder)
     return files.select("path", "content").mapInPandas(run, RECORD)
@@ -204,15 +206,14 @@ def archive_pages(pages: DataFrame, folder: str, least: int = 1000) -> int:
     """Writes a record for each row of pages (page_id, url, html; more columns are ignored); returns how many.
 
     Of records with equal payloads of at least `least` bytes the one with the largest page_id is the response
-    and the others revisit it. Null html is an empty payload. page_id identifies a record, so it must be unique
-    and not null: rows without one raise, as a record without identity can't be written.
+    and the others revisit it. Null html is an empty payload. Each row is one record: rows without page_id are responses,
+    and repeated rows are repeated records, which share their record id.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    pages = pages.withColumn("page_id", F.when(F.col("page_id").isNull(), F.raise_error(F.lit("page_id is null")).cast("long")).otherwise(F.col("page_id")))
     narrow = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least)
     top = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    refs = narrow.join(top, "digest").where("page_id <> refers_to").select("page_id", "refers_to")
-    out = pages.join(refs, "page_id", "left").withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    refs = narrow.join(top, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    out = pages.withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(refs, ["page_id", "digest"], "left")
     return write_archives(out, folder).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
 
 
@@ -223,7 +224,7 @@ def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive_pages(table(spark, sf_dir, "pages"), folder if "://" in folder else f"file://{folder}")
     records = read_archives(spark, folder)
     own = records.select("page_id", F.octet_length("payload").cast("long").alias("own"), "payload_digest", "record_type", "refers_to")
-    kept = own.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("own").alias("full"), F.col("payload_digest").alias("full_digest"))
-    joined = own.where("record_type = 'revisit'").join(kept, "refers_to", "left").withColumn("own", F.when(F.col("full_digest") == F.col("payload_digest"), F.col("full")))
+    kept = own.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("own").alias("full"), "payload_digest").distinct()
+    joined = own.where("record_type = 'revisit'").join(kept, ["refers_to", "payload_digest"], "left").withColumn("own", F.col("full"))
     cols = ["page_id", F.col("own").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"]
     return own.where("record_type = 'response'").select(*cols).unionByName(joined.select(*cols))

@@ -183,6 +183,14 @@ def test_warc_round_trip(spark, tmp_path):
             assert (r["record_type"], r["refers_to"], bytes(r["payload"])) == ("response", None, raw)
 
 
+def test_warc_rows_without_id_and_repeated(spark, tmp_path):
+    big = "<p>" + "z" * 2000
+    rows = [(1, "u", big)] * 3 + [(2, "u", big)] * 2 + [(None, "u", big), (None, None, None), (2, "u", big + "other")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.op3_warc_zstd(spark, str(tmp_path)).collect())
+    assert got == Counter({(1, 2003, "revisit", 2): 3, (2, 2003, "response", None): 2, (None, 2003, "response", None): 1, (None, 0, "response", None): 1, (2, 2008, "response", None): 1})
+
+
 def test_warc_reads_a_compressed_dictionary_and_checks(spark):
     samples = [f"<html><body><p>page {i} with common words and more common words {i * 7}</p></body></html>".encode() for i in range(300)]
     raw = zstandard.train_dictionary(4096, samples).as_bytes()
