@@ -105,6 +105,65 @@ def test_contaminated_corpus(spark, corpus, rows):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and want
 
 
+def plain_tokens(text):
+    """Words and (type, value) slots, by patterns of their own: no names here."""
+    out = []
+    for m in re.finditer(r"[0-9]+(?:[.,:/][0-9]+)*|[^\W\d_]+", text):
+        unit = out and isinstance(out[-1], tuple) and out[-1][0] == "n" and re.fullmatch(decontam.UNITS, m[0].lower()) and text[last : m.start()].strip(" ") == ""
+        out.append(("n", m[0]) if m[0][0].isdigit() else ("u", m[0].lower()) if unit else m[0].lower())
+        last = m.end()
+    return out
+
+
+def test_contaminated_against_brute_force(spark):
+    """Every alignment of every pair: a run of six (or a whole shorter item) that holds a word or equal values, half the tokens, slots one to one."""
+    rng, kind = random.Random(21), lambda x: x[0] if isinstance(x, tuple) else x + "."
+    make = lambda n, k: " ".join(rng.choice([f"w{chr(97 + rng.randrange(k))}", str(rng.randrange(4)), f"{rng.randrange(3)} km", "the"]) for _ in range(n))
+    items = [make(rng.randint(1, 14), 3) for _ in range(25)] + ["1 2 3 4 5 6 7 8", "9 9"]
+    texts = [make(rng.randint(0, 40), 3) for _ in range(60)] + [make(rng.randrange(5), 3) + " " + items[i % 25] + " " + make(3, 3) for i in range(50)] + [" ".join(map(str, range(n))) for n in (9, 50)]
+    want, all_items, all_docs = {}, [plain_tokens(t) for t in items], [plain_tokens(t) for t in texts]
+    for i, a in enumerate(all_items):
+        for d, b in enumerate(all_docs):
+            for shift in range(-len(a) + 1, len(b)):
+                own = [(x, b[k + shift] if 0 <= k + shift < len(b) else None) for k, x in enumerate(a)]
+                same = [(x, y) for x, y in own if y is not None and kind(x) == kind(y)]
+                w = min(6, len(a))
+                runs = [own[k : k + w] for k in range(len(a) - w + 1)]
+                seeded = any(all(y is not None and kind(x) == kind(y) for x, y in r) and (any(isinstance(x, str) for x, _ in r) or all(x == y for x, y in r)) for r in runs)
+                slots = {p for p in same if isinstance(p[0], tuple)}
+                if seeded and 2 * len(same) >= len(a) and len(slots) == len({x for x, _ in slots}) == len({y for _, y in slots}):
+                    want[d, i] = max(want.get((d, i), (0, "")), (len(same), "exact" if all(x == y for x, y in slots) else "reparameterised"))
+    got = decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): (r["matched"], r["kind"]) for r in got.collect()} == want and len(want) > 100
+
+
+def test_contaminated_by_long_lists(spark):
+    """Texts of a hundred thousand names or a million numbers are read without recursion; a table of numbers meets no item of other numbers."""
+    texts = ["the " + "Ab " * 100_000, "1," * 1_000_000, "see " + "1 " * 200_000, "la " * 100_000, "3 km " * 50_000, "\ue000\ue003 la"]
+    items = [(0, "1 2 3 4 5 6 7 8"), (1, "la la la la la la la la la"), (2, "what is 1 2 3 4 5 6 7")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = decontam.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["matched"], r["kind"]) for r in got] == [(3, 1, 9, "exact")]
+
+
+def test_templates_are_those_of_the_sql(spark, corpus):
+    import duckdb
+
+    odd = [(10**6 + i, t) for i, t in enumerate(["the Ab, Cd E Fg", "a AbC Ab", "x 1,2,3. 5 kmh 5 km", "im Öl Über, Ab", "1.", "ab Cd\n", "3  KM, 4 lbs"])]
+    frame = spark.createDataFrame(odd, "doc_id long, text string").unionByName(corpus.select("doc_id", "text").where("text <> ''"))
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    want = dict(con.execute("WITH " + decontam._sql("documents", "doc_id", "d") + " SELECT doc_id, v FROM d").fetchall())
+    assert {r["doc_id"]: r["v"] for r in frame.select("doc_id", decontam.tokens(F.col("text")).alias("v")).collect()} == want
+
+
+def test_rows_without_contamination(spark):
+    rows = [(None, PASSAGE, 1), (None, "clean words of its own", 2), (None, None, 3), (1, PASSAGE, 4), (1, "clean", 5), (2, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_hash int")
+    bench = spark.createDataFrame([(0, PASSAGE)], "item_id long, text string")
+    assert sorted(r["text_hash"] for r in decontam.without_contaminated(df, bench).collect()) == [2, 3, 5, 6]
+
+
 def test_native_plan(spark):
     plan = decontam.op1_template_decontamination(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
