@@ -45,9 +45,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, as it stands or with other numbers, units and names."""
-    hit = cut(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit")).distinct())
-    return docs.join(_small(hit), F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
+    """Drops documents that hold a benchmark item, as it stands or with other numbers, units and names.
+
+    Rows that share a doc_id (null included) are judged each by its own text; rows without text stay.
+    """
+    return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
