@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -17,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share. Only a session in one process (`local`) may go without: it gets a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -63,18 +66,18 @@ def releasing(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return run
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     edges: columns a and b (not null) of one orderable type. Returns (node, root) with the smallest
     node of each component as root, for every node that has an edge to another node. Each step keeps
     at most as many rows as there are edges; a hub's rows are aggregated with map-side combine before
-    they are joined, and the join may be split by AQE. Raises if not settled after `rounds`.
+    they are joined, and the join may be split by AQE. The steps end by themselves, in a number that grows with the logarithm of the nodes.
     """
     pair = lambda x, y: F.struct(F.least(x, y).alias("b"), F.greatest(x, y).alias("a"))
     cur = cut(edges.where("a <> b").select(pair(F.col("a"), F.col("b")).alias("p")).select("p.a", "p.b").distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -87,4 +90,3 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == seen and now[0] == now[2]:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = now
-    raise RuntimeError(f"components not settled after {rounds} rounds")

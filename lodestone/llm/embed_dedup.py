@@ -131,7 +131,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.98,
     bad = F.col("e").isNull() | (F.size("e") == 0) | F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists("e", lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"))
     good = F.col("vec_id").isNotNull() & ~F.coalesce(bad, F.lit(True))
-    marked = rows.withColumn("h1", F.when(good, F.xxhash64("e"))).withColumn("h2", F.when(good, F.xxhash64("e", F.lit("second"))))
+    marked = rows.withColumn("h1", F.when(good, F.xxhash64("e"))).withColumn("h2", F.when(good, F.xxhash64(F.lit("second"), "e")))
     ids = cut(marked.select("vec_id", "h1", "h2"))
     classes = cut(marked.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("e").alias("e")))
     width, bands = plan(classes.count(), cosine, recall)

@@ -32,27 +32,31 @@ def _grams(codes: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate([f >> shift for f in found])
 
 
-def _part_counts(parts: list[str], owners: list[int], n: int, dim: int) -> np.ndarray:
-    text = " " + " ".join(parts) + "  "
+def _part_counts(parts: list[tuple[str, int, bool]], owners: list[int], n: int, dim: int) -> np.ndarray:
+    """Counts of n texts. parts: (text, leading characters that the part before had, whether it ends its text)."""
+    text = " " + " ".join(p for p, _, _ in parts) + "  "
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     codes = np.where(_is_letter()[codes], codes, 0)
-    owner = np.repeat(np.array(owners), [len(p) + 1 for p in parts])
+    # an n-gram belongs to the text of its last character; row n takes those that another part counts
+    runs = [(o, k) for (p, seen, ends), own in zip(parts, owners, strict=True) for o, k in ((n, seen), (own, len(p) - seen), (own if ends else n, 1))]
+    owner = np.repeat(np.array([o for o, _ in runs]), [k for _, k in runs])
     owner = np.concatenate([owner[:1], owner, owner[-1:]])
     at, bucket = _grams(codes, dim)
-    return np.bincount(owner[at] * dim + bucket, minlength=n * dim).reshape(n, dim)
+    return np.bincount(owner[at] * dim + bucket, minlength=(n + 1) * dim).reshape(n + 1, dim)[:n]
 
 
 def counts(texts: list[str | None], dim: int = DIM) -> np.ndarray:
-    """n-gram counts of whole texts, a row each. Long texts are read in chunks that meet between characters,
-    so that memory stays bounded; the few n-grams across such a cut count as at a word's edge."""
+    """n-gram counts of whole texts, a row each. Long texts are read in chunks, so that memory stays bounded,
+    which overlap by the two characters that an n-gram may reach back."""
     out = np.zeros((len(texts), dim), dtype=np.float32)
     parts, owners, held = [], [], 0
     for i, t in enumerate(texts):
         t = (t or "").lower()
         for k in range(0, len(t), CHUNK):
-            parts.append(t[k : k + CHUNK])
+            seen = min(k, 2)
+            parts.append((t[k - seen : k + CHUNK], seen, k + CHUNK >= len(t)))
             owners.append(i)
-            held += len(parts[-1])
+            held += len(parts[-1][0])
             if held >= CHUNK or len(parts) >= 256:
                 lo = owners[0]
                 out[lo : i + 1] += _part_counts(parts, [o - lo for o in owners], i + 1 - lo, dim)

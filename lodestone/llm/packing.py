@@ -202,7 +202,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
     cur = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(first), schema))
     parts, left = [cur.where("done")], cur.where("NOT done")
     n, groups, before = left.count(), None, None
-    while n > 1 and before != 1 and (groups is None or n < 0.99 * last):
+    while n > 1 and before != 1 and (groups is None or n < last):
         groups = max(1, -(-n // group), (groups or 0) // fan_in)
         # sizes spread over all groups; the key is of the bin's content, so a lost task deals the same again
         dealt = left.withColumn("g", F.pmod(F.xxhash64("members"), F.lit(groups)))

@@ -47,15 +47,18 @@ def ranked(df: DataFrame, key: str, *order: str) -> DataFrame:
     parts = dealt.groupBy("_part", key).agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     parts = parts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    return dealt.join(F.broadcast(parts), ["_part", key]).withColumn("place", F.col("_at") - F.col("_from") + F.col("_before")).drop("_part", "_at", "_from", "_before")
+    # partitions x keys rows; beyond a million of them Spark shuffles
+    parts = F.broadcast(parts) if n * df.select(key).distinct().count() <= 1_000_000 else parts
+    return dealt.join(parts, ["_part", key]).withColumn("place", F.col("_at") - F.col("_from") + F.col("_before")).drop("_part", "_at", "_from", "_before")
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, rounds: int = 8, unit_share: int = 2) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 8, rounds: int = 8, unit_share: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Deals docs (doc_id, text; more columns are ignored) to shards whose counts are at most one apart.
 
     Documents of equal text are neighbours. A group of more than 1/unit_share of a shard is split by hash into units
     below that, so no group meets in one task. Null text has size 1, checksum 0 and the neighbours of the empty
     text; repeated rows and rows without doc_id are dealt each for itself; an empty table gives no rows.
+    Groups and units are broadcast only after they were counted as at most `broadcast_rows`; Spark splits hot ones beyond that.
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law has none), group_rows.
     """
     raw = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
@@ -63,15 +66,16 @@ def shard_rows(docs: DataFrame, shards: int = 8, rounds: int = 8, unit_share: in
     n = base.count()
     quota = max(1, n // shards)
     group = ["h", "text_crc32", "size"]
-    sizes = base.groupBy(*group).agg(F.count("*").alias("group_rows")).where("group_rows > 1")
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    sizes = cut(base.groupBy(*group).agg(F.count("*").alias("group_rows")).where("group_rows > 1"))
     limit = max(1, quota // unit_share)
-    rows = base.join(sizes, group, "left").withColumn("group_rows", F.coalesce("group_rows", F.lit(1)))
+    rows = base.join(small(sizes), group, "left").withColumn("group_rows", F.coalesce("group_rows", F.lit(1)))
     rows = rows.withColumn("home", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     part = F.pmod(F.xxhash64("row", F.lit("part")), F.ceil(F.col("group_rows") / F.lit(limit)))
     rows = cut(rows.withColumn("unit", F.when(F.col("group_rows") > 1, F.xxhash64(*group, part))))
     state = cut(rows.where("unit IS NOT NULL").groupBy("unit", "home").agg(F.count("*").alias("n")).withColumn("shard", F.col("home")).select("unit", "home", "shard", "n"))
     moved = propagate(state, shards, quota, rounds).select("unit", "home", F.col("shard").alias("goal"))
-    placed = rows.join(moved, ["unit", "home"], "left").withColumn("shard", F.coalesce("goal", "home")).withColumn("free", F.col("unit").isNull()).withColumn("mix", F.coalesce("unit", F.xxhash64("row", F.lit("mix")))).drop("goal", "home")
+    placed = rows.join(small(moved), ["unit", "home"], "left").withColumn("shard", F.coalesce("goal", "home")).withColumn("free", F.col("unit").isNull()).withColumn("mix", F.coalesce("unit", F.xxhash64("row", F.lit("mix")))).drop("goal", "home")
     placed = cut(placed)
     have = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
     have = [have.get(s, 0) for s in range(shards)]

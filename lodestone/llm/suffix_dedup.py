@@ -325,8 +325,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_docs: int = 1000, c
     text = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     n = F.octet_length("text").cast("long")
-    narrow = cut(rows.where("doc_id IS NOT NULL").select("doc_id", n.alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit("second")).alias("h2")))
-    same = narrow.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").drop("high")
+    narrow = cut(rows.where("doc_id IS NOT NULL").select("doc_id", n.alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")))
+    # a table of its own, so that it is broadcast where it is small and Spark may split a hot group where it is not
+    same = cut(narrow.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").drop("high"))
+    same = F.broadcast(same) if same.count() <= broadcast_rows else same
     copies = cut(narrow.join(same, ["n", "h1", "h2"]).where((F.col("doc_id") > F.col("low")) & (F.col("n") >= length)).select("doc_id", "n", "h1", "h2"))
     c = copies.count()
     skip = copies.select("doc_id", "h1", "h2")
@@ -337,7 +339,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_docs: int = 1000, c
     total = narrow.count() - c
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, shards = max(1, -(-total // bucket_docs)), 4 * parts
-    known = rows.where("doc_id IS NOT NULL").withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit("second")))
+    known = rows.where("doc_id IS NOT NULL").withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("second"), "text"))
     mine = known.join(skip, ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "text")
     sent = mine.mapInArrow(releasing(lambda it: _anchored(slices(it, 4000), length, shards, buckets, common)), "to long, blob binary")
     shared = sent.repartition(parts, "to").mapInArrow(releasing(lambda it: _shared(it, buckets)), "bucket long, blob binary")

@@ -357,6 +357,29 @@ def test_language_rows(spark, docs, corpus):
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
 
 
+def test_language_counts_do_not_depend_on_chunks(monkeypatch):
+    texts = ["Straße und Käse über alles. " * 50, "", None, "ab", "x", "a b c d e f g " * 40, "ñ" * 300]
+    whole = langid.counts(texts)
+    for size in (3, 7, 64):
+        monkeypatch.setattr(langid, "CHUNK", size)
+        assert (langid.counts(texts) == whole).all()
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "local-cluster[1,1,1024]"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+
+
 def test_language_counts_ignore_chunking():
     text = "Straße und Käse über alles. " * 12_000
     assert np.abs(langid.counts([text])[0] - np.sum([langid.counts(["Straße und Käse über alles. "])[0]] * 12_000, axis=0)).sum() < 50
