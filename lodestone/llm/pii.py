@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]|[(\[]\s?at\s?[)\]]")
 _DIGITS = re.compile(r"[0-9]")
 
-_NUMBER = re.compile(r"(?<![0-9A-Za-z])[(+]{0,2}[0-9](?:[ ().-]{0,2}[0-9])++(?![0-9A-Za-z])")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z])[(+]{0,2}[0-9](?:[ ().-]{0,2}[0-9])++")
+_LETTER_OR_DIGIT = re.compile(r"[0-9A-Za-z]")
 _AT = re.compile(r"@|\s?[(\[]\s?at\s?[)\]]\s?")
-_TAIL = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?| dot )[A-Za-z0-9-]{1,63}){0,8}")
+_TAIL = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?| dot )[A-Za-z0-9-]++)*+")
 
 
 def _luhn(digits: str) -> bool:
@@ -79,10 +81,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Nodes (start, label number, end): the base spans with their labels, and other tokens that may be personal data with label 0."""
-    found = [(m.start(), m.end()) for m in _NUMBER.finditer(text) if 7 <= len(_DIGITS.findall(m[0])) <= 19]
+    # a run of digits before a letter is no token from any start within it, so the search goes on behind it
+    found = [(m.start(), m.end()) for m in _NUMBER.finditer(text) if not _LETTER_OR_DIGIT.match(text, m.end()) and 7 <= len(_DIGITS.findall(m[0])) <= 19]
     for m in _AT.finditer(text):
         start = m.start()
-        while start > max(0, m.start() - 64) and text[start - 1] in _LOCAL:
+        while start > 0 and text[start - 1] in _LOCAL:
             start -= 1
         tail = _TAIL.match(text, m.end())
         if start < m.start() and tail:
@@ -99,17 +102,19 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return sorted(out)
 
 
-FEATURES = 14
+FEATURES = 13
 
 
 def features(text: str, start: int, end: int) -> list[float]:
-    """What a token looks like and stands among. A leading + and check digits, which make base spans, are left out."""
+    """What a token looks like and stands among. A leading +, the @ sign and check digits, which make base spans, are left out."""
     t = text[start:end].lstrip("+")
     digits = len(_DIGITS.findall(t))
+    address = "@" in t or bool(_AT.search(t))
+    dotted = address and ("." in t or "dot" in t)
     left = text[max(0, start - 2) : start]
     return [
-        1.0, "@" in t, "at" in t and "@" not in t, t.count(".") == 3, "(" in t and digits > 0, "-" in t, " " in t,
-        digits < 9, 9 <= digits <= 11, 12 <= digits <= 15, digits == 16, digits > 16, left[-1:] in "\"'=:#", "." in t and "@" in t,
+        1.0, dotted, address and not dotted, t.count(".") == 3, "(" in t and digits > 0, "-" in t, " " in t,
+        digits < 9, 9 <= digits <= 11, 12 <= digits <= 15, digits == 16, digits > 16, left[-1:] in "\"'=:#",
     ]
 
 
@@ -161,21 +166,25 @@ def marginals(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray, round
     return p / p.sum(1, keepdims=True)
 
 
-def fit_field(docs: DataFrame, sample: int = 20_000, rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_field(docs: DataFrame, sample: int = 20_000, most_nodes: int = 500, rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """(unary weights, pair potentials by edge kind), by maximum pseudo-likelihood on about `sample` documents.
 
-    Labels are those of the base spans; the pair potentials are kept symmetric. Without any token to learn
-    from, all weights are zero and the field adds nothing.
+    Labels are those of the base spans, whose features leave out what makes them base spans: each node is learned as if its own label
+    were hidden. The pair potentials are kept symmetric. A document of more than `most_nodes` nodes teaches by that many in a row,
+    from a place dealt by its text's checksum. Without any token to learn from, all weights are zero and the field adds nothing.
     """
     share = min(1.0, sample / max(1, docs.count()))
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit("pii")), F.lit(1 << 40)) / float(1 << 40)
+    u = F.pmod(F.xxhash64(F.lit("pii"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("text").cast("string")), F.lit(1 << 40)) / float(1 << 40)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for t in b["text"]:
                 if t and _ANY.search(t):
-                    nodes = candidates(t, base_spans(t))[:200]
+                    nodes = candidates(t, base_spans(t))
+                    if len(nodes) > most_nodes:
+                        at = zlib.crc32(t.encode("utf-8", "surrogatepass")) % (len(nodes) - most_nodes + 1)
+                        nodes = nodes[at : at + most_nodes]
                     if nodes:
                         x, edges = graph(t, nodes)
                         rows.append((len(nodes), [n[1] for n in nodes], x.ravel().tolist(), edges.ravel().tolist()))
@@ -204,14 +213,10 @@ def fit_field(docs: DataFrame, sample: int = 20_000, rounds: int = 300, rate: fl
     return w, pair
 
 
-def find_spans(text: str | None, model: tuple[np.ndarray, np.ndarray], sure: float = 0.9) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans) of a text, each (start, kind number, end) in order."""
-    if not text or not _ANY.search(text):
-        return [], []
-    base = base_spans(text)
-    nodes = candidates(text, base)
-    if len(nodes) == len(base):
-        return base, base
+def added_spans(text: str, nodes: list[tuple[int, int, int]], model: tuple[np.ndarray, np.ndarray], sure: float) -> list[tuple[int, int, int]]:
+    """Of nodes (start, label number, end), those without a label to which the field gives one with probability `sure` at least, as spans."""
+    if all(label for _, label, _ in nodes):
+        return []
     x, edges = graph(text, nodes)
     unary = x @ model[0]
     for i, (_, label, _) in enumerate(nodes):
@@ -220,8 +225,16 @@ def find_spans(text: str | None, model: tuple[np.ndarray, np.ndarray], sure: flo
             unary[i, label] = 50.0
     p = marginals(unary, edges, model[1])
     best = p.argmax(1)
-    added = [(s, int(best[i]) - 1, e) for i, (s, label, e) in enumerate(nodes) if not label and best[i] and p[i, best[i]] >= sure]
-    return base, sorted(base + added)
+    return [(s, int(best[i]) - 1, e) for i, (s, label, e) in enumerate(nodes) if not label and best[i] and p[i, best[i]] >= sure]
+
+
+def find_spans(text: str | None, model: tuple[np.ndarray, np.ndarray], sure: float = 0.9) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(base spans, all spans) of a text, each (start, kind number, end) in order."""
+    if not text or not _ANY.search(text):
+        return [], []
+    base = base_spans(text)
+    nodes = candidates(text, base)
+    return base, sorted(base + added_spans(text, nodes, model, sure))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
