@@ -654,8 +654,9 @@ HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_html():
-    assert html_extract.blocks(HTML) == (["Title & more", "First bolder text line", "a < b A 1 < 2"], True)
-    assert html_extract.blocks("") == ([], False) and html_extract.blocks("plain") == (["plain"], False)
+    assert html_extract.blocks(HTML)[:2] == (["Title & more", "First bolder text line", "a < b A 1 < 2"], True)
+    assert {"H", "menu", "We use cookies", "by x", "Buy", "side", "f", "reader", "F"} == set(html_extract.blocks(HTML)[2])
+    assert html_extract.blocks("") == ([], False, []) and html_extract.blocks("plain") == (["plain"], False, [])
     assert html_extract.blocks("<article><p>x</p><script>never ends <p>y</p>")[0] == ["x"]
     assert html_extract.blocks("<nav>open <p>text</p>")[0] == ["open", "text"]
     for page in ("<" * 20_000, "<a " * 20_000, "<div>" * 20_000 + "x", "<!--" * 5_000, '<p a="' * 3_000):
@@ -688,8 +689,8 @@ def test_pages_keep_their_own_text(spark):
     """Copies of a page, class words on or around an article, and article tags in scripts take no text away."""
     words = "this is the one story that both of the pages tell in the same words"
     for page in (f'<article class="post has-sidebar"><p>{words}</p></article>', f'<main class="no-sidebar">{words}</main>', f'<div id="page-with-comments"><article>{words}</article><p>x</p></div>', f'<div class="sponsored"><div role="main">{words}</div></div>'):
-        assert html_extract.blocks(page) == ([words], True)
-    assert html_extract.blocks(f'<article>{words}<div class="comments">reader</div></article><div class="ad">Buy</div>') == ([words], True)
+        assert html_extract.blocks(page)[:2] == ([words], True)
+    assert html_extract.blocks(f'<article>{words}<div class="comments">reader</div></article><div class="ad">Buy</div>') == ([words], True, ["reader", "Buy"])
     assert html_extract.blocks('<div hidden><article>no</article></div>')[0] == []
     menu = "<div>home about us contact and all our terms of use apply here</div>"
     rows = [(i, f"https://a.org/{i}", f"<body>{menu}<p>{words} and more words make it the longest</p></body>") for i in range(2)]
@@ -701,6 +702,87 @@ def test_pages_keep_their_own_text(spark):
     assert got[0] == got[1] == f"{words} and more words make it the longest" and "home about" not in got[2] and "another page" in got[2]
 
 
+def plain_runs(hosts, texts, pages, run, least):
+    """shared_runs() by counting every window."""
+    seen = {}
+    for h, t, p in zip(hosts, texts, pages, strict=True):
+        for k in range(max(1, len(t) - run + 1)):
+            seen.setdefault((h, tuple(t[k : k + run])), set()).update(p)
+    return [[k for k in range(max(1, len(t) - run + 1)) if len(seen[h, tuple(t[k : k + run])]) >= least] for h, t in zip(hosts, texts, strict=True)]
+
+
+def test_host_suffix_array():
+    rng = random.Random(31)
+    for run in (1, 3, 5, 8):
+        hosts = [rng.randrange(3) for _ in range(60)]
+        texts = [[rng.choice("ab" if i % 3 else "abcdef") for _ in range(rng.randint(1, 30))] for i in range(60)]
+        pages = [sorted(rng.sample(range(8), rng.randint(1, 3))) for _ in range(60)]
+        got = html_extract.shared_runs(np.array(hosts), texts, pages, run, 3)
+        assert [g.tolist() for g in got] == plain_runs(hosts, texts, pages, run, 3)
+        for text in texts:
+            if len(text) >= run >= 5:
+                at = [(s, e) for _, s, e in html_extract.segments(text, run)]
+                assert [k for s, e in at for k in range(s, e - run + 1)] == list(range(len(text) - run + 1))
+
+
+def test_pages_against_brute_force(spark):
+    """Pages without articles, of hosts in one array and dealt to many: what is left is what counting every window leaves."""
+    rng = random.Random(32)
+    vocabulary = [f"w{k}" for k in range(400)]
+    common = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 9, 20]))) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        parts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 25))) + (" " + rng.choice(common) if rng.random() < 0.6 else "") for _ in range(rng.randint(1, 5))]
+        frame = [rng.choice(common) for _ in range(2)]
+        rows.append((i, f"http://h{0 if i % 3 else i % 7}.org/{i}", parts, frame))
+    rows += [(1000 + i, rows[0][1], rows[0][2], rows[0][3]) for i in range(5)]  # copies count as one page
+    df = spark.createDataFrame([(i, u, "<nav>" + "</nav><nav>".join(f) + "</nav><p>" + "</p><p>".join(p) + "</p>") for i, u, p, f in rows], "page_id long, url string, html string").repartition(5)
+    host = lambda u: u.split("/")[2]
+    texts = [(host(u), b.split(" "), str(p)) for _, u, p, f in rows for b in p + f]
+    shared = {}
+    for h, t, page in texts:
+        for k in range(max(1, len(t) - 7)):
+            shared.setdefault((h, tuple(t[k : k + 8])), set()).add(page)
+    want = {}
+    for i, u, p, _ in rows:
+        body, out = max(range(len(p)), key=lambda k: (len(p[k]), -k)), []
+        for k, b in enumerate(p):
+            t = b.split(" ")
+            gone = {x for at in range(max(1, len(t) - 7)) if k != body and len(shared[host(u), tuple(t[at : at + 8])]) >= 3 for x in range(at, min(at + 8, len(t)))}
+            if left := " ".join(w for x, w in enumerate(t) if x not in gone):
+                out.append(left)
+        want[i] = " ".join(out)
+    assert sum(want[i] != " ".join(p) for i, _, p, _ in rows) > 20
+    for tokens in (2_000_000, 60):
+        assert {r["page_id"]: r["text"] for r in html_extract.extract(df, array_tokens=tokens).collect()} == want
+
+
+def test_frames_of_articles_are_boilerplate_elsewhere(spark):
+    """What the frames of a host's article pages repeat goes from its pages without an article, not from the articles."""
+    box, quote = "sign up here to get the best of our stories by mail each day", "a famous passage that many of the articles on this host quote word for word"
+    page = lambda i, inside: f"<aside>{box}</aside><article><p>story number {i} tells of many things that no other story on this host tells</p><p>{quote}</p>{inside}</article>"
+    rows = [(i, f"http://a.org/{i}", page(i, f"<p>{box}</p>" if i == 0 else "")) for i in range(4)]
+    rows += [(i, f"http://{h}.org/{i}", f"<div>{box}</div><p>{quote}</p><p>page number {i} has no article but it has this text of its own which is its longest</p>") for i, h in ((8, "a"), (9, "b"))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(quote in t for t in got.values()) and box in got[0] and box not in got[8] and box in got[9] and "page number 8" in got[8]
+
+
+def test_markup_of_any_length_in_linear_time():
+    alt = "x > <article>" * 12_000
+    assert html_extract.blocks(f'<p>a<img alt="{alt}">b</p>')[0] == ["a", "b"]
+    assert html_extract.blocks(f"<p>a<!-- {alt} -->b</p>")[0] == ["ab"]
+    assert html_extract.blocks("<p title='a>b' id=x>c<b title=\"d>e\">f</b></p><br/>g<!-->h<!doctype x>i")[0] == ["cf", "ghi"]
+    for page in ("<b " * 200_000, '<p a="' * 100_000, "</script " * 100_000, "<script>" + "</script " * 100_000, "<!--" * 200_000, "<a b='" * 50_000 + ">", "<i>" * 100_000, "</" * 200_000, "<a =" * 100_000 + ">", "<p class='ad' " * 50_000 + ">x"):
+        html_extract.blocks(page)
+
+
+def test_long_pages(spark):
+    words = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(i, "http://a.org/x", f"<p>{words} {i}</p><p>{words[: 100_000 * (i + 1)]}</p>") for i in range(3)] + [(None, None, "<article>" + "la " * 100_000 + "</article>")]
+    got = {r["page_id"]: r["n_chars"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), array_tokens=20_000).collect()}
+    assert got[None] == 299_999 and all(got[i] >= len(words) for i in range(3))
+
+
 # pipeline
 def test_pipeline(spark, rows):
     pipeline = pytest.importorskip("corpus_pipeline")
