@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by randomised-rotation binary codes with stored correction factors.
 
-A vector's code is the signs of its randomly rotated components. Bands of code bits deal vectors that may be
-similar to common keys. There <sign(R x), R y> / |R x|_1 is an unbiased estimate of the inner product of unit vectors
+A vector's code is the signs of its randomly rotated components. Bands of code bits deal the codes of vectors that may be
+similar to common keys, where differing bits tell which of them may be; only those are joined with their vectors. There
+<sign(R x), R y> / |R x|_1 is an unbiased estimate of the inner product of unit vectors
 x and y over random rotations R; |R x|_1 is the stored factor, which also bounds the estimate's error. Pairs whose
 upper bound reaches the threshold are computed again from the vectors in double precision, and only that links them.
 """
@@ -42,14 +43,45 @@ def plan(n: int, cosine: float, recall: float = 0.98, bucket: int = 8) -> tuple[
     return width, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
-def _codes(x: np.ndarray, width: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, correction factors) of unit vectors; the factor belongs to the first rotation."""
+def _codes(x: np.ndarray, width: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(band keys, correction factors, packed bits) of unit vectors; the factor belongs to the first rotation."""
     dim = x.shape[1]
     r = rotations(dim, -(-width * bands // dim))
     turned = np.concatenate([x @ q.T for q in r], axis=1)
     bits = (turned[:, : width * bands] > 0).reshape(len(x), bands, width)
     keys = (bits.astype(np.int64) << np.arange(width)).sum(2)
-    return keys, np.abs(turned[:, :dim]).sum(1)
+    flat = np.zeros((len(x), -(-width * bands // 64) * 64), dtype=bool)
+    flat[:, : width * bands] = bits.reshape(len(x), -1)
+    return keys, np.abs(turned[:, :dim]).sum(1), np.packbits(flat, axis=1, bitorder="little")
+
+
+def most_differing(bits: int, cosine: float, sure: float) -> int:
+    """Upper confidence bound of the code bits in which vectors of a cosine differ; a bit differs with probability angle / pi."""
+    p = math.acos(cosine) / math.pi
+    return math.floor(bits * p + (sure + 1) * math.sqrt(bits * p * (1 - p)))
+
+
+def candidates(codes: np.ndarray, band: int, side: np.ndarray, bands: int, width: int, most: int) -> np.ndarray:
+    """Which rows of one key differ in at most `most` bits from another that they share no earlier band with."""
+    n = len(codes)
+    hit = np.zeros(n, dtype=bool)
+    for at in range(0, n, 256):
+        part = slice(at, min(n, at + 256))
+        apart = np.bitwise_count(codes[part, None, :] ^ codes[None, :, :]).sum(2, dtype=np.int32)
+        near = (apart <= most) & np.where(side[part, None] == 0, side[None, :] == 0, side[part, None] != side[None, :])
+        a, b = np.nonzero(near)
+        a, b = a[(a + at) < b] + at, b[(a + at) < b]
+        for k in range(0, len(a), 100_000):
+            i, j = a[k : k + 100_000], b[k : k + 100_000]
+            new = first_band(codes[i] ^ codes[j], bands, width) == band
+            hit[i[new]] = hit[j[new]] = True
+    return hit
+
+
+def first_band(differing: np.ndarray, bands: int, width: int) -> np.ndarray:
+    """The first band of which no bit is set."""
+    bits = np.unpackbits(np.ascontiguousarray(differing).view(np.uint8).reshape(len(differing), 8 * differing.shape[1]), axis=1, bitorder="little")[:, : bands * width]
+    return (~bits.reshape(len(differing), bands, width).any(2)).argmax(1)
 
 
 def _upper(signs_x: np.ndarray, factor_x: np.ndarray, turned_y: np.ndarray, sure: float, pairwise: bool) -> np.ndarray:
@@ -117,10 +149,11 @@ def _and_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.98, sure: float = 3.0) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.98, sure: float = 3.0, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of vectors (vec_id, embedding; more columns are ignored).
 
-    Equal vectors are one class. Classes that share a band's key are compared, a pair in the first band it shares,
+    Equal vectors are one class. Classes that share a band's key are compared, a pair in the first band it shares, by their codes first
+    and those that may link by their vectors,
     so links are counted once and never listed: large groups give counts and a spanning forest. A key of over 2 x BLOCK
     classes is dealt to tasks in pairs of blocks. Vectors that are null, empty or zero, or hold null or non-finite
     components link with nothing, and neither do vectors of different lengths or without vec_id. Repeated
@@ -136,36 +169,40 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.98,
     classes = cut(marked.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("e").alias("e")))
     width, bands = plan(classes.count(), cosine, recall)
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def units(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, vectors as stored, unit vectors) of one length each."""
+        lists = b.column("e")
+        size = np.diff(lists.offsets.to_numpy())
+        flat, first = lists.values.to_numpy(), lists.offsets.to_numpy()[:-1]
+        for dim in np.unique(size):
+            for own in np.array_split(which := np.flatnonzero(size == dim), max(1, len(which) // 500)):
+                raw = flat[first[own][:, None] + np.arange(dim)].astype(np.float32)
+                x = raw.astype(np.float64)
+                x /= np.abs(x).max(1, keepdims=True)  # tiny components would vanish when squared
+                yield own, raw, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, weight, lists = b.column("node").to_numpy(), b.column("weight").to_numpy(), b.column("e")
-            size = np.diff(lists.offsets.to_numpy())
-            flat, first = lists.values.to_numpy(), lists.offsets.to_numpy()[:-1]
-            for dim in np.unique(size):
-                for own in np.array_split(which := np.flatnonzero(size == dim), max(1, len(which) // 500)):
-                    raw = flat[first[own][:, None] + np.arange(dim)].astype(np.float32)
-                    x = raw.astype(np.float64)
-                    x /= np.abs(x).max(1, keepdims=True)  # tiny components would vanish when squared
-                    keys, factor = _codes(x / np.linalg.norm(x, axis=1, keepdims=True), width, bands)
-                    at, band = np.repeat(np.arange(len(own)), bands), np.tile(np.arange(bands), len(own))
-                    key = (np.int64(dim) << 44) ^ (band.astype(np.int64) << 32) ^ keys.ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(band.astype(np.int32)), pa.array(node[own][at]), pa.array(weight[own][at]), pa.array(factor[at]), pa.array([k.tobytes() for k in keys.astype(np.int32)], pa.binary()).take(pa.array(at)), pa.array([r.tobytes() for r in raw], pa.binary()).take(pa.array(at))],
-                        names=["key", "band", "node", "weight", "factor", "keys", "x"],
-                    )
-
-    fields = "key long, band int, node long, weight long, factor double, keys binary, x binary"
-    dealt = classes.select("node", "weight", "e").mapInArrow(expand, fields)
+            node = b.column("node").to_numpy()
+            for own, raw, x in units(b):
+                keys, _, bits = _codes(x, width, bands)
+                at, band = np.repeat(np.arange(len(own)), bands), np.tile(np.arange(bands), len(own))
+                key = (np.int64(raw.shape[1]) << 44) ^ (band.astype(np.int64) << 32) ^ keys.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[own][at]), pa.array([r.tobytes() for r in bits], pa.binary()).take(pa.array(at))], names=["key", "node", "bits"])
+
+    dealt = classes.select("node", "e").mapInArrow(encode, "key long, node long, bits binary")
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     hot = cut(dealt.groupBy("key").count().where(F.col("count") > 2 * BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    dealt = dealt.join(hot, "key", "left")
+    dealt = dealt.join(small(hot), "key", "left")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")))
     )
     # in a task of two blocks the pairs within a block are left to that block's own task
-    dealt = dealt.withColumn("to", F.explode(spread)).select("key", F.col("to.i").alias("i"), F.col("to.j").alias("j"), F.col("to.side").alias("side"), "band", "node", "weight", "factor", "keys", "x")
+    dealt = dealt.withColumn("to", F.explode(spread)).select("key", F.col("to.i").alias("i"), F.col("to.j").alias("j"), F.col("to.side").alias("side"), "node", "bits")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        """Rows of whole groups (key, i, j), with their group."""
         held: pa.Table | None = None
         for b in _and_end(batches):
             if b is not None:
@@ -175,9 +212,44 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.98,
             group = np.stack([held.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
             cut_at = held.num_rows if b is None else int(np.flatnonzero((group == group[-1]).all(1))[0])
             if cut_at:
-                yield from compared(held.slice(0, cut_at), group[:cut_at])
+                yield held.slice(0, cut_at), group[:cut_at]
                 held = held.slice(cut_at).combine_chunks()
 
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that may link in their group: their codes differ in few bits."""
+        most = most_differing(width * bands, cosine, sure)
+        for t, g in groups(batches):
+            codes = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(g), -1)
+            band, side = (g[:, 0] >> 32) & 0xFFF, t.column("side").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]).any(1)]))
+            size = np.diff(np.append(first, len(g)))
+            hit = np.zeros(len(g), dtype=bool)
+            at = np.flatnonzero(np.repeat(size <= FEW, size) & (side == 0))  # all small groups at once
+            for d in range(1, FEW):
+                at = at[at + d < len(g)]
+                at = at[(g[at] == g[at + d]).all(1)]
+                differ = codes[at] ^ codes[at + d]
+                near = np.flatnonzero(np.bitwise_count(differ).sum(1) <= most)
+                near = near[first_band(differ[near], bands, width) == band[at[near]]]
+                hit[at[near]] = hit[at[near] + d] = True
+            for s, n in zip(first.tolist(), size.tolist(), strict=True):
+                if n > FEW or side[s] and n > 1:
+                    hit[s : s + n] = candidates(codes[s : s + n], int(band[s]), side[s : s + n], bands, width, most)
+            yield from t.select(["key", "i", "j", "side", "node"]).filter(pa.array(hit)).to_batches()
+
+    def with_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, raw, x in units(b):
+                keys, factor, _ = _codes(x, width, bands)
+                rest = [b.column(c).take(pa.array(own)) for c in ("key", "i", "j", "side", "node", "weight")]
+                band = pa.array(((rest[0].to_numpy() >> 32) & 0xFFF).astype(np.int32))
+                more = [band, pa.array(factor), pa.array([k.tobytes() for k in keys.astype(np.int32)], pa.binary()), pa.array([r.tobytes() for r in raw], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*rest, *more], names=["key", "i", "j", "side", "node", "weight", "band", "factor", "keys", "x"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in groups(batches):
+            yield from compared(t, group)
+
     def compared(t: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (group[1:] != group[:-1]).any(1)])
         size = np.diff(np.append(np.flatnonzero(new), len(group)))
@@ -222,7 +294,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.98,
 
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ["key", "i", "j"]
-    found = cut(dealt.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long, links long"))
+    near = cut(dealt.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(screen, "key long, i int, j int, side int, node long"))
+    fields = "key long, i int, j int, side int, node long, weight long, band int, factor double, keys binary, x binary"
+    vectors_of = small(near).join(classes.select("node", "weight", "e"), "node").select("key", "i", "j", "side", "node", "weight", "e").mapInArrow(with_codes, fields)
+    found = cut(vectors_of.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long, links long"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named = classes.select("h1", "h2", "node", "weight").join(roots, "node", "left").join(links, "node", "left")
