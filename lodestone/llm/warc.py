@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir, table
+from .common import cut, shared_dir, slices, table
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -24,6 +24,9 @@ ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: What a record holds besides its payload, about.
+RECORD_BYTES = 1000
+
 RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_digest string, archive string"
 
 
@@ -164,11 +167,11 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 32 << 20,
             return pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([len(rows)], pa.int64())})
 
         rows, held = [], 0
-        for b in batches:
+        for b in slices(batches):
             for page_id, url, html, digest, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
                 payload = html or b""
                 rows.append((page_id, url or "", None if refers_to is not None else payload, "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(), refers_to))
-                held += 0 if refers_to is not None else len(payload)
+                held += RECORD_BYTES + (0 if refers_to is not None else len(payload))
                 if held >= archive_bytes:
                     yield flush(rows)
                     rows, held = [], 0
@@ -202,29 +205,36 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, RECORD)
 
 
-def archive_pages(pages: DataFrame, folder: str, least: int = 1000) -> int:
+def archive_pages(pages: DataFrame, folder: str, least: int = 1000, broadcast_rows: int = 1_000_000) -> int:
     """Writes a record for each row of pages (page_id, url, html; more columns are ignored); returns how many.
 
     Of records with equal payloads of at least `least` bytes the one with the largest page_id is the response
     and the others revisit it. Null html is an empty payload. Each row is one record: rows without page_id are responses,
-    and repeated rows are repeated records, which share their record id.
+    and repeated rows are repeated records, which share their record id; an empty table writes none. Whole pages are
+    shuffled only where more than `broadcast_rows` records are revisits.
     """
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    narrow = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least)
-    top = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    refs = narrow.join(top, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
-    out = pages.withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(refs, ["page_id", "digest"], "left")
-    return write_archives(out, folder).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    pages = pages.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    narrow = cut(pages.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest"))
+    top = cut(narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).where("low < refers_to").drop("low"))
+    refs = cut(narrow.join(small(top), "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct())
+    return write_archives(pages.join(small(refs), ["page_id", "digest"], "left"), folder).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
 
 
-def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_warc_zstd(spark: SparkSession, sf_dir: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    store, top = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    folder = folder if "://" in folder else f"file://{folder}"
+    store, top = fs.FileSystem.from_uri(folder)
     store.create_dir(top, recursive=True)
-    archive_pages(table(spark, sf_dir, "pages"), folder if "://" in folder else f"file://{folder}")
-    records = read_archives(spark, folder)
-    own = records.select("page_id", F.octet_length("payload").cast("long").alias("own"), "payload_digest", "record_type", "refers_to")
-    kept = own.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("own").alias("full"), "payload_digest").distinct()
-    joined = own.where("record_type = 'revisit'").join(kept, ["refers_to", "payload_digest"], "left").withColumn("own", F.col("full"))
+    archive_pages(table(spark, sf_dir, "pages"), folder)
+    # archives are decoded once; what is kept of them is narrow
+    own = cut(read_archives(spark, folder).select("page_id", F.octet_length("payload").cast("long").alias("own"), "payload_digest", "record_type", "refers_to"))
+    revisits = own.where("record_type = 'revisit'")
+    wanted = cut(revisits.select("refers_to", "payload_digest").distinct())
+    full = own.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("own").alias("full"), "payload_digest")
+    full = cut(full.join(small(wanted), ["refers_to", "payload_digest"], "left_semi").distinct())
+    joined = revisits.join(small(full), ["refers_to", "payload_digest"], "left").withColumn("own", F.col("full"))
     cols = ["page_id", F.col("own").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"]
     return own.where("record_type = 'response'").select(*cols).unionByName(joined.select(*cols))

@@ -250,6 +250,17 @@ def test_warc_rows_without_id_and_repeated(spark, tmp_path):
     assert got == Counter({(1, 2003, "revisit", 2): 3, (2, 2003, "response", None): 2, (None, 2003, "response", None): 1, (None, 0, "response", None): 1, (2, 2008, "response", None): 1})
 
 
+def test_warc_of_an_empty_table_and_of_revisits_alone(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    none.write.parquet(f"{tmp_path}/a/pages.parquet")
+    assert warc.op3_warc_zstd(spark, f"{tmp_path}/a").count() == 0
+    spark.createDataFrame([(i, "u", "same" * 300) for i in range(3000)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/b/pages.parquet")
+    got = warc.op3_warc_zstd(spark, f"{tmp_path}/b", broadcast_rows=0).collect()
+    assert Counter((r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got) == {("revisit", 2999, 1200): 2999, ("response", None, 1200): 1}
+
+
 def test_warc_reads_a_compressed_dictionary_and_checks(spark):
     samples = [f"<html><body><p>page {i} with common words and more common words {i * 7}</p></body></html>".encode() for i in range(300)]
     raw = zstandard.train_dictionary(4096, samples).as_bytes()
