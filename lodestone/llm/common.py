@@ -36,6 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, for a function of Arrow batches: the session hands over at most `rows` rows at once, so that long texts don't fill executors and workers.
+
+    Sets spark.sql.execution.arrow.maxRecordsPerBatch where it is larger; a smaller setting stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in smaller parts, so that Python objects are made for few rows at a time."""
     for b in batches:

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import cut, releasing, slices, table
+from .common import cut, in_batches, releasing, slices, table
 
 DIM = 2048
 CHUNK = 1 << 18
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, lang: str = "lang", per_lang: int = 1000, centroids: in
     # languages are few as a rule; texts are shuffled by language only where they are not
     share = F.broadcast(share) if share.count() <= 100_000 else share
     u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    chosen = rows.join(share, "lang").where(u < F.col("share")).select("lang", "text")
+    chosen = in_batches(rows).join(share, "lang").where(u < F.col("share")).select("lang", "text")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

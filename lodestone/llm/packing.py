@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, releasing, slices, table
+from .common import cut, in_batches, releasing, slices, table
 
 #: One piece of a document in the packed members of a bin.
 PIECE = np.dtype([("doc_id", "<i8"), ("known", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
@@ -40,7 +40,7 @@ class ChunkEncoder:
     #: Letters and digits after which a tail is taken off (not U+0130, whose lower case ends in a mark); a chunk that ends otherwise is encoded whole.
     _WORD_END = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$"
 
-    def __init__(self, path: str, most: int = 1_500_000, most_ids: int = 12_000_000):
+    def __init__(self, path: str, most: int = 400_000, most_ids: int = 4_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -199,7 +199,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
         return _bins(pdf["size"].to_numpy(np.int64), pdf["members"].tolist(), capacity, full_at).astype({"size": "int32"})
 
     schema = "size int, members binary, done boolean"
-    cur = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(first), schema))
+    cur = cut(in_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(first), schema))
     parts, left = [cur.where("done")], cur.where("NOT done")
     n, groups, before = left.count(), None, None
     while n > 1 and before != 1 and (groups is None or n < last):

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import releasing, slices, table
+from .common import in_batches, releasing, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -190,7 +190,7 @@ def fit_field(docs: DataFrame, sample: int = 20_000, most_nodes: int = 500, roun
                         rows.append((len(nodes), [n[1] for n in nodes], x.ravel().tolist(), edges.ravel().tolist()))
             yield pd.DataFrame(rows, columns=["n", "labels", "x", "edges"])
 
-    got = docs.where(u < share).select(F.col("text").cast("string").alias("text")).mapInPandas(run, "n int, labels array<int>, x array<double>, edges array<int>").toPandas()
+    got = in_batches(docs).where(u < share).select(F.col("text").cast("string").alias("text")).mapInPandas(run, "n int, labels array<int>, x array<double>, edges array<int>").toPandas()
     k = len(LABELS)
     w, pair = np.zeros((FEATURES, k)), np.zeros((2, k, k))
     if not len(got):
@@ -247,7 +247,7 @@ def personal_data(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Data
     Null and empty texts have none. Repeated rows are read each for itself; columns of these names are replaced.
     """
     added = ["base_counts", "base_spans", "spans"]
-    kept = docs.drop(*added)
+    kept = in_batches(docs).drop(*added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -280,7 +280,7 @@ def redact(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 out.append("".join([*parts, t[last:]]) if spans else t)
             yield b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type))
 
-    return docs.mapInArrow(releasing(run), docs.schema)
+    return in_batches(docs).mapInArrow(releasing(run), docs.schema)
 
 
 def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
