@@ -27,10 +27,15 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.out: dict = {"canonical": None, "description": None, "og": {}, "robots": None, "has_password_form": False}
         self.hidden, self.grab, self.scripts, self.text, self.parts = 0, None, [], [], {"title": None, "h1": None}
-        self.kind = None
+        self.kind, self.challenge = None, False
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
+        classes, action = a.get("class", "").split(), a.get("action", "") if tag == "form" else ""
+        if "shopify-section-password" in classes or "shopify-section-password" in a.get("id", "") or "/password" in action:
+            self.out["has_password_form"] = True
+        if a.get("id") == "shopify-challenge" or "shopify-challenge__container" in classes or "/challenge" in action or tag == "iframe" and "captcha" in a.get("src", ""):
+            self.challenge = True
         if tag in _HIDDEN:
             self.hidden += tag != "script"
             self.kind = a.get("type", "").strip().lower() if tag == "script" else self.kind
@@ -41,14 +46,12 @@ class _Reader(HTMLParser):
             name, prop = a.get("name", "").lower(), a.get("property", "").lower()
             if name == "robots":
                 self.out["robots"] = ", ".join(filter(None, [self.out["robots"], a.get("content", "")]))
-            if prop.startswith("og:"):
-                self.out["og"].setdefault(prop, a.get("content", ""))
+            if prop.strip().startswith(("og:", "product:")) and a.get("content", "").strip():
+                self.out["og"].setdefault(prop.strip(), a["content"].strip())
             if name == "description" and self.out["description"] is None and not self.hidden:
                 self.out["description"] = a.get("content")
         elif tag == "link" and "canonical" in a.get("rel", "").lower().split() and self.out["canonical"] is None and not self.hidden:
             self.out["canonical"] = a.get("href")
-        elif tag == "input" and a.get("type", "").lower() == "password":
-            self.out["has_password_form"] = True
         elif tag in self.parts and self.parts[tag] is None and not self.hidden:
             self.grab, self.parts[tag] = tag, ""
 
@@ -114,7 +117,7 @@ def read_page(html: str | None) -> dict:
     text = _squeezed(" ".join(r.text)) or ""
     return r.out | {
         "title": _squeezed(r.parts["title"]), "h1": _squeezed(r.parts["h1"]), "description": _squeezed(r.out["description"]), "text": text, "json_ld": nodes, "json_ld_errors": errors,
-        "is_challenge": bool(re.search(r"verify you are human|checking your browser|captcha", text[:2000], re.I)), "currency": found.pop() if len(found) == 1 else None,
+        "has_password_form": r.out["has_password_form"] or "enter store using password" in text.lower(), "is_challenge": r.challenge or "verify you are human" in text.lower(), "currency": found.pop() if len(found) == 1 else None,
     }
 
 
@@ -144,7 +147,7 @@ def brand_name(node: Column) -> Column:
 def breadcrumbs(node: Column) -> Column:
     """Names of a breadcrumb list by position; a missing position counts as 0, ties stand in list order."""
     items = F.from_json(F.get_json_object(node, "$.itemListElement"), "array<struct<position:double,name:string,item:struct<name:string>>>")
-    ranked = F.transform(items, lambda x, i: F.struct(F.coalesce(x.position, F.lit(0.0)).alias("p"), i.alias("i"), F.coalesce(x.name, x.item["name"]).alias("name")))
+    ranked = F.transform(items, lambda x, i: F.struct(F.coalesce(x["position"], F.lit(0.0)).alias("p"), i.alias("i"), F.coalesce(x["name"], x["item"]["name"]).alias("name")))
     return F.filter(F.transform(F.array_sort(ranked), lambda x: x["name"]), lambda x: x.isNotNull())
 
 

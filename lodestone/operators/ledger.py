@@ -71,3 +71,23 @@ def budget_prefix(rows: DataFrame, key: str, order: list[str], amounts: dict[str
         out = out.withColumn(f"running_{name}", F.sum(name).over(w))
         ok &= F.col(f"running_{name}") <= limit
     return out.withColumn("within", ok)
+
+
+def offer_remaining(accounts: DataFrame, grants: DataFrame, consumed: DataFrame, key: str) -> DataFrame:
+    """(key, granted, remaining) of each account's free offer: one is left while it was granted and not consumed."""
+    flag = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    out = accounts.select(key).join(flag(grants, "_granted"), key, "left").join(flag(consumed, "_used"), key, "left")
+    granted = F.coalesce("_granted", F.lit(False))
+    return out.select(key, granted.alias("granted"), F.when(granted & F.col("_used").isNull(), 1).otherwise(0).alias("remaining"))
+
+
+def compare_and_set(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """rows (key, status, version) after updates (key, from_status, from_version, to_status), of which one a key: it applies where both guards hold, and raises the version."""
+    out = rows.join(updates, key, "left")
+    hit = F.coalesce((F.col("status") == F.col("from_status")) & (F.col("version") == F.col("from_version")), F.lit(False))
+    return out.select(key, F.when(hit, F.col("to_status")).otherwise(F.col("status")).alias("status"), (F.col("version") + hit.cast("int")).alias("version"), hit.alias("applied"))
+
+
+def purchase_issue(items: Column, quantity: Column, account: Column, expected_account: Column, price: Column, expected_price: Column) -> Column:
+    """Why a payment event is refused: one item, of quantity one, and the account and price that were asked for."""
+    return F.when(items != 1, "ITEM_COUNT").when(quantity != 1, "QUANTITY").when(~account.eqNullSafe(expected_account), "ACCOUNT").when(~price.eqNullSafe(expected_price), "PRICE")

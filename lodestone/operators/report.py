@@ -116,3 +116,52 @@ def recovered(assessment: DataFrame, issues: DataFrame) -> DataFrame:
 def technical_summary(status: Column, codes: Column) -> Column:
     bad = F.exists(codes, lambda c: c.isin("PAGE_NOINDEX", "CRAWLER_BLOCKED", "PASSWORD_PAGE", "CHALLENGE_PAGE"))
     return F.when(status.isNull(), "unknown").when(bad, "issues_found").when(status == "complete", "readable").otherwise("partial")
+
+
+#: What to do next, by the technical status or the outcome of a session.
+NEXT_ACTIONS = {
+    "issues_found": ("Resolve the captured technical eligibility issue first.", "Verified technical check"),
+    "absent": ("Investigate category association and external product evidence before rewriting the page.", "Recorded observation + diagnostic hypothesis"),
+    "visible": ("Clarify the comparison fact that matters at the observed exit point.", "Recorded comparison outcome + diagnostic hypothesis"),
+    "recommended": ("Preserve the baseline; do not manufacture a fix.", "Recorded observation"),
+}
+
+
+def next_action(result: Column, technical: Column) -> Column:
+    """struct(title, evidence_type): a technical issue comes first, then what the outcome asks for."""
+    kind = F.when(technical == "issues_found", "issues_found").when(result == "absent", "absent").when(result.isin("candidate", "retrieved"), "visible").otherwise("recommended")
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in NEXT_ACTIONS.items() for x in (k, v[i])]), kind)
+    return F.struct(pick(0).alias("title"), pick(1).alias("evidence_type"))
+
+
+def target_state(observed: Column, recommendation: Column, candidate_set: Column, retrievability: Column) -> Column:
+    """How far one turn's target came; a turn without an observation is not an absence."""
+    return (
+        F.when(~F.coalesce(observed, F.lit(False)), "not observed").when(recommendation == "final_choice", "final choice").when(recommendation == "recommended", "recommended")
+        .when(candidate_set == "included", "in candidate set").when(retrievability == "retrieved", "retrieved only").otherwise("absent")
+    )
+
+
+def evidence_quality(turns: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """Of each session: completed_turns, turns_with_sources, source_records, unique_source_domains. turns: key, turn; sources: key, turn, publisher."""
+    done = turns.groupBy(key).agg(F.count("*").alias("completed_turns"))
+    cited = sources.groupBy(key).agg(F.count_distinct("turn").alias("turns_with_sources"), F.count("*").alias("source_records"), F.count_distinct("publisher").alias("unique_source_domains"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("turns_with_sources", "source_records", "unique_source_domains")]
+    return done.join(cited, key, "left").select(key, "completed_turns", *zero)
+
+
+def session_reports(sessions: DataFrame, turns: DataFrame, sources: DataFrame, checks: DataFrame, key: str) -> DataFrame:
+    """One report for each session: outcome, turn counts, evidence quality, technical status and next action; null parts for a session that still runs.
+
+    sessions: key, terminal, interrupted; turns: key, turn, retrieved, candidate, recommended, final (booleans); sources: key, turn,
+    publisher; checks: key, status, codes. Each part is one aggregate by session; they are joined on it.
+    """
+    flags = {n: F.col(n) for n in ("retrieved", "candidate", "recommended", "final")}
+    parts = first_turns(turns, key, "turn", flags).join(evidence_quality(turns, sources, key), key)
+    technical = checks.select(key, technical_summary(F.col("status"), F.col("codes")).alias("technical"))
+    out = sessions.join(parts, key, "left").join(technical, key, "left").withColumn("technical", F.coalesce("technical", F.lit("unknown")))
+    found = outcome(F.col("first_final"), F.col("first_recommended"), F.col("first_candidate"), F.col("first_retrieved"), F.col("interrupted"))
+    shown = lambda c: F.when(F.col("terminal"), c)
+    action = next_action(F.col("outcome"), F.col("technical"))
+    names = [*(f"first_{n}" for n in flags), "n_turns", "turns_with_sources", "source_records", "unique_source_domains", "technical"]
+    return out.withColumn("outcome", found).select(key, "terminal", shown(F.col("outcome")).alias("outcome"), shown(action["title"]).alias("next_title"), *[shown(F.col(n)).alias(n) for n in names])
