@@ -36,7 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def in_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+def in_batches(df: DataFrame, rows: int = 500) -> DataFrame:
     """df, for a function of Arrow batches: the session hands over at most `rows` rows at once, so that long texts don't fill executors and workers.
 
     Sets spark.sql.execution.arrow.maxRecordsPerBatch where it is larger; a smaller setting stays.

@@ -40,7 +40,7 @@ class ChunkEncoder:
     #: Letters and digits after which a tail is taken off (not U+0130, whose lower case ends in a mark); a chunk that ends otherwise is encoded whole.
     _WORD_END = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$"
 
-    def __init__(self, path: str, most: int = 400_000, most_ids: int = 4_000_000):
+    def __init__(self, path: str, most: int = 150_000, most_ids: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -185,6 +185,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
         found = []
         for b in slices(batches, 2000):
             if b.num_rows:
+                pa.default_memory_pool().release_unused()
                 found.append(_pieces(b.select(["doc_id"]).to_pandas(), b.column("text"), vocabulary, capacity, end_id))
         if not found:
             return
