@@ -45,23 +45,25 @@ def routed(batch: DataFrame, kind: str, sinks: dict[str, Callable[[DataFrame], N
 
 
 def leases(claims: DataFrame, key: str, schema_key: str, seconds: int = 300, most: int = 3) -> DataFrame:
-    """claims (key, at, attempt) as granted, held (a lease runs) or failed (attempts spent), by event time and state."""
+    """claims (key, at, attempt) as granted, held (a lease runs) or failed (attempts spent), by event time and state.
+
+    A key's claims of one trigger are put in order as a whole, however many Arrow batches they come in: two numbers a claim are in memory at once.
+    """
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         until = state.get[0] if state.exists else -1
-        for pdf in batches:
-            out = []
-            pdf = pdf.sort_values("at")
-            for at, attempt in zip(pdf["at"].astype("datetime64[us]").astype("int64"), pdf["attempt"], strict=True):
-                if attempt > most:
-                    verdict = "failed"
-                elif at < until:
-                    verdict = "held"
-                else:
-                    verdict, until = "granted", int(at) + seconds * 1_000_000
-                out.append((keys[0], int(attempt), verdict))
-            yield pd.DataFrame(out, columns=[key, "attempt", "verdict"])
+        parts = [pd.DataFrame({"at": pdf["at"].astype("datetime64[us]").astype("int64"), "attempt": pdf["attempt"]}) for pdf in batches]
+        rows, verdicts = pd.concat(parts).sort_values(["at", "attempt"], kind="stable"), []
+        for at, attempt in zip(rows["at"], rows["attempt"], strict=True):
+            if attempt > most:
+                verdicts.append("failed")
+            elif at < until:
+                verdicts.append("held")
+            else:
+                verdicts.append("granted")
+                until = int(at) + seconds * 1_000_000
         state.update((until,))
+        yield pd.DataFrame({key: [keys[0]] * len(rows), "attempt": rows["attempt"].astype("int32").to_numpy(), "verdict": verdicts})
 
     return claims.groupBy(key).applyInPandasWithState(step, f"{key} {schema_key}, attempt int, verdict string", "until long", "append", GroupStateTimeout.NoTimeout)
 

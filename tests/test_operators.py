@@ -230,7 +230,15 @@ def test_leases_match_a_loop(spark):
         else:
             verdict, until[kind] = "granted", at + dt.timedelta(seconds=300)
         expected[verdict] = expected.get(verdict, 0) + 1
-    assert {r["verdict"]: r["count"] for r in QUERIES["lease_stream"](spark, SF).groupBy("verdict").count().collect()} == expected
+    counts = lambda: {r["verdict"]: r["count"] for r in QUERIES["lease_stream"](spark, SF).groupBy("verdict").count().collect()}
+    assert counts() == expected
+    rows_at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_at_once)
+    spark.conf.set(rows_at_once, "20")  # a key's claims come in many batches
+    try:
+        assert counts() == expected
+    finally:
+        spark.conf.set(rows_at_once, before)
 
 
 def test_routing(spark):
