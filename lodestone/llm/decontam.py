@@ -139,7 +139,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows:
     """docs (doc_id, text and any other columns) without the rows whose own text holds a benchmark item, see contaminated(); rows without text stay."""
     found = cut(alignments(docs, benchmark).select(F.col("doc_id").alias("_hit"), F.col("text_hash").alias("_hash")).distinct())
     found = F.broadcast(found) if found.count() <= broadcast_rows else found
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti")
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(found["_hit"]) & (F.xxhash64(F.col("text").cast("string")) == found["_hash"]), "left_anti")
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

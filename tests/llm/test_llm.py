@@ -824,3 +824,54 @@ def test_near_dedup_stage_rows(spark, docs):
     got = pipeline.near_dedup(spark, docs, SF).collect()
     assert Counter(r["doc_id"] for r in got) == Counter([0, 3, 4, 5, 7, 9, 10, None])
     assert pipeline.near_dedup(spark, empty(docs), SF).count() == 0
+
+
+@pytest.fixture(scope="module")
+def awkward(docs):
+    """docs with columns named like those that the stages add for themselves."""
+    return docs.withColumns({"rejected": F.lit("own"), "_hit": F.lit(7), "_hash": F.lit(8), "_text_hash": F.lit(9)})
+
+
+def test_language_stage_rows(spark, awkward, corpus):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    got = pipeline.language(spark, awkward, SF)
+    want = langid.predict(awkward.drop("score", "rejected"), langid.fit(awkward)).where("NOT rejected")
+    assert got.columns == awkward.columns and got.dtypes == awkward.dtypes
+    got = got.collect()
+    assert got and Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in want.collect())
+    assert {(r["score"], r["rejected"]) for r in got} == {("dup", "own")} and not {0, 1, 2, 10} & {r["doc_id"] for r in got}
+    assert pipeline.language(spark, empty(awkward), SF).count() == 0
+
+
+def test_decontamination_stage_rows(spark, awkward):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item = common.table(spark, SF, "benchmark").first()["text"]
+    held = spark.createDataFrame([(None, item, "en", "x", "own", 7, 8, 9), (5, "before it " + item + " after it", "en", "x", "own", 7, 8, 9)], awkward.schema)
+    got = pipeline.decontaminate(spark, awkward.unionByName(held), SF)
+    assert got.columns == awkward.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, awkward.collect()))
+    assert pipeline.decontaminate(spark, empty(awkward), SF).count() == 0
+
+
+def test_personal_data_stage_rows(spark, awkward):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    mail = spark.createDataFrame([(20, "write to a.b@c.org now", "en", "x", "own", 7, 8, 9)] * 2, awkward.schema)
+    rows = awkward.unionByName(mail).withColumn("n_chars", F.lit(0).cast("long"))
+    got = pipeline.personal_data(spark, rows, SF)
+    assert got.columns == rows.columns
+    got = got.collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in rows.collect())
+    assert [r["text"] for r in got if r["doc_id"] == 20] == ["write to <EMAIL> now"] * 2
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got) and {r["text"] for r in got if r["doc_id"] == 0} == {None}
+    assert pipeline.personal_data(spark, awkward, SF).columns == awkward.columns and pipeline.personal_data(spark, empty(awkward), SF).count() == 0
+
+
+def test_packing_stage_rows(spark, awkward):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    check_pack(pipeline.pack(spark, awkward, SF).collect(), [(r["doc_id"], r["text"]) for r in awkward.collect()])
+    assert pipeline.pack(spark, empty(awkward), SF).count() == 0
+
+
+def test_near_dedup_stage_keeps_columns(spark, awkward):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    got = pipeline.near_dedup(spark, awkward, SF)
+    assert got.columns == awkward.columns and {(r["_hit"], r["_hash"], r["_text_hash"], r["score"]) for r in got.collect()} == {(7, 8, 9, "dup")}
