@@ -19,9 +19,14 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the language model rejects: without a letter, or far from every language's centroids."""
-    found = langid.predict(docs, langid.fit(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    """Drops documents that the language model rejects: without a letter (null and empty texts too), or far from every language's centroids.
+
+    Rows are judged each by its own text, whatever its doc_id; long texts are read whole. Columns named like the prediction's
+    come back as they were. An empty table, or one without any lang to learn from, gives no rows.
+    """
+    own = {c: f"_document_{k}" for k, c in enumerate(docs.columns) if c in ("lang_pred", "score", "rejected")}
+    found = langid.predict(docs.withColumnsRenamed(own), langid.fit(docs)).where(~F.col("rejected"))
+    return found.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,27 +44,37 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if twice.count():
         repeated = out.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
         out = out.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
-    nameless = docs.where("doc_id IS NULL").withColumn("_h", text)
-    named = rows.select(text.alias("_h")).distinct()
-    return out.unionByName(nameless.join(named, "_h", "left_anti").dropDuplicates(["_h"]).select(*docs.columns)) if found.where("doc_id IS NULL").limit(1).count() else out
+    h = "_text_hash" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    nameless = docs.where("doc_id IS NULL").withColumn(h, text)
+    named = rows.select(text.alias(h)).distinct()
+    return out.unionByName(nameless.join(named, h, "left_anti").dropDuplicates([h]).select(*docs.columns)) if found.where("doc_id IS NULL").limit(1).count() else out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, as it stands or with other numbers, units and names.
 
-    Rows that share a doc_id (null included) are judged each by its own text; rows without text stay.
+    Rows that share a doc_id (null included) are judged each by its own text; rows without text stay. Texts are read
+    whole; further columns pass through; an empty table gives no rows, an empty benchmark drops none.
     """
     return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts by its kind."""
+    """Replaces personal data in the texts by its kind, and counts n_chars anew where there is such a column.
+
+    Each row is read for itself, repeated ones too, and none is dropped; a null text stays null. Further columns pass
+    through; an empty table gives no rows.
+    """
     out = pii.redact(docs, pii.fit_field(docs))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences of at most 4096 tokens."""
+    """The pieces of training sequences of at most 4096 tokens, see packing.OUT.
+
+    Each row is packed for itself, repeated ones and those without doc_id too; a null or empty text is the end token alone,
+    and only longer texts than a sequence are cut. Further columns are left out; an empty table gives no rows.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
