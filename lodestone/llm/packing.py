@@ -26,25 +26,26 @@ OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence
 
 
 class ChunkEncoder:
-    """Ids of texts, by the ids of their space-separated chunks and of the chunks' words.
+    """Ids of texts, by the ids of their words.
 
     The tokenizer drops white space and never joins characters across it, so the ids of a text are those of its chunks
     in a row. Nor does it join a letter or digit with punctuation after it, or tell A-Z from a-z but in special tokens,
-    so a chunk's ids are those of its lower-case word and of its tail of punctuation. Each word and tail is encoded by
-    the tokenizer itself.
-    Arrow splits the texts and numbers the distinct chunks of a call; only those are looked up one by one. What was
-    encoded is kept as ranges of one array of ids and forgotten beyond `most` chunks or `most_ids` ids.
+    so texts are lower-cased and a chunk's tail of punctuation is set apart by a space before they are split. Each word
+    is encoded by the tokenizer itself, many new ones at a time with a separator between them.
+    Arrow splits the texts and numbers the distinct words of a call; only those are looked up one by one. What was
+    encoded is kept as ranges of one array of ids and forgotten beyond `most` words or `most_ids` ids.
     """
 
-    _TAIL = ".,;:!?%&*#$"
-    #: Letters and digits after which a tail is taken off (not U+0130, whose lower case ends in a mark); a chunk that ends otherwise is encoded whole.
-    _WORD_END = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$"
+    #: A letter or digit and the punctuation that ends its chunk (not U+0130, whose lower case ends in a mark).
+    _TAILED = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,;:!?%&*#$]+(?: |$))"
+    _SEPARATOR = "|"
 
     def __init__(self, path: str, most: int = 400_000, most_ids: int = 4_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.most_ids = Tokenizer.from_file(path), most, most_ids
+        self.separator = self.tokenizer.encode(self._SEPARATOR, add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
@@ -68,29 +69,31 @@ class ChunkEncoder:
         at += np.arange(len(at))
         return self.ids[at], ends
 
-    def _encode(self, words: list[str]) -> None:
-        for i in range(0, len(words), 5_000):
-            part = words[i : i + 5_000]
-            self.number.update(zip(part, range(len(self.start), len(self.start) + len(part)), strict=True))
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self._add(np.fromiter(itertools.chain.from_iterable(ids), "<u4"), np.array([len(x) for x in ids], "i8"))
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Gives every chunk a number."""
-        number = self.number
-        new = [c for c in chunks if c not in number]
-        trimmed = pc.utf8_rtrim(pa.array(new, pa.large_string()), characters=self._TAIL)
-        ends = pc.match_substring_regex(trimmed, self._WORD_END).to_numpy(zero_copy_only=False)
-        tailed = [(c, w) for c, w, end in zip(new, trimmed.to_numpy(zero_copy_only=False), ends, strict=True) if end and len(c) > len(w)]
-        whole = set(new).difference(c for c, _ in tailed)
-        whole.update(w for _, w in tailed if w not in number)
-        whole.update(t for t in {c[len(w) :] for c, w in tailed} if t not in number)
-        self._encode(list(whole))
-        # a tail may be a chunk, too; what has a number by now keeps it
-        tailed = [(c, w) for c, w in tailed if c not in number]
-        pairs = np.array([(number[w], number[c[len(w) :]]) for c, w in tailed], "i8").reshape(-1, 2)
-        number.update(zip((c for c, _ in tailed), range(len(self.start), len(self.start) + len(tailed)), strict=True))
-        self._add(self._row(pairs.ravel())[0], self.length[pairs].sum(1))
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in a row, and how many are each one's."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), "<u4"), np.array([len(x) for x in ids], "i8")
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _each, for words without the separator: they are encoded as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {self._SEPARATOR} ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        between = ids == self.separator[0]
+        at = np.flatnonzero(between)
+        if len(at) != len(words) - 1:
+            return self._each(words)
+        return ids[~between], np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+
+    def _learn(self, words: list[str]) -> None:
+        """Gives every word a number."""
+        new = [w for w in words if w not in self.number]
+        alone = [w for w in new if self._SEPARATOR in w or len(w) > 1000] if len(self.separator) == 1 else new
+        apart = set(alone)
+        joined = [w for w in new if w not in apart] if apart else new
+        for some, encode in ((joined, self._joined), (alone, self._each)):
+            for i in range(0, len(some), 1_000):
+                part = some[i : i + 1_000]
+                self.number.update(zip(part, range(len(self.start), len(self.start) + len(part)), strict=True))
+                self._add(*encode(part))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         ids, begins = self.encode(pa.array(texts, pa.string()))
@@ -104,17 +107,15 @@ class ChunkEncoder:
         spaced = pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " ")
         if not pc.any(pc.match_substring(spaced, "<|")).as_py():
             spaced = pc.ascii_lower(spaced)
-        split = pc.split_pattern(spaced, " ")
+        split = pc.split_pattern(pc.replace_substring_regex(spaced, self._TAILED, r"\1 \2"), " ")
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._learn(chunks)
-        own = np.fromiter(map(self.number.__getitem__, chunks), "i8", len(chunks))[coded.indices.to_numpy()]
+        words = coded.dictionary.to_pylist()
+        self._learn(words)
+        own = np.fromiter(map(self.number.__getitem__, words), "i8", len(words))[coded.indices.to_numpy()]
         ids, ends = self._row(own)
         of_text = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        for c in chunks:
-            if len(c) > 64:
-                self.number.pop(c, None)
-                self.number.pop(c.rstrip(self._TAIL) or c, None)
+        for w in coded.dictionary.filter(pc.greater(pc.utf8_length(coded.dictionary), 64)).to_pylist():
+            self.number.pop(w, None)
         return ids, of_text
 
 
