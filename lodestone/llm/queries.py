@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import op1_template_decontamination, oracle_sql as _decontamination_sql
 from .embed_dedup import op6_rotation_code_dedup
 from .html_extract import op10_host_html_extraction
+from .importance import op11_target_importance_resampling
 from .langid import op5_centroid_langid
 from .packing import op2_best_fit_packing
 from .pii import op4_skip_chain_pii
 from .sharding import op8_label_propagation_sharding
 from .simhash import op9_golay_simhash
 from .suffix_dedup import op7_suffix_array_dedup
+from .vector_codes import op13_vector_code_compression, oracle_sql as _vector_codes_sql
 from .warc import op3_warc_zstd
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_label_propagation_sharding": op8_label_propagation_sharding,
     "op9_golay_simhash": op9_golay_simhash,
     "op10_host_html_extraction": op10_host_html_extraction,
+    "op11_target_importance_resampling": op11_target_importance_resampling,
+    "op13_vector_code_compression": op13_vector_code_compression,
 }
 
 _ARTICLE = "regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')"
@@ -55,4 +59,5 @@ SELECT node AS vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, componen
 WITH t AS (SELECT page_id, url, coalesce(trim(regexp_replace({_DECODED}, '\\s+', ' ', 'g')), '') AS text FROM pages)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
 """,
+    "op13_vector_code_compression": _vector_codes_sql(),
 }
