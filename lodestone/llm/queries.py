@@ -11,6 +11,7 @@ from .embed_dedup import op6_rotation_code_dedup
 from .html_extract import op10_host_html_extraction
 from .importance import op11_target_importance_resampling
 from .langid import op5_centroid_langid
+from .maxent import op12_maxent_scoring
 from .packing import op2_best_fit_packing
 from .pii import op4_skip_chain_pii
 from .sharding import op8_label_propagation_sharding
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_golay_simhash": op9_golay_simhash,
     "op10_host_html_extraction": op10_host_html_extraction,
     "op11_target_importance_resampling": op11_target_importance_resampling,
+    "op12_maxent_scoring": op12_maxent_scoring,
     "op13_vector_code_compression": op13_vector_code_compression,
 }
 
