@@ -125,8 +125,8 @@ def vocabulary(docs: DataFrame, shape: Shape = Shape()) -> Vocabulary:
     counts = _stored(each.groupBy("key").agg(F.sum("n").alias("c")).withColumn("rare", suffix.cast("int")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least = math.ceil(total["n"] / HEAD)
-    # at most HEAD rows of at most LONG bytes
-    head = counts.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("key", "ascending")]) if total["n"] else None
+    # at most HEAD rows of at most LONG bytes, and the end
+    head = counts.where((F.col("c") >= least) | (F.col("key") == END)).toArrow().sort_by([("c", "descending"), ("key", "ascending")]) if total["n"] else None
     keys = head["key"].combine_chunks().cast(pa.large_string()) if head else pa.array([], pa.large_string())
     c = head["c"].to_numpy() if head else np.zeros(0, np.int64)
     symbol = np.arange(len(keys))
@@ -356,7 +356,7 @@ def score(coded: DataFrame, v: Vocabulary, m: Model, keep: list[str]) -> DataFra
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(x)) for x in rest), pa.array(total)], names=[*rest, "part"])
 
     # words outside the head are in fewer than one of HEAD tokens: no key is hot
-    rare = v.counts.where(F.col("c") < v.least).select("key", "c")
+    rare = v.counts.where((F.col("c") < v.least) & (F.col("key") != END)).select("key", "c")
     words = coded.select("row", F.explode("tail").alias("w")).select("row", "w.key", "w.n")
     tail = words.join(rare, "key").groupBy("row").agg(F.sum("n").alias("tail_n"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("tail_log"))
     plain = coded.select("row", *keep, "n_tokens", "head_n", "head_log", "rare_log", "ids")

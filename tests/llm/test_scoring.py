@@ -128,7 +128,7 @@ def test_maxent_learns(spark):
     got = maxent.op12_maxent_scoring(spark, SF).collect()
     held = [r for r in got if r["held_out"]]
     assert {r["doc_id"] for r in held} == {r["doc_id"] for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2}
-    assert sum(r["score"] for r in held) > 0.97 * sum(r["base_score"] for r in held) > sum(r["base_score"] for r in held)
+    assert sum(r["score"] for r in held) > 0.98 * sum(r["base_score"] for r in held) > sum(r["base_score"] for r in held)
 
 
 def test_maxent_probabilities(spark):
