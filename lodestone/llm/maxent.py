@@ -333,10 +333,11 @@ def fit(coded: DataFrame, v: Vocabulary, rounds: int = 5, smooth: float = 3.0, p
 
         part = coded.where(F.pmod(F.xxhash64("ids"), F.lit(rounds)) == k).select("ids").coalesce(tasks)
         found = tree_sum(in_batches(part).mapInArrow(releasing(run), "vector binary"), 2 * sum(shares), np.int32)
-        seen_class, drawn_class, seen_member, drawn_member = np.split(found.astype(np.float32), np.cumsum([shares[0], shares[0], shares[1]]))
-        m.by_class += (pace * np.log((seen_class + smooth) / (drawn_class + smooth))).reshape(m.by_class.shape)
-        m.by_member += (pace * np.log((seen_member + smooth) / (drawn_member + smooth))).reshape(m.by_member.shape)
-        sent.unpersist()
+        for weights, seen, drawn in zip((m.by_class, m.by_member), *(np.split(found, np.cumsum([shares[0], shares[0], shares[1]]))[k::2] for k in (0, 1)), strict=True):
+            step = (seen + np.float32(smooth)).astype(np.float32)
+            step /= (drawn + np.float32(smooth)).astype(np.float32)
+            weights += pace * np.log(step, out=step).reshape(weights.shape)
+        sent.destroy()
     return m
 
 

@@ -153,7 +153,7 @@ def train(df: DataFrame, vector: str = "embedding", key: str = "vec_id", parts:
         for p, c in enumerate(cuts):
             used = count[p] > 0
             books[p][used] = total[used, c] // count[p][used][:, None]  # rounds down
-        sent.unpersist()
+        sent.destroy()
     return books
 
 
