@@ -90,35 +90,62 @@ def is_type(node: dict, name: str) -> bool:
 
 
 def compact(value):
-    """JSON without nulls, empty values and contexts."""
+    """JSON without nulls, blanks, empty values and contexts, to any depth; None where nothing is left."""
     if isinstance(value, dict):
-        value = {k: c for k, v in value.items() if k != "@context" and (c := compact(v)) not in (None, "", [], {})}
+        value = {k: c for k, v in value.items() if k != "@context" and (c := compact(v)) is not None} or None
     elif isinstance(value, list):
-        value = [c for v in value if (c := compact(v)) not in (None, "", [], {})]
+        value = [c for v in value if (c := compact(v)) is not None] or None
+    elif isinstance(value, str):
+        value = value.strip() or None
+    elif isinstance(value, float) and value.is_integer():
+        value = int(value)
     return value
 
 
+def compact_text(value, most: int = 4000) -> str | None:
+    """compact() as text: a text itself, anything else as JSON, cut to `most` characters."""
+    value = compact(value)
+    text = value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return text[:most] if isinstance(value, dict | list) else text
+
+
 def _squeezed(s: str | None) -> str | None:
     return " ".join(s.replace("\ufeff", " ").split()) or None if s else None
 
 
-def read_page(html: str | None) -> dict:
+def read_markup(html: str | None) -> tuple[dict, list[str]]:
+    """(what a page's markup says, without its JSON-LD; the JSON-LD blocks that are not blank)."""
     r = _Reader()
     r.feed(html or "")
     r.close()
-    nodes, errors = [], 0
-    for kind, body in r.scripts:
-        if kind == "application/ld+json":
-            try:
-                nodes += [json.dumps(n, ensure_ascii=False) for n in json_ld_nodes(json.loads(body))]
-            except (ValueError, RecursionError):
-                errors += 1
     found = set(re.findall(r"Shopify\.currency\s*=\s*\{[^}]*\"active\"\s*:\s*\"([A-Z]{3})\"", html or ""))
     text = _squeezed(" ".join(r.text)) or ""
-    return r.out | {
-        "title": _squeezed(r.parts["title"]), "h1": _squeezed(r.parts["h1"]), "description": _squeezed(r.out["description"]), "text": text, "json_ld": nodes, "json_ld_errors": errors,
+    out = r.out | {
+        "title": _squeezed(r.parts["title"]), "h1": _squeezed(r.parts["h1"]), "description": _squeezed(r.out["description"]), "text": text,
         "has_password_form": r.out["has_password_form"] or "enter store using password" in text.lower(), "is_challenge": r.challenge or "verify you are human" in text.lower(), "currency": found.pop() if len(found) == 1 else None,
     }
+    return out, [body for kind, body in r.scripts if kind == "application/ld+json" and body.strip()]
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def parse_blocks(blocks: list[str], read) -> tuple[list, int]:
+    """(what `read` makes of each block's JSON, how many blocks can't be read)."""
+    out, errors = [], 0
+    for body in blocks:
+        try:
+            out.append(read(json.loads(body, parse_constant=_no_constant)))
+        except (ValueError, RecursionError):
+            errors += 1
+    return out, errors
+
+
+def read_page(html: str | None) -> dict:
+    out, blocks = read_markup(html)
+    nodes, errors = parse_blocks(blocks, lambda v: [json.dumps(n, ensure_ascii=False) for n in json_ld_nodes(v)])
+    return out | {"json_ld": [n for each in nodes for n in each], "json_ld_errors": errors}
 
 
 @F.pandas_udf(PAGE)

@@ -56,3 +56,8 @@ def availability(c: Column) -> Column:
     """True, false or unknown (null) from the last path segment of a schema address or plain token."""
     t = F.element_at(F.split(F.lower(c), "/"), -1)
     return F.when(t.isin("instock", "in_stock"), True).when(t.isin("outofstock", "out_of_stock", "soldout"), False)
+
+
+def stock(value: Column, kind: Column) -> Column:
+    """availability() of a JSON scalar: booleans stand for themselves, numbers for nothing."""
+    return F.when(kind == "b", value == "true").when(kind == "s", availability(value))

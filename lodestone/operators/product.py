@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html, text as tx, urls, values
+from ..functions.captures import IDENTIFIERS, parse_capture
+from ..functions.rows import once
 
 #: The feed's schema. Numbers may come as texts, so both are read as text.
 _VARIANT = "struct<id:string,title:string,sku:string,barcode:string,price:string,compare_at_price:string,available:boolean,options:array<string>>"
 FEED = f"id string, handle string, title string, vendor string, type string, description string, available boolean, price string, compare_at_price string, featured_image string, images array<string>, tags array<string>, variants array<{_VARIANT}>"
 
-#: Identifiers that a product node may carry, in the order in which they are read.
-IDENTIFIERS = ("gtin", "gtin8", "gtin12", "gtin13", "gtin14", "isbn", "mpn")
 #: Fields whose second tier counts only where the first is empty.
 PREFERRED = ("title", "description", "barcode", "image")
 _LINKS = ("canonical_url", "image")
@@ -46,20 +48,6 @@ def feed_product(body: Column) -> Column:
     return F.when(_filled(raw["id"]).isNotNull() & _filled(raw["handle"]).isNotNull() & _filled(raw["title"]).isNotNull(), out)
 
 
-def scalar(node: Column, path: str) -> Column:
-    """A text, number or boolean of a JSON text; objects, lists and blanks are null."""
-    value = _filled(F.get_json_object(node, path))
-    return F.when(~value.rlike(r"^[\[{]"), value)
-
-
-def image_urls(node: Column) -> Column:
-    """Distinct addresses of a node's image: a text, an object with url or contentUrl, or a list of these."""
-    raw = F.get_json_object(node, "$.image")
-    listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(raw.isNotNull(), F.array(raw)).otherwise(F.array().cast("array<string>"))
-    one = lambda x: _filled(F.when(x.startswith("{"), F.coalesce(F.get_json_object(x, "$.url"), F.get_json_object(x, "$.contentUrl"))).otherwise(x))
-    return F.array_distinct(F.filter(F.transform(listed, one), lambda x: x.isNotNull()))
-
-
 def usage(body: Column) -> Column:
     """Token counts and cost of a provider's answer, in whichever spelling it has them."""
     number = lambda *paths: F.coalesce(*[F.nullif(F.get_json_object(body, f"$.usage.{p}").try_cast("long"), F.lit(0)) for p in paths], F.lit(0))
@@ -82,80 +70,122 @@ def captured_usage(captures: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("model_calls"), *sums, cost.alias("cost_usd"))
 
 
-def _one(source: str, path: Column | str, value: Column, tier: int = 1) -> Column:
-    path = F.lit(path) if isinstance(path, str) else path
-    return F.array(F.struct(F.lit(tier).alias("tier"), F.lit(source).alias("source"), path.alias("path"), value.cast("string").alias("value")))
+def read_captures(captures: DataFrame) -> DataFrame:
+    """captures (url, feed_body, page_html and other columns) with `feed` and `page`, each read once a row."""
+    rows = once(captures, feed=feed_product(F.col("feed_body")))
+    return once(rows, page=parse_capture(F.col("page_html"), F.col("url"), F.concat(F.array("feed.featured_image"), F.coalesce("feed.images", F.array().cast("array<string>")))))
+
+
+def variant_of(ref: Column, sku: Column, variants: Column) -> Column:
+    """Place (from 0) of the variant that a node is about, or null: the one its address names, else the only one with its stock number.
+
+    An address that names no variant decides too.
+    """
+    same = F.filter(F.transform(variants, lambda v, i: F.when(v["sku"] == sku, i)), lambda i: i.isNotNull())
+    by_ref = F.array_position(F.transform(variants, lambda v: v["id"]), ref)
+    return F.when(ref.isNotNull(), F.when(by_ref > 0, (by_ref - 1).cast("int"))).when(F.size(same) == 1, F.try_element_at(same, F.lit(1)))
+
+
+def _seen(source: str, path: Column | str, value: Column, kind: str | Column = "s", tier: int | Column = 1, key: Column | None = None, variant: Column | None = None) -> Column:
+    """An observation: its value as text (blanks are null), the JSON kind of it, what it compares by where that isn't the value, and the variant it is about."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(
+        lit(tier).alias("tier"), F.lit(source).alias("source"), lit(path).alias("path"), _filled(value.cast("string")).alias("value"), lit(kind).alias("kind"),
+        (F.lit(None).cast("string") if key is None else key).alias("vkey"), (F.lit(None).cast("int") if variant is None else variant).alias("variant"),
+    )
+
+
+def _at(kind: str, i: Column) -> Column:
+    return F.concat(F.lit(f"{kind}["), i.cast("string"), F.lit("]"))
 
 
-def _fields(feed: Column, page: Column, url: Column) -> dict[str, list[Column]]:
-    """Field -> arrays of (tier, source, path, value) in the order in which they count."""
-    nodes = html.product_nodes(page["json_ld"])
+def _fields(feed: Column, page: Column, url: Column) -> dict[str, Callable[[], list[Column]]]:
+    """Field -> what makes its arrays of observations, in the order in which they count. Nodes have `variant`."""
+    nodes = page["products"]
     meta = lambda name: F.try_element_at(page["og"], F.lit(name))
-    mine = lambda path, value, tier=1: _one("shopify_ajax", path, value, tier)
-    head = lambda path, value, tier=1: _one("html_meta", path, value, tier)
-    made = lambda path, value, tier=1: F.struct(F.lit(tier).alias("tier"), F.lit("json_ld").alias("source"), path.alias("path"), value.cast("string").alias("value"))
-    at = lambda kind, i: F.concat(F.lit(f"{kind}["), i.cast("string"), F.lit("]"))
-
-    def product(name: str, value=None) -> Column:
-        value = value or (lambda n: scalar(n, f"$.{name}"))
-        return F.transform(nodes, lambda n, i: made(F.concat(at("products", i), F.lit(f".{name}")), value(n)))
-
-    def offer(name: str, value=None) -> Column:
-        value = value or (lambda o: scalar(o, f"$.{name}"))
-        return F.flatten(F.transform(nodes, lambda n, i: F.transform(html.offers(n), lambda o, j: made(F.concat(at("products", i), at(".offers", j), F.lit(f".{name}")), value(o)))))
-
-    whole = lambda name: lambda n: F.get_json_object(n, f"$.{name}")
-    variants = feed["variants"]
-    rest = F.transform(variants, lambda v, i: F.struct(F.lit(2).alias("tier"), F.lit("shopify_ajax").alias("source"), F.concat(at("variants", i), F.lit(".barcode")).alias("path"), F.when(i > 0, v["barcode"]).alias("value")))
+    mine = lambda path, value, kind="s", tier=1: F.array(_seen("shopify_ajax", path, value, kind, tier))
+    head = lambda path, value, kind="s", tier=1: F.array(_seen("html_meta", path, value, kind, tier))
+    link = lambda source, path, x, tier=1: _seen(source, path, x["value"], "s", tier, x["key"])
+
+    def product(name: str) -> Column:
+        return F.transform(nodes, lambda n, i: _seen("json_ld", F.concat(_at("products", i), F.lit(f".{name}")), n["values"][name]["value"], n["values"][name]["kind"], variant=n["variant"]))
+
+    def offer(name: str, value: Callable[[Column], tuple[Column, Column | str]] | None = None) -> Column:
+        value = value or (lambda o: (o["values"][name]["value"], o["values"][name]["kind"]))
+        made = lambda n, i: F.transform(n["offers"], lambda o, j: _seen("json_ld", F.concat(_at("products", i), _at(".offers", j), F.lit(f".{name}")), *value(o), variant=F.coalesce(o["variant"], n["variant"])))
+        return F.flatten(F.transform(nodes, made))
+
+    variants, images = feed["variants"], page["feed_images"]
     first = F.try_element_at(variants, F.lit(1))
-    main_image = F.coalesce(feed["featured_image"], F.try_element_at(feed["images"], F.lit(1)))
-    more_images = F.transform(feed["images"], lambda u, i: F.struct(F.lit(2).alias("tier"), F.lit("shopify_ajax").alias("source"), at("images", i).alias("path"), u.alias("value")))
-    node_images = F.flatten(F.transform(nodes, lambda n, i: F.transform(image_urls(n), lambda u, j: F.struct(
-        F.when(j == 0, 1).otherwise(2).alias("tier"), F.lit("json_ld").alias("source"), F.concat(at("products", i), F.lit(".image"), F.when(j > 0, at("", j)).otherwise("")).alias("path"), u.alias("value")))))
-    crumbs = F.flatten(F.transform(html.product_nodes(page["json_ld"], "BreadcrumbList"), lambda n, i: F.transform(html.breadcrumbs(n), lambda b, j: made(F.concat(at("breadcrumbs", i), at(".itemListElement", j), F.lit(".name")), b))))
-    tags = F.transform(feed["tags"], lambda t, i: F.struct(F.lit(1).alias("tier"), F.lit("shopify_ajax").alias("source"), at("tags", i).alias("path"), t.alias("value")))
-    price = lambda o: values.minor_of_decimal(F.coalesce(scalar(o, "$.price"), scalar(o, "$.lowPrice")))
+    rest = lambda: F.transform(variants, lambda v, i: _seen("shopify_ajax", F.concat(_at("variants", i), F.lit(".barcode")), F.when(i > 0, v["barcode"]), tier=2))
+    main_path = F.when(feed["featured_image"].isNotNull(), "featured_image").otherwise("images[0]")
+    main_image = F.try_element_at(images, F.when(feed["featured_image"].isNotNull(), 1).otherwise(2))
+    more_images = lambda: F.transform(F.slice(images, 2, F.greatest(F.size(images) - 1, F.lit(0))), lambda x, i: link("shopify_ajax", _at("images", i), x, 2))
+    node_images = lambda: F.flatten(F.transform(nodes, lambda n, i: F.transform(n["images"], lambda x, j: link("json_ld", F.concat(_at("products", i), F.lit(".image"), F.when(j > 0, _at("", j)).otherwise("")), x, F.when(j == 0, 1).otherwise(2)))))
+    crumbs = lambda: F.flatten(F.transform(page["breadcrumbs"], lambda b, i: F.transform(b, lambda name, j: _seen("json_ld", F.concat(_at("breadcrumbs", i), _at(".itemListElement", j), F.lit(".name")), name))))
+    tags = lambda: F.transform(feed["tags"], lambda t, i: _seen("shopify_ajax", _at("tags", i), t))
+    stock = lambda o: (values.stock(o["values"]["availability"]["value"], o["values"]["availability"]["kind"]), "b")
+    price = lambda o: (values.minor_of_decimal(o["values"]["price"]["value"]), "n")
     return {
-        "product_id": [mine("id", feed["id"]), product("productID")],
-        "handle": [mine("handle", feed["handle"]), head("url.handle", urls.handle(url))],
-        "canonical_url": [head("link[rel=canonical]", page["canonical"]), product("url")],
-        "title": [mine("title", feed["title"]), product("name"), _one("visible_html", "h1", page["h1"]), head("og:title", meta("og:title"), 2)],
-        "description": [mine("description", feed["description"]), product("description"), head("meta.description", page["description"], 2), head("og:description", meta("og:description"), 2)],
-        "vendor_brand": [mine("vendor", feed["vendor"]), product("brand", html.brand_name)],
-        "product_type_category": [mine("type", feed["type"]), product("category")],
-        "currency": [head("product:price:currency", meta("product:price:currency")), offer("priceCurrency")],
-        "price": [mine("price", feed["price_minor"]), head("product:price:amount", values.minor_of_decimal(meta("product:price:amount"))), offer("price", price)],
-        "availability": [mine("available", feed["available"]), head("product:availability", values.availability(meta("product:availability"))), offer("availability", lambda o: values.availability(scalar(o, "$.availability")))],
-        "sku": [mine("variants[0].sku", first["sku"]), product("sku"), offer("sku")],
-        "barcode": [mine("variants[0].barcode", first["barcode"]), *[product(n) for n in IDENTIFIERS], rest],
-        "image": [mine(F.when(feed["featured_image"].isNotNull(), "featured_image").otherwise("images[0]"), main_image), head("og:image", meta("og:image")), node_images, more_images],
-        "shipping_details": [product("shippingDetails", whole("shippingDetails")), offer("shippingDetails", whole("shippingDetails"))],
-        "merchant_return_policy": [product("hasMerchantReturnPolicy", whole("hasMerchantReturnPolicy")), offer("hasMerchantReturnPolicy", whole("hasMerchantReturnPolicy"))],
-        "warranty": [product(n, whole(n)) for n in ("warranty", "hasWarrantyPromise")] + [offer(n, whole(n)) for n in ("warranty", "hasWarrantyPromise")],
-        "taxonomy_hints": [crumbs, tags],
+        "product_id": lambda: [mine("id", feed["id"]), product("productID")],
+        "handle": lambda: [mine("handle", feed["handle"]), head("url.handle", urls.handle(url))],
+        "canonical_url": lambda: [F.array(link("html_meta", "link[rel=canonical]", page["canonical"])), F.transform(nodes, lambda n, i: link("json_ld", F.concat(_at("products", i), F.lit(".url")), n["link"]))],
+        "title": lambda: [mine("title", feed["title"]), product("name"), F.array(_seen("visible_html", "h1", page["h1"])), head("og:title", meta("og:title"), tier=2)],
+        "description": lambda: [mine("description", feed["description"]), product("description"), head("meta.description", page["description"], tier=2), head("og:description", meta("og:description"), tier=2)],
+        "vendor_brand": lambda: [mine("vendor", feed["vendor"]), product("brand")],
+        "product_type_category": lambda: [mine("type", feed["type"]), product("category")],
+        "currency": lambda: [head("product:price:currency", meta("product:price:currency")), offer("priceCurrency")],
+        "price": lambda: [mine("price", feed["price_minor"], "n"), head("product:price:amount", values.minor_of_decimal(meta("product:price:amount")), "n"), offer("price", price)],
+        "availability": lambda: [mine("available", feed["available"], "b"), head("product:availability", values.availability(meta("product:availability")), "b"), offer("availability", stock)],
+        "sku": lambda: [mine("variants[0].sku", first["sku"]), product("sku"), offer("sku")],
+        "barcode": lambda: [mine("variants[0].barcode", first["barcode"]), *[product(n) for n in IDENTIFIERS], rest()],
+        "image": lambda: [F.array(link("shopify_ajax", main_path, main_image)), F.array(link("html_meta", "og:image", page["og_image"])), node_images(), more_images()],
+        "shipping_details": lambda: [product("shippingDetails"), offer("shippingDetails")],
+        "merchant_return_policy": lambda: [product("hasMerchantReturnPolicy"), offer("hasMerchantReturnPolicy")],
+        "warranty": lambda: [product(n) for n in ("warranty", "hasWarrantyPromise")] + [offer(n) for n in ("warranty", "hasWarrantyPromise")],
+        "taxonomy_hints": lambda: [crumbs(), tags()],
     }
 
 
-def observations(captures: DataFrame, key: str) -> DataFrame:
+#: Fields in the order in which they are reported.
+FIELDS = (
+    "product_id", "handle", "canonical_url", "title", "description", "vendor_brand", "product_type_category", "currency", "price", "availability", "sku", "barcode", "image", "shipping_details", "merchant_return_policy", "warranty", "taxonomy_hints",
+)
+
+
+def observed(read: DataFrame, fields: Iterable[str] = FIELDS) -> DataFrame:
+    """read_captures() rows with `seen`, a struct of each wanted field's observations (ord, tier, source, path, value, kind, vkey, variant), without nulls.
+
+    ord counts the places of a field's sources, empty ones too; vkey is what values compare by.
+    """
+    # a node's variant is looked up once
+    page, variants = F.col("page"), F.col("feed.variants")
+    own = lambda x: x.withField("variant", variant_of(x["ref"], x["sku"], variants))
+    rows = once(read, page=page.withField("products", F.transform(page["products"], lambda n: own(n).withField("offers", F.transform(n["offers"], own)))))
+    made, none = _fields(F.col("feed"), F.col("page"), F.col("url")), F.array().cast("array<struct<tier:int,source:string,path:string,value:string,kind:string,vkey:string,variant:int>>")
+
+    def seen(field: str) -> Column:
+        def full(o: Column, i: Column) -> Column:
+            by_text = tx.category_key(o["value"]) if field == "product_type_category" else tx.comparison_key(o["value"])
+            return F.struct(i.alias("ord"), *[o[n].alias(n) for n in ("tier", "source", "path", "value", "kind")], (o["vkey"] if field in _LINKS else by_text).alias("vkey"), o["variant"].alias("variant"))
+
+        placed = F.transform(F.concat(*[F.coalesce(a, none) for a in made[field]()]), lambda o, i: F.struct(i.alias("i"), o.alias("o")))
+        return F.transform(F.filter(placed, lambda x: x["o"]["value"].isNotNull()), lambda x: full(x["o"], x["i"])).alias(field)
+
+    return once(rows, seen=F.struct(*[seen(f) for f in fields]))
+
+
+def observations(captures: DataFrame, key: str, fields: Iterable[str] = FIELDS) -> DataFrame:
     """(key, field, ord, tier, source, path, value, vkey) of captures (key, url, feed_body, page_html): one row for each value that a source gives.
 
     ord follows the order in which a field's sources count; vkey is what values compare by. Links are resolved against the page. A row
-    makes its own observations, so nothing is shuffled; nulls, blanks and broken JSON give none.
+    makes its own observations, so nothing is shuffled; nulls, blanks and broken JSON give none. Only the wanted fields are built.
     """
-    read = captures.select(key, "url", feed_product(F.col("feed_body")).alias("feed"), html.parse_page("page_html").alias("page"))
-    none = F.array().cast("array<struct<tier:int,source:string,path:string,value:string>>")
-    made = lambda field: lambda o, i: F.struct(F.lit(field).alias("field"), i.alias("ord"), o.alias("o"))
-    fields = _fields(F.col("feed"), F.col("page"), F.col("url"))
-    each = [F.transform(F.concat(*[F.coalesce(a, none) for a in arrays]), made(field)) for field, arrays in fields.items()]
-    rows = read.select(key, "url", F.explode(F.flatten(F.array(*each))).alias("x")).select(key, "url", "x.field", "x.ord", "x.o.*")
-    rows = rows.where(_filled(F.col("value")).isNotNull())
-    link = F.col("field").isin(*_LINKS)
-    rows = rows.withColumn("value", F.when(link, urls.absolute("url", "value")).otherwise(F.trim("value"))).where("value IS NOT NULL")
-    vkey = (
-        F.when(F.col("field") == "product_type_category", tx.category_key(F.col("value"))).when(F.col("field") == "canonical_url", urls.canonical_key(F.col("value")))
-        .when(F.col("field") == "image", urls.image_key(F.col("value"))).otherwise(tx.comparison_key(F.col("value")))
-    )
-    return rows.select(key, "field", "ord", "tier", "source", "path", "value", vkey.alias("vkey"))
+    fields = tuple(fields)
+    rows = observed(read_captures(captures.select(key, "url", "feed_body", "page_html")), fields)
+    named = lambda f: lambda o: F.struct(F.lit(f).alias("field"), o.alias("o"))
+    each = F.flatten(F.array(*[F.transform(F.col(f"seen.{f}"), named(f)) for f in fields]))
+    return rows.select(key, F.explode(each).alias("x")).select(key, "x.field", *[f"x.o.{n}" for n in ("ord", "tier", "source", "path", "value", "vkey")])
 
 
 def taxonomy_hints(rows: DataFrame, key: str) -> DataFrame:

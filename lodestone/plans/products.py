@@ -58,7 +58,7 @@ g AS (SELECT part, field, count(*) AS n_observations, count(DISTINCT source) AS
 SELECT part, field, CASE WHEN n_values > 1 THEN 'conflicted' WHEN n_sources >= 2 THEN 'verified' ELSE 'single_source' END AS state, CASE WHEN n_values = 1 THEN v END AS value, n_observations, n_sources, n_values FROM g
 """)
 def product_field_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = product.observations(_captures(spark, sf_dir), "part").where(~F.col("field").isin(*product.PREFERRED, "taxonomy_hints"))
+    rows = product.observations(_captures(spark, sf_dir), "part", [f for f in product.FIELDS if f not in (*product.PREFERRED, "taxonomy_hints")])
     return evidence.resolve_field(rows, rows.select("part", "field").distinct(), ["part", "field"])
 
 
@@ -68,13 +68,13 @@ g AS (SELECT part, field, tier, count(DISTINCT source) AS n_sources, count(DISTI
 SELECT part, field, tier, CASE WHEN n_values > 1 THEN 'conflicted' WHEN n_sources >= 2 THEN 'verified' ELSE 'single_source' END AS state, CASE WHEN n_values = 1 THEN v END AS value, n_values, n_sources FROM g
 """)
 def product_preferred_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = product.observations(_captures(spark, sf_dir), "part").where(F.col("field").isin("title", "description"))
+    rows = product.observations(_captures(spark, sf_dir), "part", ["title", "description"])
     return evidence.prefer_field(rows, ["part", "field"], "shopify_ajax")
 
 
 @query("SELECT p_partkey AS part, 'verified' AS state, 'breadcrumb: ' || p_type || ' > ' || p_brand || '; ajax_tag: ' || p_type AS value FROM part")
 def product_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return product.taxonomy_hints(product.observations(_captures(spark, sf_dir), "part"), "part")
+    return product.taxonomy_hints(product.observations(_captures(spark, sf_dir), "part", ["taxonomy_hints"]), "part")
 
 
 @query("""
