@@ -34,7 +34,7 @@ LONG = 64
 #: Tokens that make up at least this share of all are broadcast: there can't be more of them than its inverse.
 HEAD = 1 << 20
 #: Bytes of texts that become tokens at once, and tokens whose softmaxes are computed at once.
-PIECE, CHUNK = 1 << 22, 4096
+PIECE, CHUNK = 1 << 20, 4096
 #: Training tokens of a task.
 TASK = 1 << 22
 
