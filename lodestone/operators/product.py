@@ -14,6 +14,7 @@ from ..functions.rows import once
 _VARIANT = "struct<id:string,title:string,sku:string,barcode:string,price:string,compare_at_price:string,available:boolean,options:array<string>>"
 FEED = f"id string, handle string, title string, vendor string, type string, description string, available boolean, price string, compare_at_price string, featured_image string, images array<string>, tags array<string>, variants array<{_VARIANT}>"
 
+_FEED_VARIANT = "struct<id:string,title:string,sku:string,barcode:string,price_minor:bigint,compare_at_price_minor:bigint,available:boolean,options:array<string>>"
 #: Fields whose second tier counts only where the first is empty.
 PREFERRED = ("title", "description", "barcode", "image")
 _LINKS = ("canonical_url", "image")
