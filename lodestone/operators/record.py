@@ -212,7 +212,8 @@ def records(captures: DataFrame, fields: Iterable[str] = product.FIELDS) -> Data
         rows = _image(rows)
     if {"price", "currency"} <= set(fields):
         rows = _pricing(rows)
-    made = [f for f in fields if f"v_{f}" in rows.columns]
+    known = set(rows.columns)
+    made = [f for f in fields if f"v_{f}" in known]
     status = F.when(F.col("page.password") | F.col("page.challenge"), "blocked").when(F.col("no_feed"), "partial").otherwise("complete")
     out = once(rows, fields=F.struct(*[F.col(f"v_{f}" if f in made else f"first.{f}").alias(f) for f in fields]), collection_status=status)
     return out.drop("seen", "first", "chosen", "pick", "no_feed", *[f"v_{f}" for f in made])

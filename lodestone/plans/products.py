@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx, urls, values
-from ..operators import evidence, ledger, product, readiness, report
-from ..sources.tables import table
+from ..operators import evidence, ledger, preview, product, readiness, report
+from ..sources.tables import spread, table
 from .registry import query
 
 _SHOP = "https://shop.example/products/p-"
@@ -30,7 +30,7 @@ _OBS = "obs AS (" + " UNION ALL ".join(
 
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A product feed and a page for each part."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     k, cents = F.col("p_partkey").cast("string"), F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long").cast("string")
     feed = F.to_json(F.struct(
         F.col("p_partkey").alias("id"), F.concat(F.lit("p-"), k).alias("handle"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor"), F.col("p_type").alias("type"),
@@ -160,13 +160,12 @@ SELECT p_partkey, (['robots', 'html_meta', 'html_meta', 'shopify_ajax', 'shopify
 def finding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumn("path", F.element_at(F.array(*[F.lit(x) for x in _PATHS]), (F.col("p_partkey") % 9 + 1).cast("int")))
     size = F.col("p_size")
-    message = F.when(size % 2 == 0, F.concat(F.lit("Sources disagree on "), "p_name", F.lit("."))).otherwise("Something else.")
-    blocked = F.when(size % 3 == 0, "* is blocked by robots").when(size % 3 == 1, F.concat("p_name", F.lit(" is blocked"))).otherwise("no such message")
+    field, agent = F.when(size % 2 == 0, F.col("p_name")).otherwise("field"), F.when(size % 3 == 0, "*").when(size % 3 == 1, F.col("p_name"))
     item = lambda field, source, path, value: F.struct(F.lit(field).alias("field"), F.lit(source).alias("source"), path.alias("path"), value.alias("value"))
     none = F.lit(None).cast("string")
     items = F.array(item("title", "catalog", F.col("path"), F.concat(F.lit('"'), "p_brand", F.lit('"'))), item("price", "page", none, F.when(size % 4 == 1, "5")))
     line = readiness.evidence_line(F.when(size % 4 == 0, F.slice(items, 1, 0)).otherwise(items))
-    return p.select("p_partkey", readiness.source_of_path(F.col("path")).alias("source"), readiness.message_field(message).alias("field"), readiness.message_agent(blocked).alias("agent"), line.alias("line"))
+    return p.select("p_partkey", readiness.source_of_path(F.col("path")).alias("source"), field.alias("field"), preview.agent_id(agent).alias("agent"), line.alias("line"))
 
 
 @query("""

@@ -61,3 +61,9 @@ def byte_range(spec: Column, size: Column) -> Column:
     first = F.when(a != "", a.try_cast("long")).when(b != "", F.greatest(F.lit(0), size - b.try_cast("long")))
     last = F.when((a != "") & (b != ""), F.least(b.try_cast("long"), size - 1)).otherwise(size - 1)
     return F.when(spec.rlike(r"^bytes=(\d+-\d*|-\d+)$") & (first <= last) & (first < size), F.struct(first.alias("first"), last.alias("last")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores where it has fewer partitions: for small tables whose rows are much work each. Larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
