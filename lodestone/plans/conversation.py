@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..operators import board, folds, profile, report
+from ..operators import board, folds, machines, profile, report
 from ..sources.tables import table
 from .registry import query
 
@@ -60,11 +60,10 @@ f AS (
 SELECT user_id, seq, status, dead AS failed FROM f WHERE seq > 0
 """)
 def event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     names = {"signup": "PROTOCOL_APPROVED", "view": "SESSION_QUEUED", "purchase": "BUDGET_EXHAUSTED", "error": "SESSION_CANCELLED", "click": "TURN_COMPLETED"}
     event = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("event_type")]
-    rows = table(spark, sf_dir, "events").select("user_id", seq.alias("seq"), event.alias("event"), F.lit(None).cast("int").alias("ordinal"))
-    return folds.session_states(rows, "user_id").select("user_id", "seq", "status", F.col("error").isNotNull().alias("failed"))
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", event.alias("event"), F.lit(None).cast("int").alias("ordinal"))
+    return machines.session_states(rows, "user_id", order=["ts", "event_id"]).select("user_id", "seq", "status", F.col("error").isNotNull().alias("failed"))
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.values import stable_uuid
-from ..operators import folds, ledger
+from ..operators import folds, ledger, machines
 from ..sources.tables import table
 from .registry import query
 
@@ -88,3 +88,24 @@ SELECT o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h
 """)
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", stable_uuid(F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderpriority")).alias("id"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_type WHEN 'view' THEN 'reserve' WHEN 'click' THEN 'consume' WHEN 'error' THEN 'release' WHEN 'purchase' THEN 'compensate' ELSE 'other' END AS a FROM events),
+f AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS seq, 'absent' AS state, '' AS outcome FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT f.user_id, e.seq,
+    CASE WHEN a = 'reserve' AND state = 'absent' THEN 'reserved' WHEN a = 'consume' AND state = 'reserved' THEN 'consumed' WHEN a = 'release' AND state = 'reserved' THEN 'released' WHEN a = 'compensate' AND state = 'consumed' THEN 'compensated' ELSE state END,
+    CASE WHEN a = 'reserve' THEN CASE state WHEN 'absent' THEN 'admitted' WHEN 'released' THEN 'replay_released' WHEN 'compensated' THEN 'refused' ELSE 'replay' END
+      WHEN a = 'consume' THEN CASE state WHEN 'reserved' THEN 'consumed' WHEN 'consumed' THEN 'unchanged' ELSE 'refused' END WHEN a = 'release' THEN CASE state WHEN 'reserved' THEN 'released' WHEN 'released' THEN 'unchanged' ELSE 'refused' END
+      WHEN a = 'compensate' THEN CASE state WHEN 'consumed' THEN 'compensated' WHEN 'compensated' THEN 'unchanged' ELSE 'refused' END ELSE 'refused' END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.seq = f.seq + 1)
+SELECT user_id, seq, state, outcome FROM f WHERE seq > 0
+""")
+def reservation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as requests on one reservation."""
+    names = {"view": "reserve", "click": "consume", "error": "release", "purchase": "compensate"}
+    action = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("event_type")], F.lit("other"))
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", action.alias("action"))
+    return machines.reservation_states(rows, "user_id", ["ts", "event_id"])

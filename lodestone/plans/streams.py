@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.tables import table
+from ..sources.tables import shared_folder, table
 from ..streaming import streams
 from .registry import query
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one only where the cluster names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp()}"
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 SNAPSHOT = T.StructType(
@@ -67,3 +70,22 @@ def spread(df: DataFrame) -> DataFrame:
     """df, dealt to all cores where it has fewer partitions: for small tables whose rows are much work each. Larger ones stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; only a session in one process (`local`) may go without, and gets a temporary one."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder once and read from there: a lost executor's part is read again, not computed anew in another order."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
