@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import shared_folder, table
-from ..streaming import streams
+from ..streaming import settlement, streams
 from .registry import query
 
 
@@ -67,3 +67,17 @@ SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM i GROUP BY use
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
+
+
+_ROLE_KINDS = ("claimed", "limited", "settled", "claimed", "limited")
+
+
+@query()
+def role_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as claims, rate limits and settlements of two roles, a second apart for each minute; timers have no SQL, so tests compare with a plain loop."""
+    events = streams.source(spark, sf_dir, "events", "ts")
+    at = F.timestamp_micros(F.floor(F.unix_micros("ts") / 60).cast("long"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in _ROLE_KINDS]), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = events.select("user_id", F.when(F.col("event_id") % 2 == 0, "searcher").otherwise("controller").alias("role"), at.alias("at"), kind.alias("kind"))
+    with settlement.rocksdb(spark):
+        return streams.drain(settlement.settlements(rows, "user_id"), _folder(spark))
