@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import shared_folder, table
-from ..streaming import settlement, streams
+from ..streaming import settlement, sinks, streams
 from .registry import query
 
 
@@ -81,3 +81,46 @@ def role_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.select("user_id", F.when(F.col("event_id") % 2 == 0, "searcher").otherwise("controller").alias("role"), at.alias("at"), kind.alias("kind"))
     with settlement.rocksdb(spark):
         return streams.drain(settlement.settlements(rows, "user_id"), _folder(spark))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """The folder that the pages went to: as a stream in batches, the first of which is then delivered once more."""
+    # a table is one file or a folder of files
+    pages, folder = table(spark, sf_dir, "pages"), _folder(spark)
+    stream = spark.readStream.schema(pages.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/pages.parquet*")
+    flag = lambda cond, code, severity: F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
+    long = F.length("html") > 3000
+    rows = stream.withColumns({
+        "collection": F.col("page_id") % 100, "captured_at": F.timestamp_seconds(F.col("page_id")), "technical": F.array_compact(F.array(flag(long, "PAGE_NOINDEX", "error"), flag(F.col("page_id") % 3 == 0, "ROBOTS_UNAVAILABLE", "warning"))),
+        "record": F.array_compact(F.array(flag(~long, "MISSING_CANONICAL", "warning"))),
+    })
+    bodies = {"html": F.col("html"), "record": F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('{"url":"'), "url", F.lit('"}')))}
+    keep, first = sinks.store(folder, "collection", bodies, {"technical": "technical", "record": "record"}), []
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        keep(batch, batch_id)
+        if not first:
+            first.append(batch_id)
+            keep(batch, batch_id)
+
+    rows.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return folder
+
+
+@query("""
+WITH a AS (SELECT page_id % 100 AS collection, 'html' AS kind, page_id AS t, html AS body FROM pages WHERE html IS NOT NULL UNION ALL SELECT page_id % 100, 'record', page_id, '{"url":"' || url || '"}' FROM pages WHERE page_id % 2 = 0)
+SELECT collection, kind, min(t) AS first_at, arg_min(sha256(body), t) AS sha256, CAST(arg_min(octet_length(encode(body)), t) AS BIGINT) AS bytes FROM a GROUP BY ALL
+""")
+def stored_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _stored(spark, sf_dir)
+    each = [sinks.first_artifacts(spark, folder, "collection", k).select("collection", F.lit(k).alias("kind"), F.unix_seconds("captured_at").alias("first_at"), "sha256", "bytes") for k in ("html", "record")]
+    return each[0].unionByName(each[1])
+
+
+@query("""
+WITH p AS (SELECT page_id, page_id % 100 AS collection, length(html) > 3000 AS long FROM pages),
+f AS (SELECT collection, 'technical' AS origin, 'PAGE_NOINDEX' AS code, 'error' AS severity FROM p WHERE long UNION ALL SELECT collection, 'technical', 'ROBOTS_UNAVAILABLE', 'warning' FROM p WHERE page_id % 3 = 0 UNION ALL SELECT collection, 'record', 'MISSING_CANONICAL', 'warning' FROM p WHERE NOT long)
+SELECT collection, origin, code, severity, count(*) AS n FROM f GROUP BY ALL
+""")
+def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_stored(spark, sf_dir)}/findings").groupBy("collection", "origin", "code", "severity").agg(F.count("*").alias("n"))
