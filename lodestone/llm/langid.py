@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from .common import cut, in_batches, releasing, slices, table
 
@@ -92,16 +92,19 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, lang: str = "lang", per_lang: int = 1000, centroids: int = 4, dim: int = DIM, slack: float = 0.5) -> pd.DataFrame:
     """Centroids from docs (doc_id, text, lang): a row (lang, centroid, reject_below) each; `idf` is in attrs.
 
-    Learns from a sample of about `per_lang` documents of each language, dealt by a hash of doc_id; rows without
-    lang or without letters are left out. A language rejects what is farther than any but 1 % of its own sample
+    Learns from a sample of about `per_lang` documents of each language, and never more than twice as many, dealt by a hash of
+    doc_id and text: rows without doc_id count like others, and rows equal in both are one. Rows without lang or without letters are left out. A language rejects what is farther than any but 1 % of its own sample
     times `slack`. An empty table gives no rows.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    share = cut(rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")))
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text", F.lit("sample")))
+    share = cut(rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.approx_count_distinct("h", 0.02)).alias("share")))
     # languages are few as a rule; texts are shuffled by language only where they are not
     share = F.broadcast(share) if share.count() <= 100_000 else share
-    u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    chosen = in_batches(rows).join(share, "lang").where(u < F.col("share")).select("lang", "text")
+    some = rows.join(share, "lang").where(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < F.col("share")).select("lang", "h", "text")
+    # equal rows become one before they meet; what is left of a language is about per_lang rows
+    some = some.dropDuplicates(["lang", "h"]).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h")))
+    chosen = in_batches(some.where(F.col("rank") <= 2 * per_lang).select("lang", "text"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -221,3 +221,19 @@ def test_nearest_of_equals():
     apart = ((x[:, None, :] - points[None]) ** 2).sum(2)
     which, best = vector_codes.nearest(vector_codes.build(points), x)
     assert (which == apart.argmin(1)).all() and (best == apart.min(1)).all()
+
+
+# 5
+def test_language_sample_without_ids(spark):
+    """Rows without doc_id are sampled like others, however many there are, and equal rows count once."""
+    from lodestone.llm import langid
+
+    words = {"en": ["the", "house", "with", "water"], "xx": ["zuq", "qaz", "wyx", "qoq"]}
+    rng = random.Random(4)
+    rows = [(None, " ".join(rng.choice(words[lang]) for _ in range(30)), lang) for lang in words for _ in range(1000)] + [(None, "the same house with the same water", "en")] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, per_lang=10, centroids=2)
+    assert set(model["lang"]) == {"en", "xx"} and len(model) == 4
+    got = langid.predict(df, model).groupBy("lang", "lang_pred").count().collect()
+    assert {(r["lang"], r["lang_pred"]) for r in got} == {("en", "en"), ("xx", "xx")}
+    assert len(langid.fit(df.where("text LIKE 'the same%'"), per_lang=10, centroids=2)) == 1
