@@ -117,9 +117,11 @@ def decide(a: dict, history: dict, max_turns: int = 6, max_repairs: int = 2, sta
         action, reason = "compare", "comparison_ready"
     if action == "verify" and not needs:
         action, reason = "stop", "no_progress"
-    if action not in ("finish", "stop") and history["last"][-2:] == [(action, needs)] * 2:
-        action, reason = "stop", "no_progress"
-    history["last"].append((action, needs))
+    # the same check of the same needs, in any order, a third time in a row
+    asked = (action, sorted(needs))
+    if action in ("verify", "compare") and history["last"][-2:] == [asked] * 2:
+        asked, action, reason = ("stop", asked[1]), "stop", "no_progress"
+    history["last"].append(asked)
     del history["last"][:-2]
     return action, reason
 

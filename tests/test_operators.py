@@ -1,5 +1,6 @@
 """Operators by small cases."""
 
+import random
 import datetime as dt
 
 import pytest
@@ -172,6 +173,8 @@ def turn(**over):
         ([turn(plausible=0)], "explore"), ([turn()], "verify"), ([turn(full=1, unresolved=[])], "compare"), ([turn(full=2)], "compare"), ([turn(proposed="finish", quote="q", quote_names_full=True, full=1)], "finish"),
         ([turn(drift=True)], "explore"), ([turn(), turn(turn=2), turn(turn=3)], "stop"), ([turn(turn=6)], "stop"), ([turn(unresolved=[], hard=[])], "stop"),
         ([turn(turn=i, plausible=0, signatures=[str(i)]) for i in range(1, 4)], "stop"), ([turn(turn=i, signatures=[str(i)]) for i in range(1, 4)], "stop"),
+        ([turn(turn=i, full=2, signatures=[str(i)], unresolved=list(n)) for i, n in ((1, "ab"), (2, "ba"), (3, "ab"))], "stop"), ([turn(turn=i, full=2, signatures=[str(i)], unresolved=list(n)) for i, n in ((1, "ab"), (2, "ac"), (3, "ab"))], "compare"),
+        ([turn(turn=i, signatures=[str(i)], **m) for i, m in ((1, {}), (2, {"full": 2}), (3, {}))], "verify"),
     ],
 )
 def test_controller(turns, last):
@@ -179,6 +182,42 @@ def test_controller(turns, last):
     assert [folds.decide(t, history)[0] for t in turns][-1] == last
 
 
+def from_all_turns(turns):
+    """Each decision from the whole list of turns and decisions before it, until one ends the session."""
+    made = []
+    for k, t in enumerate(turns):
+        if any(m[0] in ("finish", "stop") for m in made):
+            made.append((None, "SESSION_OVER", (), 0, 0))
+            continue
+        seen = {s for x in turns[:k] for s in x["signatures"]}
+        idle = 0 if set(t["signatures"]) - seen else (made[-1][3] if made else 0) + 1
+        repairs, needs = (made[-1][4] if made else 0), (t["unresolved"] or t["hard"])[:2]
+        steps = [
+            (t["proposed"] == "finish" and bool(t["quote"]) and t["quote_names_full"] and not t["drift"], "finish", "decision_supported"), (idle >= 2, "stop", "no_progress"), (t["turn"] >= 6, "stop", "turn_limit"),
+            (t["drift"] or not t["plausible"], "explore", "unmet_needs"), (t["full"] >= 2, "compare", "comparison_ready"), (True, "verify", "unknown_evidence"),
+        ]
+        action, reason = next(x[1:] for x in steps if x[0])
+        repairs += action == "explore"
+        if action == "verify" and t["full"]:
+            action, reason = "compare", "comparison_ready"
+        same = len(made) >= 2 and all(m[0] == action and sorted(m[2]) == sorted(needs) for m in made[-2:])
+        if action == "explore" and repairs > 2 or action == "verify" and not needs or action in ("verify", "compare") and same:
+            action, reason = "stop", "no_progress"
+        made.append((action, reason, needs, idle, repairs))
+    return [m[:2] for m in made]
+
+
+def test_controller_against_whole_histories(spark):
+    rng = random.Random(6)
+    pick = lambda most: rng.sample("abc", rng.randrange(most + 1))
+    sessions = {k: [turn(turn=i + 1, proposed=rng.choice(["finish", "verify"]), quote=rng.choice([None, "q"]), quote_names_full=rng.random() < 0.3, drift=rng.random() < 0.1, full=rng.choice([0, 0, 1, 2, 2]), plausible=rng.choice([0, 1, 1, 2]),
+                         signatures=[f"s{rng.randrange(9)}"], unresolved=pick(3), hard=pick(2)) for i in range(8)] for k in range(120)}
+    rows = [(k, *t.values()) for k, turns in sessions.items() for t in turns]
+    schema = "k long, turn long, proposed string, quote string, quote_names_full boolean, drift boolean, full int, plausible int, signatures array<string>, unresolved array<string>, hard array<string>"
+    got = {(r["k"], r["turn"]): (r["action"], r["reason"]) for r in folds.decisions(spark.createDataFrame(rows, schema).repartition(5), "k").collect()}
+    assert got == {(k, i + 1): x for k, turns in sessions.items() for i, x in enumerate(from_all_turns(turns))}
+
+
 def test_classifier_bound_is_the_expression(spark):
     df = spark.createDataFrame([("absent", 0.9, 0.2), ("absent", 0.9, 0.19), ("recommended", 0.9, 0.79), ("final_choice", 0.69, 1.0), ("not_observed", 0.9, 0.0), ("?", 1.0, 1.0)], "c string, p double, n double")
     got = [r[0]["fallback_reason"] for r in df.select(report.classified(F.col("c"), F.col("p"), F.col("n"), F.lit("list"))).collect()]
