@@ -49,22 +49,29 @@ def feed_product(body: Column) -> Column:
     return F.when(_filled(raw["id"]).isNotNull() & _filled(raw["handle"]).isNotNull() & _filled(raw["title"]).isNotNull(), out)
 
 
-def usage(body: Column) -> Column:
-    """Token counts and cost of a provider's answer, in whichever spelling it has them."""
-    number = lambda *paths: F.coalesce(*[F.nullif(F.get_json_object(body, f"$.usage.{p}").try_cast("long"), F.lit(0)) for p in paths], F.lit(0))
-    plain_in, plain_out = number("input_tokens"), number("output_tokens")
-    total = F.coalesce(F.nullif(number("total_tokens"), F.lit(0)), plain_in + plain_out)
-    raw = F.get_json_object(body, "$.usage.cost")
-    cost = raw.try_cast("double")
+#: What is read of a provider's answer; texts are no numbers here.
+_USAGE = (
+    "usage struct<prompt_tokens:bigint,input_tokens:bigint,completion_tokens:bigint,output_tokens:bigint,total_tokens:bigint,cost:double,"
+    "completion_tokens_details:struct<reasoning_tokens:bigint>,server_tool_use:struct<web_search_requests:bigint>>"
+)
+
+
+def usage(u: Column) -> Column:
+    """Token counts and cost of a provider's answer, read by _USAGE, in whichever spelling it has them. Counts that are no numbers are 0, such a cost is unknown."""
+    number = lambda *values: F.coalesce(*[F.nullif(v, F.lit(0)) for v in values], F.lit(0))
+    plain_in, plain_out = number(u["input_tokens"]), number(u["output_tokens"])
+    total = F.coalesce(F.nullif(u["total_tokens"], F.lit(0)), plain_in + plain_out)
+    cost = u["cost"]
     return F.struct(
-        number("prompt_tokens", "input_tokens").alias("input_tokens"), number("completion_tokens", "output_tokens").alias("output_tokens"), number("completion_tokens_details.reasoning_tokens").alias("reasoning_tokens"),
-        total.alias("total_tokens"), number("server_tool_use.web_search_requests").alias("web_search_requests"), F.when((cost >= 0) & (cost < float("inf")), cost).alias("cost"),
+        number(u["prompt_tokens"], u["input_tokens"]).alias("input_tokens"), number(u["completion_tokens"], u["output_tokens"]).alias("output_tokens"), number(u["completion_tokens_details"]["reasoning_tokens"]).alias("reasoning_tokens"),
+        total.alias("total_tokens"), number(u["server_tool_use"]["web_search_requests"]).alias("web_search_requests"), F.when((cost >= 0) & (cost < float("inf")), cost).alias("cost"),
     )
 
 
 def captured_usage(captures: DataFrame, key: str) -> DataFrame:
     """Usage by key of captures (key, status, body): a call that succeeded without a bill makes the cost unknown, a failed one costs nothing."""
-    rows = captures.select(key, F.col("status").between(200, 299).alias("ok"), usage(F.col("body")).alias("u"))
+    rows = once(captures.select(key, F.col("status").between(200, 299).alias("ok"), "body"), raw=F.from_json("body", _USAGE)["usage"])
+    rows = rows.select(key, "ok", usage(F.col("raw")).alias("u"))
     sums = [F.coalesce(F.sum(f"u.{n}"), F.lit(0)).cast("long").alias(n) for n in ("input_tokens", "output_tokens", "reasoning_tokens", "total_tokens", "web_search_requests")]
     unbilled = F.count_if(F.col("ok") & F.col("u.cost").isNull())
     cost = F.when(unbilled == 0, F.coalesce(F.sum(F.when(F.col("ok"), F.col("u.cost"))), F.lit(0.0)))

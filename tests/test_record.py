@@ -75,3 +75,12 @@ def test_catalogue(spark):
     assert rules.count() == rules.select("rule").distinct().count() == len(preview.RULES)
     with pytest.raises(ValueError):
         preview.with_findings(spark.range(1), spark.range(preview.MOST_RULES + 1).selectExpr("cast(id AS string) AS rule"))
+
+
+def test_usage_types(spark):
+    """Texts are no numbers: counts of them are 0, and such a cost leaves the sum unknown."""
+    bodies = ['{"usage":{"prompt_tokens":5,"cost":0.5}}', '{"usage":{"prompt_tokens":"7","output_tokens":2,"cost":0.25}}', '{"usage":{"input_tokens":3,"total_tokens":9,"completion_tokens_details":{"reasoning_tokens":4},"cost":0.125}}']
+    one = lambda rows: product.captured_usage(spark.createDataFrame(rows, "k long, status int, body string"), "k").first().asDict()
+    got = one([(1, 200, b) for b in bodies] + [(1, 500, "{")])
+    assert got == {"k": 1, "model_calls": 4, "input_tokens": 8, "output_tokens": 2, "reasoning_tokens": 4, "total_tokens": 11, "web_search_requests": 0, "cost_usd": 0.875}
+    assert one([(1, 200, bodies[0]), (1, 200, '{"usage":{"cost":"0.5"}}')])["cost_usd"] is None
