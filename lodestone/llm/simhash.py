@@ -149,23 +149,90 @@ def set_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(releasing(run), "doc_id long, text_hash long, digest long, " + ", ".join(f"{n} long" for n in names))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float, broadcast_rows: int = 200_000) -> DataFrame:
-    """Those of pairs (a, b: text hashes) whose sets of shingles have at least this Jaccard similarity."""
+def shingle_sets(ids: DataFrame, docs: DataFrame, shingle: int, broadcast_rows: int = 200_000) -> DataFrame:
+    """(text_hash, s): the distinct shingle hashes of each text named by ids (text_hash, distinct), once a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [shingle_set(t, shingle).view(np.int64) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("text_hash"), pa.array(sets, pa.list_(pa.int64()))], names=["text_hash", "s"])
 
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct())
     rows = docs.where("text IS NOT NULL").select(F.col("text").cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     rows = rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    sets = cut(rows.mapInArrow(releasing(run), "text_hash long, s array<long>"))
+    return cut(rows.mapInArrow(releasing(run), "text_hash long, s array<long>"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b: text hashes) whose sets (text_hash, s) have at least this Jaccard similarity."""
     both = pairs.join(sets.select(F.col("text_hash").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("text_hash").alias("b"), F.col("s").alias("y")), "b")
     both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
     return both.where(F.col("shared") / (F.col("n") - F.col("shared")) >= similarity).select("a", "b")
 
 
+#: Shingles are ordered by the counts of so many buckets of their hashes: a fixed 8 MB on the driver and in each worker, whatever the input.
+ORDER_BUCKETS = 1 << 20
+
+
+def _at_least(share: float, n: np.ndarray | int) -> np.ndarray:
+    """The least whole number from share * n on."""
+    return np.ceil(share * np.asarray(n) - 1e-9).astype(np.int64)
+
+
+def prefix_pairs(sets: DataFrame, similarity: float, cell_rows: int = 2048) -> DataFrame:
+    """Pairs (a, b) of sets (text_hash, root, s) of different `root` that hold all pairs of at least this Jaccard similarity.
+
+    In an order of all shingles, rare ones first, two such sets share one of their first shingles (a fifth at 0.8), and
+    the places of the first shared one bound what can be shared from there on, as sizes do. So texts with a common body
+    and own parts of over the allowed difference never make a pair, however many they are. The order goes by counts of
+    hash buckets; any order is right. A shingle of many sets is dealt in blocks of about `cell_rows` rows, whose pairs are tasks' cells.
+    """
+    spark, mask = sets.sparkSession, ORDER_BUCKETS - 1
+    found = sets.select(F.explode("s").alias("w")).groupBy(F.col("w").bitwiseAND(mask).alias("bucket")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(ORDER_BUCKETS, dtype=np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    order = spark.sparkContext.broadcast(counts)
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = []
+            for node, root, s in zip(b.column("text_hash").to_pylist(), b.column("root").to_pylist(), b.column("s"), strict=True):
+                s = s.values.to_numpy()
+                n, c = len(s), order.value[s & mask]
+                place = np.arange(n - _at_least(similarity, n) + 1 if n else 0)
+                at = np.lexsort((s, c))[: len(place)]
+                place, at = place[c[at] > 1], at[c[at] > 1]
+                blocks = -(-c[at] // cell_rows)
+                own, other = node % blocks, np.concatenate([np.arange(k) for k in blocks.tolist()] or [place])
+                row = np.repeat(np.arange(len(at)), blocks)
+                cell = np.minimum(own[row], other) << 31 | np.maximum(own[row], other)
+                fixed = [np.full(len(row), x, dtype=np.int64) for x in (node, root, n)]
+                out.append(np.stack([s[at][row], cell, own[row], place[row], *fixed]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=list(names))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, cell, block, place, node, root, size in _whole_keys(batches, names, 2):
+            inside = cell >> 31 == cell & (1 << 31) - 1
+            key = np.cumsum(np.concatenate([[0], (w[1:] != w[:-1]) | (cell[1:] != cell[:-1])]))
+            indexed = place <= size - _at_least(2 * similarity / (1 + similarity), size)
+            at, a, b, d = np.arange(len(key)), [], [], 0
+            while len(at):
+                d += 1
+                at = at[at + d < len(key)]
+                at = at[key[at] == key[at + d]]
+                to = at + d
+                may = indexed[at] & (root[at] != root[to]) & (inside[at] | (block[at] != block[to])) & (size[at] >= _at_least(similarity, size[to]))
+                may &= np.minimum(size[at] - place[at], size[to] - place[to]) >= _at_least(similarity / (1 + similarity), size[at] + size[to])
+                a.append(node[at[may]])
+                b.append(node[to[may]])
+            yield _pairs(a, b)
+
+    names = ("w", "cell", "block", "place", "node", "root", "size")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.mapInArrow(releasing(expand), ", ".join(f"{c} long" for c in names))
+    return rows.repartition(n, "w", "cell").sortWithinPartitions("w", "cell", "size", "node").mapInArrow(releasing(compare), "a long, b long").distinct()
+
+
 def exact_and_segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For links within 3 of 64 bits: one of four 16-bit blocks has no error, and one half of the other
     48 bits has at most one. A key is a block, its bits, a half and a codeword of 23 of its bits."""
@@ -222,30 +289,50 @@ def _spanning(node: np.ndarray, f: np.ndarray, within: int) -> tuple[list, list]
     return a, b
 
 
-def _apart(node: np.ndarray, f: np.ndarray, root: np.ndarray, within: int) -> tuple[list, list]:
-    """All links among these between different roots; rows of the commonest root need no comparing with each other."""
+def _apart(node: np.ndarray, f: np.ndarray, root: np.ndarray, within: int) -> np.ndarray:
+    """Those of these that have another of a different root within so many bits; rows of the commonest root need no comparing with each other."""
     found, n = np.unique(root, return_counts=True)
-    a, b = [], []
+    is_open = np.zeros(len(node), dtype=bool)
     for i in np.flatnonzero(root != found[n.argmax()]).tolist() if len(found) > 1 else []:
-        got = node[(root != root[i]) & (_distance(f, i, slice(None)) <= within)]
-        a += [int(node[i])] * len(got)
-        b += got.tolist()
-    return a, b
-
-
-def _and_end(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
+        near = (root != root[i]) & (_distance(f, i, slice(None)) <= within)
+        is_open |= near
+        is_open[i] |= near.any()
+    return node[is_open]
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct pairs (a, b), the smaller first."""
+    x, y = (np.concatenate([np.zeros(0, dtype=np.int64), *z]) for z in (a, b))
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], by: int = 1) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, in parts that end where the first `by` columns change."""
+    held = None
+    for b in batches:
+        new = [b.column(n).to_numpy(zero_copy_only=False) for n in names]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if not len(held[0]):
+            continue
+        same = np.logical_and.reduce([c == c[-1] for c in held[:by]])
+        cut_at = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # the last key may go on
+        if cut_at:
+            yield [x[:cut_at] for x in held]
+            held = [x[cut_at:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
 
 
-def links(classes: DataFrame, within: int, keys: Callable, words: int, forest: int | None = None, more: tuple[str, ...] = (), apart: bool = False) -> DataFrame:
+def links(classes: DataFrame, within: int, keys: Callable, words: int, more: tuple[str, ...] = (), apart: bool = False) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of classes (node, f0, ...) within so many bits.
 
-    `more` names columns with further keys; `forest` is another distance for the forests of groups of over 8. With
-    `apart` only those groups are read, and all their pairs of different `root` (a column) are given.
+    `more` names columns with further keys. With `apart`, rows that share a key with one of another `root` (a column)
+    within so many bits are given instead, each as (a, a): as many rows as are read, not as many as there are pairs.
 
     A key's rows come to one task in order and hold 8 (1 + words) bytes each; groups of over 8 give a spanning
-    forest instead of their pairs. Classes have distinct fingerprints, so copies never meet here.
+    forest instead of their pairs, from the smallest node on, so that keys of one family give mostly the same edges.
+    Classes have distinct fingerprints, so copies never meet here.
     """
     names = [f"f{i}" for i in range(words)]
     labels = ["root"] if apart else []
@@ -263,28 +350,15 @@ def links(classes: DataFrame, within: int, keys: Callable, words: int, forest: i
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(node[row]), *(pa.array(f[row, i].view(np.int64)) for i in range(words)), *(pa.array(b.column(c).to_numpy()[row]) for c in labels)], names=["key", "own", "node", *names, *labels])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in _and_end(batches):
-            if b is not None:
-                new = [b.column(n).to_numpy(zero_copy_only=False) for n in ("key", "own", "node", *names, *labels)]
-                held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-                if not len(held[0]):
-                    continue
-                cut_at = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
-            elif held is None:
-                return
-            else:
-                cut_at = len(held[0])
-            own, held = [x[:cut_at] for x in held], [x[cut_at:] for x in held]
-            yield from _compared(own, within)
+        for cols in _whole_keys(batches, ("key", "own", "node", *names, *labels)):
+            yield from _compared(cols, within)
 
     def _compared(cols: list[np.ndarray], within: int) -> Iterator[pa.RecordBatch]:
         key, own, node = cols[:3]
-        if not len(key):
-            return
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
-        keep = np.repeat((size > (8 if apart else 1)) & (np.add.reduceat(own.astype(np.int64), first) > 0), size)
+        mixed = np.minimum.reduceat(cols[-1], first) < np.maximum.reduceat(cols[-1], first) if apart else True
+        keep = np.repeat((size > 1) & mixed & (np.add.reduceat(own.astype(np.int64), first) > 0), size)
         key, own, node = key[keep], own[keep], node[keep]
         root = cols[-1][keep]
         f = np.stack([c[keep] for c in cols[3 : 3 + words]], axis=1).view(np.uint64)
@@ -294,7 +368,10 @@ def links(classes: DataFrame, within: int, keys: Callable, words: int, forest: i
         size = np.diff(np.append(first, len(key)))
         a, b = [], []
         for s, n in zip(first[size > 8].tolist(), size[size > 8].tolist(), strict=True):
-            x, y = _apart(node[s : s + n], f[s : s + n], root[s : s + n], within) if apart else _spanning(node[s : s + n], f[s : s + n], within if forest is None else forest)
+            if apart:
+                x = y = _apart(node[s : s + n], f[s : s + n], root[s : s + n], within)
+            else:
+                x, y = _spanning(node[s : s + n], f[s : s + n], within)
             a.append(np.array(x, dtype=np.int64))
             b.append(np.array(y, dtype=np.int64))
         at = np.flatnonzero(np.repeat(size <= 8, size))
@@ -304,35 +381,38 @@ def links(classes: DataFrame, within: int, keys: Callable, words: int, forest: i
             if not len(at):
                 break
             hit = at[(own[at] | own[at + d]) & (_distance(f, at, at + d) <= within)]
-            a.append(node[hit])
-            b.append(node[hit + d])
-        if a:
-            x, y = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            if apart:
+                hit = hit[root[hit] != root[hit + d]]
+            a += [node[hit], node[hit + d]] if apart else [node[hit]]
+            b += [node[hit], node[hit + d]] if apart else [node[hit + d]]
+        yield _pairs(a, b)
 
     fields = ", ".join(f"{n} long" for n in [*names, *labels])
     rows = classes.where("node IS NOT NULL").mapInArrow(releasing(expand), f"key long, own boolean, node long, {fields}")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(releasing(compare), "a long, b long")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(releasing(compare), "a long, b long")
 
 
 def _similar_components(classes: DataFrame, docs: DataFrame, shingle: int, words: int, similarity: float, within: int, loose: int, keys: Callable) -> DataFrame:
     """(node, root) over pairs of classes (f0, ..., m0, ..., node, text_hash) that share a key, lie within `loose` bits and have the similarity.
 
-    Large groups of a key first give a forest at `within` bits. What is still apart once its edges were verified is then
-    compared in full, so that a forest's edge that fails takes no link away.
+    Pairs within `within` bits, of large groups a forest of them, are verified first. Texts that share a key with one still
+    apart from them, within `loose` bits, then meet by their rare shingles (prefix_pairs), so that neither a forest's edge that
+    fails nor a wide pair loses a link, and no group gives all its pairs.
     """
     names, more = [f"f{i}" for i in range(words)], tuple(f"m{i}" for i in range(BANDS))
     named = classes.where("node IS NOT NULL")
     ends = lambda pairs: pairs.join(named.select(F.col("text_hash").alias("a"), F.col("node").alias("p")), "a").join(named.select(F.col("text_hash").alias("b"), F.col("node").alias("q")), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
-    first = cut(links(named.select(F.col("text_hash").alias("node"), *names, *more), loose, keys, words, within, more).distinct())
-    edges = cut(ends(similar(first, docs, shingle, similarity)))
+    first = cut(links(named.select(F.col("text_hash").alias("node"), *names, *more), within, keys, words, more).distinct())
+    ids = cut(first.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct())
+    edges = cut(ends(similar(first, shingle_sets(ids, docs, shingle), similarity)))
     roots = components(edges)
-    labelled = named.join(roots, "node", "left").select(F.col("text_hash").alias("node"), *names, *more, F.coalesce("root", "node").alias("root"))
-    rest = links(labelled, loose, keys, words, None, more, True).distinct()
-    rest = cut(rest.join(first, ["a", "b"], "left_anti"))
-    return components(edges.unionByName(ends(similar(rest, docs, shingle, similarity)))) if rest.limit(1).count() else roots
+    labelled = cut(named.join(roots, "node", "left").select(F.col("text_hash").alias("node"), *names, *more, F.coalesce("root", "node").alias("root")))
+    ids = cut(links(labelled, loose, keys, words, more, True).select(F.col("a").alias("text_hash")).distinct())
+    if not ids.limit(1).count():
+        return roots
+    sets = cut(shingle_sets(ids, docs, shingle).join(labelled.select(F.col("node").alias("text_hash"), "root"), "text_hash"))
+    return components(edges.unionByName(ends(similar(cut(prefix_pairs(sets, similarity)), sets, similarity))))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 4, within: int = 42, keys: Callable = segment_and_bits_keys, similarity: float | None = 0.8, loose: int = 64) -> DataFrame:
