@@ -223,8 +223,8 @@ def prefix_pairs(sets: DataFrame, similarity: float, cell_rows: int = 2048) -> D
                 to = at + d
                 may = indexed[at] & (root[at] != root[to]) & (inside[at] | (block[at] != block[to])) & (size[at] >= _at_least(similarity, size[to]))
                 may &= np.minimum(size[at] - place[at], size[to] - place[to]) >= _at_least(similarity / (1 + similarity), size[at] + size[to])
-                a.append(node[at[may]])
-                b.append(node[to[may]])
+                a.append(np.minimum(node[at[may]], node[to[may]]))
+                b.append(np.maximum(node[at[may]], node[to[may]]))
             yield _pairs(a, b)
 
     names = ("w", "cell", "block", "place", "node", "root", "size")
@@ -301,9 +301,8 @@ def _apart(node: np.ndarray, f: np.ndarray, root: np.ndarray, within: int) -> np
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    """Distinct pairs (a, b), the smaller first."""
-    x, y = (np.concatenate([np.zeros(0, dtype=np.int64), *z]) for z in (a, b))
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    """Distinct pairs (a, b)."""
+    pairs = np.unique(np.stack([np.concatenate([np.zeros(0, dtype=np.int64), *z]) for z in (a, b)], axis=1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -331,7 +330,8 @@ def links(classes: DataFrame, within: int, keys: Callable, words: int, more: tup
     within so many bits are given instead, each as (a, a): as many rows as are read, not as many as there are pairs.
 
     A key's rows come to one task in order and hold 8 (1 + words) bytes each; groups of over 8 give a spanning
-    forest instead of their pairs, from the smallest node on, so that keys of one family give mostly the same edges.
+    forest instead of their pairs, from the smallest node on, so that keys of one family give mostly the same edges. In a
+    forest b is found from a, so b has one edge a key there, and otherwise a is the smaller: no b has many edges.
     Classes have distinct fingerprints, so copies never meet here.
     """
     names = [f"f{i}" for i in range(words)]
@@ -393,17 +393,22 @@ def links(classes: DataFrame, within: int, keys: Callable, words: int, more: tup
     return rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(releasing(compare), "a long, b long")
 
 
+#: So many edges of a text are verified before texts meet by their rare shingles, which finds every link that these leave out.
+HOOKS = 32
+
+
 def _similar_components(classes: DataFrame, docs: DataFrame, shingle: int, words: int, similarity: float, within: int, loose: int, keys: Callable) -> DataFrame:
     """(node, root) over pairs of classes (f0, ..., m0, ..., node, text_hash) that share a key, lie within `loose` bits and have the similarity.
 
-    Pairs within `within` bits, of large groups a forest of them, are verified first. Texts that share a key with one still
+    Pairs within `within` bits, of large groups a forest of them, name HOOKS texts for each text, which are verified first. Texts that share a key with one still
     apart from them, within `loose` bits, then meet by their rare shingles (prefix_pairs), so that neither a forest's edge that
     fails nor a wide pair loses a link, and no group gives all its pairs.
     """
     names, more = [f"f{i}" for i in range(words)], tuple(f"m{i}" for i in range(BANDS))
     named = classes.where("node IS NOT NULL")
     ends = lambda pairs: pairs.join(named.select(F.col("text_hash").alias("a"), F.col("node").alias("p")), "a").join(named.select(F.col("text_hash").alias("b"), F.col("node").alias("q")), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
-    first = cut(links(named.select(F.col("text_hash").alias("node"), *names, *more), within, keys, words, more).distinct())
+    first = links(named.select(F.col("text_hash").alias("node"), *names, *more), within, keys, words, more)
+    first = cut(first.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, HOOKS).alias("a")).select(F.explode("a").alias("a"), "b"))
     ids = cut(first.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct())
     edges = cut(ends(similar(first, shingle_sets(ids, docs, shingle), similarity)))
     roots = components(edges)

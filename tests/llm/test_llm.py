@@ -658,6 +658,38 @@ def test_near_copies_are_those_of_the_similarity(spark):
     assert [got[i] for i in range(len(texts))] == roots(len(texts), want) and len(want) > 80
 
 
+@pytest.mark.parametrize("cell_rows", [3, 2048])
+def test_prefix_pairs_hold_all_similar_sets(spark, cell_rows):
+    """Against all pairs: none of the similarity is missed whether shingles are dealt in cells or not; sets of one root and empty ones give none."""
+    rng, sets = random.Random(5), [set(), {7}, {7, 8}]
+    for n in (1, 4, 5, 9, 10, 60):
+        body = [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+        for _ in range(25):
+            kept = [x for x in body if rng.random() > 0.08]
+            sets.append({*kept, *(rng.randrange(-(2**63), 2**63) for _ in range(rng.randrange(0, 1 + n // 6)))})
+    rows = [(k - 40, k if k % 4 else 0, sorted(x)) for k, x in enumerate(sets)]
+    got = {(r["a"], r["b"]) for r in simhash.prefix_pairs(spark.createDataFrame(rows, "text_hash long, root long, s array<long>"), 0.8, cell_rows).collect()}
+    want = {(a[0], b[0]) for k, b in enumerate(rows) for a in rows[:k] if a[1] != b[1] and (x := set(a[2])) | (y := set(b[2])) and len(x & y) >= 0.8 * len(x | y)}
+    apart = {(a[0], b[0]) for k, b in enumerate(rows) for a in rows[:k] if a[1] != b[1]}
+    assert want and want <= got <= apart and len(got) < len(apart) / 4
+
+
+def test_a_family_does_not_verify_its_pairs(spark, monkeypatch):
+    """Texts with a common body, all below the similarity, and a few true copies: what is verified grows with the texts, not with their pairs."""
+    verified, real = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *rest: verified.append(pairs.count()) or real(pairs, *rest))
+    body, sizes = " ".join(f"b{k}" for k in range(120)), (500, 2000)
+    for n in sizes:
+        rows = [(i, f"{body} " + " ".join(f"u{i}x{k}" for k in range(20))) for i in range(n)]
+        rows += [(n + i, rows[i][1] + " z") for i in range(5)]
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(got[i] == i for i in range(n)) and all(got[n + i] == i for i in range(5))
+        verified.append(None)
+    first, second = (sum(part) for part in (verified[: verified.index(None)], verified[verified.index(None) + 1 : -1]))
+    print(first, second)
+    assert second <= 6 * first and second < 60 * sizes[1]
+
+
 # 10
 HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head><body><header>H</header><nav><ul><li>menu</li></ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- c <article>no</article> --><article class="post"><header>by x</header><h1>Title &amp; more</h1><p>First <b>bold</b>er&nbsp;text<br>line</p><div class="ad"><p>Buy</p></div>
