@@ -84,6 +84,13 @@ PAGE = """<html><head><title> A  b </title><link rel="canonical" href="/p"><meta
 <script type="application/ld+json">{broken</script></head><body><h1>Mug <b>big</b></h1><template>hidden</template><p>Text</p></body></html>"""
 
 
+def test_references_cut_short_stay(spark):
+    page = '<title>A&amp;&amp</title><meta name="description" content="x&lt y&lt;"><h1>&eacute;&#233;&#xE9 &notit; &am</h1><script type="application/ld+json">{"@type":"T","n":"a&b &amp c"}</script>'
+    p = spark.createDataFrame([(page,)], "h string").select(html.parse_page("h").alias("p")).select("p.*").first()
+    assert (p.title, p.h1, p.description) == ("A&&amp", "éé&#xE9 &notit; &am", "x&lt y<")
+    assert p.json_ld == ['{"@type": "T", "n": "a&b &amp c"}']
+
+
 def test_page(spark):
     p = spark.createDataFrame([(PAGE,), (None,), ("",)], "h string").select(html.parse_page("h").alias("p")).select("p.*")
     a, b, _ = p.collect()
