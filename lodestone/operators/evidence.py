@@ -16,16 +16,17 @@ def state_of(keys: Column, sources: Column, available: Column | None = None) ->
     return F.when(F.coalesce(keys, F.lit(0)) == 0, none).when(keys > 1, "conflicted").when(sources >= 2, "verified").otherwise("single_source")
 
 
-def resolve_field(observations: DataFrame, entities: DataFrame, keys: list[str], available: str | None = None) -> DataFrame:
+def resolve_field(observations: DataFrame, entities: DataFrame | None, keys: list[str], available: str | None = None) -> DataFrame:
     """One row for each of `entities` (keys and maybe a boolean `available`): state, value, n_observations, n_sources, n_values.
 
     observations: keys, source, ord, vkey (what values compare by), value. The value is the first by ord, and null
-    where values conflict. Everything is a partial aggregate, so a hot entity is no hot task.
+    where values conflict. Without `entities`, those that have an observation. Everything is a partial aggregate over one
+    reading of the observations, so a hot entity is no hot task.
     """
-    seen = observations.where("vkey IS NOT NULL").groupBy(*keys).agg(
-        F.count("*").alias("n_observations"), F.count_distinct("source").alias("n_sources"), F.count_distinct("vkey").alias("n_values"), F.min_by("value", "ord").alias("first_value")
-    )
-    out = entities.join(seen, keys, "left")
+    rows = observations if entities is None else observations.where("vkey IS NOT NULL")
+    voting = lambda c: F.when(F.col("vkey").isNotNull(), F.col(c)) if entities is None else F.col(c)
+    out = rows.groupBy(*keys).agg(F.count("vkey").alias("n_observations"), F.count_distinct(voting("source")).alias("n_sources"), F.count_distinct("vkey").alias("n_values"), F.min_by(voting("value"), voting("ord")).alias("first_value"))
+    out = out if entities is None else entities.join(out, keys, "left")
     state = state_of(F.col("n_values"), F.col("n_sources"), F.col(available) if available else None)
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_observations", "n_sources", "n_values")]
     return out.withColumn("state", state).select(*keys, "state", F.when(F.col("state") != "conflicted", F.col("first_value")).alias("value"), *zero)
@@ -33,18 +34,21 @@ def resolve_field(observations: DataFrame, entities: DataFrame, keys: list[str],
 
 def prefer_field(observations: DataFrame, keys: list[str], catalog: str) -> DataFrame:
     """Fields of two tiers: tier 2 counts only where tier 1 is empty. Where tier 1 conflicts, the catalog source's value
-    wins if a second source has it as well. observations: keys, tier, source, ord, vkey, value."""
-    first = observations.where("vkey IS NOT NULL").groupBy(*keys).agg(F.min("tier").alias("used"))
-    voting = observations.where("vkey IS NOT NULL").join(first, keys).where("tier = used")
-    by_value = voting.groupBy(*keys, "used", "vkey").agg(F.count_distinct("source").alias("s"), F.min(F.struct("ord", "value")).alias("f"), F.max((F.col("source") == catalog).cast("int")).alias("c"))
-    out = by_value.groupBy(*keys, "used").agg(
-        F.count("*").alias("n_values"), F.max("s").alias("best"), F.min("f").alias("f"), F.min(F.when((F.col("c") == 1) & (F.col("s") >= 2), F.col("f"))).alias("win")
+    wins if a second source has it as well. observations: keys, tier, source, ord, vkey, value; they are read once, rows with a null key are left out.
+    """
+    whole = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "tier", "vkey")))
+    one = observations.where(whole).groupBy(*keys, "tier", "vkey", "source").agg(F.min(F.struct("ord", "value")).alias("f"))
+    # each as a value's row and as a source's
+    each = one.select(*keys, "tier", "f", (F.col("source") == catalog).cast("int").alias("c"), F.explode(F.array(F.struct("vkey", F.lit(None).cast("string").alias("source"), F.col("source").isNotNull().cast("long").alias("s")), F.struct(F.lit(None).cast("string").alias("vkey"), "source", F.lit(None).cast("long").alias("s")))).alias("x"))
+    groups = each.groupBy(*keys, "tier", "x.vkey", "x.source").agg(F.sum("x.s").alias("s"), F.min("f").alias("f"), F.max("c").alias("c"))
+    tiers = groups.groupBy(*keys, "tier").agg(
+        F.count("vkey").alias("n_values"), F.count("source").alias("n_sources"), F.min(F.when(F.col("vkey").isNotNull(), F.col("f"))).alias("f"), F.min(F.when(F.col("vkey").isNotNull() & (F.col("c") == 1) & (F.col("s") >= 2), F.col("f"))).alias("win")
     )
-    sources = voting.groupBy(*keys).agg(F.count_distinct("source").alias("n_sources"))
-    out = out.join(sources, keys)
+    used = F.min_by(F.struct("tier", "n_values", "n_sources", "f", "win"), "tier").alias("x")
+    out = tiers.groupBy(*keys).agg(used).select(*keys, "x.*")
     state = F.when((F.col("n_values") > 1) & F.col("win").isNotNull(), "verified").otherwise(state_of(F.col("n_values"), F.col("n_sources")))
     value = F.when(F.col("n_values") == 1, F.col("f.value")).otherwise(F.col("win.value"))
-    return out.select(*keys, F.col("used").alias("tier"), state.alias("state"), value.alias("value"), "n_values", "n_sources")
+    return out.select(*keys, "tier", state.alias("state"), value.alias("value"), "n_values", "n_sources")
 
 
 def match_variants(offers: DataFrame, variants: DataFrame, key: str) -> DataFrame:

@@ -59,7 +59,7 @@ SELECT part, field, CASE WHEN n_values > 1 THEN 'conflicted' WHEN n_sources >= 2
 """)
 def product_field_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = product.observations(_captures(spark, sf_dir), "part", [f for f in product.FIELDS if f not in (*product.PREFERRED, "taxonomy_hints")])
-    return evidence.resolve_field(rows, rows.select("part", "field").distinct(), ["part", "field"])
+    return evidence.resolve_field(rows, None, ["part", "field"])
 
 
 @query(f"""
