@@ -24,22 +24,22 @@ def _filled(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def feed_product(body: Column) -> Column:
-    """A feed body as a struct; null where it is no product (broken JSON, or no id, handle or title).
+def _listed(c: Column, kind: str) -> Column:
+    return F.coalesce(c, F.array().cast(f"array<{kind}>"))
 
-    Money is in minor units. A missing availability is that of the variants, missing prices are their smallest; blank texts are null.
-    """
-    raw = F.from_json(body, FEED)
-    listed = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
 
+def _feed_variants(raw: Column) -> Column:
     def variant(v: Column) -> Column:
         price, compare = values.minor_of_integer(v["price"]), values.minor_of_integer(v["compare_at_price"])
-        return F.struct(v["id"].alias("id"), v["title"].alias("title"), _filled(v["sku"]).alias("sku"), _filled(v["barcode"]).alias("barcode"), price.alias("price_minor"), compare.alias("compare_at_price_minor"), v["available"].alias("available"), listed(v["options"], "string").alias("options"))
+        return F.struct(v["id"].alias("id"), v["title"].alias("title"), _filled(v["sku"]).alias("sku"), _filled(v["barcode"]).alias("barcode"), price.alias("price_minor"), compare.alias("compare_at_price_minor"), v["available"].alias("available"), _listed(v["options"], "string").alias("options"))
+
+    return F.transform(_listed(raw["variants"], _VARIANT), variant)
 
-    variants = F.transform(listed(raw["variants"], _VARIANT), variant)
+
+def _feed(raw: Column, variants: Column) -> Column:
     known = F.filter(F.transform(variants, lambda v: v["available"]), lambda a: a.isNotNull())
     least = lambda name: F.array_min(F.transform(variants, lambda v: v[name]))
-    filled = lambda c: F.filter(F.transform(listed(c, "string"), _filled), lambda x: x.isNotNull())
+    filled = lambda c: F.filter(F.transform(_listed(c, "string"), _filled), lambda x: x.isNotNull())
     out = F.struct(
         raw["id"].alias("id"), raw["handle"].alias("handle"), raw["title"].alias("title"), _filled(raw["vendor"]).alias("vendor"), _filled(raw["type"]).alias("type"), _filled(html.inline_text(raw["description"])).alias("description"),
         F.coalesce(raw["available"], F.when(F.size(known) > 0, F.exists(known, lambda a: a))).alias("available"), F.coalesce(values.minor_of_integer(raw["price"]), least("price_minor")).alias("price_minor"),
@@ -49,6 +49,17 @@ def feed_product(body: Column) -> Column:
     return F.when(_filled(raw["id"]).isNotNull() & _filled(raw["handle"]).isNotNull() & _filled(raw["title"]).isNotNull(), out)
 
 
+def with_feed(rows: DataFrame, body: str = "feed_body") -> DataFrame:
+    """rows with `feed`, the feed body as a struct; null where it is no product (broken JSON, or no id, handle or title).
+
+    Money is in minor units. A missing availability is that of the variants, missing prices are their smallest; blank texts are null.
+    The body is parsed once a row: used in place, each member would be a parse of its own.
+    """
+    rows = once(rows, _raw=F.from_json(body, FEED))
+    rows = once(rows, _variants=_feed_variants(F.col("_raw")))
+    return once(rows, feed=_feed(F.col("_raw"), F.col("_variants"))).drop("_raw", "_variants")
+
+
 #: What is read of a provider's answer; texts are no numbers here.
 _USAGE = (
     "usage struct<prompt_tokens:bigint,input_tokens:bigint,completion_tokens:bigint,output_tokens:bigint,total_tokens:bigint,cost:double,"
@@ -80,7 +91,7 @@ def captured_usage(captures: DataFrame, key: str) -> DataFrame:
 
 def read_captures(captures: DataFrame) -> DataFrame:
     """captures (url, feed_body, page_html and other columns) with `feed` and `page`, each read once a row."""
-    rows = once(captures, feed=feed_product(F.col("feed_body")))
+    rows = with_feed(captures)
     return once(rows, page=parse_capture(F.col("page_html"), F.col("url"), F.concat(F.array("feed.featured_image"), F.coalesce("feed.images", F.array().cast("array<string>")))))
 
 

@@ -67,9 +67,12 @@ def byte_range(spec: Column, size: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt to all cores where it has fewer partitions: for small tables whose rows are much work each. Larger ones stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df, dealt evenly to all cores: for tables of short rows that are much work each.
+
+    A file's splits don't say how its rows lie: a row group is read by one task, however many splits it has.
+    """
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores if parts < cores else max(parts, 3 * cores))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,9 +6,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import Row, functions as F
 
-from lodestone.functions import html, text, urls, values
+from lodestone.functions import captures, html, text, urls, values
 from lodestone.operators import board, evidence, folds, ledger, readiness, report, robots
+from lodestone.plans import products
 from lodestone.sources import tables
+from lodestone.sources.tables import spread
 from lodestone.streaming import streams
 
 from .conftest import SF
@@ -304,3 +306,36 @@ def test_short_needles_are_contained(spark):
     got = sorted((r["item"], r["doc"]) for r in evidence.contained_texts(a, b, "item", "doc").collect())
     assert got == sorted((i, j) for i, x in enumerate(needles) for j, y in enumerate(texts) if y is not None and flat(x) in flat(y))
     assert evidence.contained_texts(a.where("1 = 0"), b, "item", "doc").count() == 0
+
+
+def test_observations_are_read_once(spark):
+    for query in (products.product_preferred_fields, products.product_field_states, products.product_taxonomy):
+        plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parquet") == 1 and plan.count("ArrowEvalPython") == 1, query.__name__
+        # the feed's body is one parse, not one a member
+        assert plan.count("from_json") == 1, query.__name__
+
+
+def test_states_without_entities(spark):
+    rows = [(1, "a", 2, "x", "x"), (1, "a", 1, "x", "X"), (1, "b", 3, None, "y"), (2, "a", 1, None, "z"), (None, "a", 1, "q", "q"), (None, "b", 2, "r", "r")]
+    got = evidence.resolve_field(spark.createDataFrame(rows, "e long, source string, ord int, vkey string, value string"), None, ["e"]).collect()
+    assert {r["e"]: r[1:] for r in got} == {1: ("single_source", "X", 2, 1, 1), 2: ("missing", None, 0, 0, 0), None: ("conflicted", None, 2, 2, 2)}
+
+
+def test_preferred_counts_sources_of_the_used_tier(spark):
+    rows = [(1, 1, "a", 0, "x", "x"), (1, 1, "b", 1, "y", "y"), (1, 1, "b", 2, "x", "X"), (1, 1, None, 3, "x", "x"), (1, 2, "c", 4, "z", "z"), (2, 2, None, 0, "x", "x"), (None, 1, "a", 0, "x", "x"), (3, None, "a", 0, "x", "x")]
+    got = evidence.prefer_field(spark.createDataFrame(rows, "e long, tier int, source string, ord int, vkey string, value string"), ["e"], "a").collect()
+    assert {r["e"]: r[1:] for r in got} == {1: (1, "verified", "x", 2, 2), 2: (2, "single_source", "x", 1, 0)}
+
+
+def test_short_rows_are_dealt_evenly(spark):
+    one_group = spark.range(0, 4000, 1, 4).coalesce(1).unionByName(spark.range(0, 4, 1, 3))
+    assert one_group.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    sizes = [r[0] for r in spread(one_group).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 4004 and max(sizes) < 2 * 4004 / spark.sparkContext.defaultParallelism / 3
+
+
+def test_captures_in_slices(spark):
+    rows = spark.range(0, captures.SLICE * 2 + 3, 1, 1).select("id", F.concat(F.lit("<title>"), "id", F.lit("</title>")).alias("h"))
+    got = rows.select("id", captures.parse_capture(F.col("h"), F.lit("https://a.b/"), F.array().cast("array<string>"))["title"].alias("t")).collect()
+    assert all(r["t"] == str(r["id"]) for r in got) and len(got) == captures.SLICE * 2 + 3
