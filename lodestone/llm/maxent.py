@@ -35,6 +35,8 @@ LONG = 64
 HEAD = 1 << 20
 #: Bytes of texts that become tokens at once, and tokens whose softmaxes are computed at once.
 PIECE, CHUNK = 1 << 20, 4096
+#: Tokens whose weights are gathered at once, few enough to stay in a core's cache.
+STEP = 512
 #: Training tokens of a task.
 TASK = 1 << 22
 
@@ -242,6 +244,29 @@ def events(ids: list[bytes]) -> Iterator[Events]:
         yield Events(row, place, flat[at].astype(np.int64), before)
 
 
+def _add_rows(logits: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> None:
+    """Adds to each row of logits the weights' rows that it names, one feature after the other."""
+    held = np.empty((min(STEP, len(logits)), logits.shape[1]), weights.dtype)
+    for lo in range(0, len(logits), STEP):
+        part = logits[lo : lo + STEP]
+        got = held[: len(part)]
+        for r in rows[:, lo : lo + STEP]:
+            np.take(weights, r, axis=0, out=got, mode="clip")  # rows are in range; `raise` would copy once more
+            part += got
+
+
+def _drawn(shares: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The column of each row's shares in which the running sum passes its u (0 to 1) of their sum; the last where rounding leaves none."""
+    out = np.empty(len(shares), np.int64)
+    for lo in range(0, len(shares), 4 * STEP):
+        # a column is a stretch of memory, so a sum goes over many rows at once, in the order of the columns
+        upto = np.ascontiguousarray(shares[lo : lo + 4 * STEP].T)
+        for j in range(1, len(upto)):
+            upto[j] += upto[j - 1]
+        out[lo : lo + 4 * STEP] = (upto[:-1] <= u[lo : lo + 4 * STEP] * upto[-1]).sum(0, dtype=np.uint16)
+    return out
+
+
 @dataclass
 class Model:
     """Weights of the features of both factors, by hashed feature, and the logs of what the counts give."""
@@ -259,15 +284,13 @@ class Model:
         head = e.symbol < s.words
         outcome = np.where(head, e.symbol // s.members, s.classes + e.symbol - s.words)
         logits = np.broadcast_to(self.class_log, (len(outcome), len(self.class_log))).copy()
-        for r in rows:
-            logits += self.by_class[r]
+        _add_rows(logits, self.by_class, rows)
         yield "class", np.arange(len(outcome)), rows, logits, outcome
         at = np.flatnonzero(head)
         own = outcome[at]
         rows = np.stack([(_mix(k[at] | own << np.int64(44), 2) & np.uint64(s.member_rows - 1)).astype(np.int64) for k in keys[:3]])
         logits = self.member_log[own]
-        for r in rows:
-            logits += self.by_member[r]
+        _add_rows(logits, self.by_member, rows)
         yield "member", at, rows, logits, e.symbol[at] % s.members
 
     def log10(self, e: Events) -> np.ndarray:
@@ -275,16 +298,18 @@ class Model:
         out = np.zeros(len(e.symbol))
         for _, at, _, logits, outcome in self.factors(e):
             top = logits.max(1, keepdims=True, initial=-1e30)
-            out[at] += logits[np.arange(len(at)), outcome] - top[:, 0] - np.log(np.exp(logits - top).sum(1))
+            own = logits[np.arange(len(at)), outcome] - top[:, 0]
+            logits -= top
+            out[at] += own - np.log(np.exp(logits, out=logits).sum(1))
         return out / math.log(10)
 
     def drawn(self, e: Events, seed: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
         """(factor, features' rows, outcome, outcome that the model draws); seed: a number for each row."""
         for salt, (name, at, rows, logits, outcome) in enumerate(self.factors(e)):
-            share = np.exp(logits - logits.max(1, keepdims=True, initial=-1e30)).cumsum(1)
+            logits -= logits.max(1, keepdims=True, initial=-1e30)
+            np.exp(logits, out=logits)
             u = (_mix(seed[e.row[at]] ^ e.place[at], 3 + salt) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
-            drawn = (share <= (u * share[:, -1])[:, None]).sum(1) if len(at) else outcome
-            yield name, rows, outcome, np.minimum(drawn, logits.shape[1] - 1)
+            yield name, rows, outcome, _drawn(logits, u)
 
 
 def start(v: Vocabulary) -> Model:

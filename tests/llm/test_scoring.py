@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -237,3 +238,26 @@ def test_language_sample_without_ids(spark):
     got = langid.predict(df, model).groupBy("lang", "lang_pred").count().collect()
     assert {(r["lang"], r["lang_pred"]) for r in got} == {("en", "en"), ("xx", "xx")}
     assert len(langid.fit(df.where("text LIKE 'the same%'"), per_lang=10, centroids=2)) == 1
+
+
+def test_weights_added_and_draws_in_steps_are_the_plain_ones():
+    rng = np.random.default_rng(5)
+    n = maxent.STEP * 4 + 7
+    weights, rows = rng.normal(size=(50, 11)).astype(np.float32), rng.integers(0, 50, (3, n))
+    logits = rng.normal(size=(n, 11)).astype(np.float32)
+    plain = logits.copy()
+    for r in rows:
+        plain += weights[r]
+    maxent._add_rows(logits, weights, rows)
+    assert (logits == plain).all()
+    shares, u = np.exp(logits), rng.random(n).astype(np.float32)
+    u[:3] = 0, 1, np.nextafter(np.float32(1), np.float32(0))
+    sums = shares.cumsum(1)
+    assert (maxent._drawn(shares, u) == np.minimum((sums <= (u * sums[:, -1])[:, None]).sum(1), 10)).all()
+    assert len(maxent._drawn(shares[:0], u[:0])) == 0
+    # what is held beside the rows is bounded by the step
+    tracemalloc.start()
+    maxent._add_rows(logits, weights, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * maxent.STEP * 11 * 4
