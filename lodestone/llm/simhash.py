@@ -327,7 +327,8 @@ def links(classes: DataFrame, within: int, keys: Callable, words: int, more: tup
     """Edges (a, b) whose components are those of all pairs of classes (node, f0, ...) within so many bits.
 
     `more` names columns with further keys. With `apart`, rows that share a key with one of another `root` (a column)
-    within so many bits are given instead, each as (a, a): as many rows as are read, not as many as there are pairs.
+    within so many bits are given instead, each as (a, a): as many rows as are read, not as many as there are pairs. Keys
+    that differ in their codeword alone then go to one task, next to each other, which gives a row once for most of them.
 
     A key's rows come to one task in order and hold 8 (1 + words) bytes each; groups of over 8 give a spanning
     forest instead of their pairs, from the smallest node on, so that keys of one family give mostly the same edges. In a
@@ -390,7 +391,7 @@ def links(classes: DataFrame, within: int, keys: Callable, words: int, more: tup
     fields = ", ".join(f"{n} long" for n in [*names, *labels])
     rows = classes.where("node IS NOT NULL").mapInArrow(releasing(expand), f"key long, own boolean, node long, {fields}")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(releasing(compare), "a long, b long")
+    return rows.repartition(n, F.shiftright("key", 12) if apart else F.col("key")).sortWithinPartitions("key", "node").mapInArrow(releasing(compare), "a long, b long")
 
 
 #: So many edges of a text are verified before texts meet by their rare shingles, which finds every link that these leave out.

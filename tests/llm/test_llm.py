@@ -690,6 +690,22 @@ def test_a_family_does_not_verify_its_pairs(spark, monkeypatch):
     assert second <= 6 * first and second < 60 * sizes[1]
 
 
+def test_texts_apart_are_named_once_for_most_keys(spark):
+    """A family under many keys of many tasks: each text is given for its segments and MinHash keys, not for each codeword; the texts are those of all pairs."""
+    rng, body = random.Random(19), random.Random(20).getrandbits(256)
+    fps = [body ^ sum(1 << x for x in rng.sample(range(256), 6)) for _ in range(300)] + [rng.getrandbits(256) for _ in range(50)]
+    words = [[(f >> 64 * i) % 2**64 for i in range(4)] for f in fps]
+    rows = [(k, *(w - 2**64 if w >> 63 else w for w in ws), -1 - rng.randrange(2**62), k) for k, ws in enumerate(words)]
+    classes = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long, m0 long, root long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = [r["a"] for r in simhash.links(classes, 64, simhash.segment_and_bits_keys, 4, ("m0",), True).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(got) == set(range(300)) and len(got) <= 300 * 23
+
+
 # 10
 HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head><body><header>H</header><nav><ul><li>menu</li></ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- c <article>no</article> --><article class="post"><header>by x</header><h1>Title &amp; more</h1><p>First <b>bold</b>er&nbsp;text<br>line</p><div class="ad"><p>Buy</p></div>
