@@ -34,9 +34,15 @@ LONG = 64
 #: Tokens that make up at least this share of all are broadcast: there can't be more of them than its inverse.
 HEAD = 1 << 20
 #: Bytes of texts that become tokens at once, and tokens whose softmaxes are computed at once.
-PIECE, CHUNK = 1 << 20, 4096
+PIECE, CHUNK = 1 << 20, 8192
 #: Tokens whose weights are gathered at once, few enough to stay in a core's cache.
 STEP = 512
+#: Keys with counts that a task gathers before it adds those of equal keys and hands them on.
+GATHERED = 1 << 18
+#: Features that a task holds, of each kind, before it counts them.
+HELD = 1 << 22
+#: Logits within so much of zero need no shift: neither their exponentials nor sums of these leave float32.
+SAFE = 80.0
 #: Training tokens of a task.
 TASK = 1 << 22
 
@@ -116,11 +122,24 @@ def vocabulary(docs: DataFrame, shape: Shape = Shape()) -> Vocabulary:
     """Counts the tokens of all texts of docs: words and an end each, the end of null and empty texts too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, ends = [], 0, 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            of_ends = pa.table({"key": pa.array([END]), "n": pa.array([ends])})
+            for b in pa.concat_tables([*held, of_ends]).group_by("key", use_threads=False).aggregate([("n", "sum")]).to_batches():
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n_sum")], names=["key", "n"])
+
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([b.num_rows])], names=["key", "n"])
+            ends += b.num_rows
             for _, _, words in _tokens(b.column(0)):
                 n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-                yield pa.RecordBatch.from_arrays([_keys(words.dictionary).cast(pa.string()), pa.array(n)], names=["key", "n"])
+                held.append(pa.table({"key": _keys(words.dictionary).cast(pa.string()), "n": pa.array(n)}))
+                rows += len(n)
+                if rows >= GATHERED:
+                    yield from summed()
+                    held, rows, ends = [], 0, 0
+        if ends or held:
+            yield from summed()
 
     each = in_batches(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(releasing(run), "key string, n long")
     suffix = F.crc32(F.substring("key", -2, 2).cast("binary")) % shape.rare
@@ -277,6 +296,15 @@ class Model:
     class_log: np.ndarray
     member_log: np.ndarray
 
+    def shifts(self) -> dict[str, bool]:
+        """For each factor, whether the logits of some context may leave SAFE, judged by the outermost weights; their top is taken off then."""
+        out = {}
+        for name, weights, base, n in (("class", self.by_class, self.class_log[None], 4), ("member", self.by_member, self.member_log, 3)):
+            top = base.max(1)
+            top = top[top > -1e8]  # a class without members is never asked
+            out[name] = not len(top) or top.max() + n * max(0.0, weights.max()) > SAFE or top.min() + n * min(0.0, weights.min()) < -SAFE
+        return out
+
     def factors(self, e: Events) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(factor, which tokens it holds for, features' rows, logits, outcome) of the two softmaxes."""
         s, keys = self.shape, e.context()
@@ -293,20 +321,23 @@ class Model:
         _add_rows(logits, self.by_member, rows)
         yield "member", at, rows, logits, e.symbol[at] % s.members
 
-    def log10(self, e: Events) -> np.ndarray:
+    def log10(self, e: Events, shifts: dict[str, bool] | None = None) -> np.ndarray:
         """log10 of each token's class, and of its share of the class if the model has it as a member."""
         out = np.zeros(len(e.symbol))
-        for _, at, _, logits, outcome in self.factors(e):
-            top = logits.max(1, keepdims=True, initial=-1e30)
-            own = logits[np.arange(len(at)), outcome] - top[:, 0]
-            logits -= top
+        shifts = self.shifts() if shifts is None else shifts
+        for name, at, _, logits, outcome in self.factors(e):
+            if shifts[name]:
+                logits -= logits.max(1, keepdims=True, initial=-1e30)
+            own = logits[np.arange(len(at)), outcome]
             out[at] += own - np.log(np.exp(logits, out=logits).sum(1))
         return out / math.log(10)
 
-    def drawn(self, e: Events, seed: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    def drawn(self, e: Events, seed: np.ndarray, shifts: dict[str, bool] | None = None) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
         """(factor, features' rows, outcome, outcome that the model draws); seed: a number for each row."""
+        shifts = self.shifts() if shifts is None else shifts
         for salt, (name, at, rows, logits, outcome) in enumerate(self.factors(e)):
-            logits -= logits.max(1, keepdims=True, initial=-1e30)
+            if shifts[name]:
+                logits -= logits.max(1, keepdims=True, initial=-1e30)
             np.exp(logits, out=logits)
             u = (_mix(seed[e.row[at]] ^ e.place[at], 3 + salt) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
             yield name, rows, outcome, _drawn(logits, u)
@@ -335,6 +366,7 @@ def fit(coded: DataFrame, v: Vocabulary, rounds: int = 5, smooth: float = 3.0, p
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             model = sent.value
+            shifts = model.shifts()
             got = {name: [np.zeros(n, np.int32), np.zeros(n, np.int32)] for name, n in zip(("class", "member"), shares, strict=True)}
             held = {(name, i): [] for name in got for i in (0, 1)}
 
@@ -348,11 +380,11 @@ def fit(coded: DataFrame, v: Vocabulary, rounds: int = 5, smooth: float = 3.0, p
                 ids = b.column(0).to_pylist()
                 seed = np.array([zlib.crc32(x) << 30 for x in ids], np.int64)
                 for e in events(ids):
-                    for name, rows, outcome, drawn in model.drawn(e, seed):
+                    for name, rows, outcome, drawn in model.drawn(e, seed, shifts):
                         wide = s.members if name == "member" else s.classes + s.rare
                         for i, y in enumerate((outcome, drawn)):
-                            held[name, i].append((rows * wide + y).ravel())
-                    settle(1_000_000)
+                            held[name, i].append((rows * wide + y).ravel().astype(np.int32))
+                    settle(HELD)
             settle(0)
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([*got["class"], *got["member"]]).tobytes()])], names=["vector"])
 
@@ -372,10 +404,11 @@ def score(coded: DataFrame, v: Vocabulary, m: Model, keep: list[str]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, mass = sent.value
+        shifts = model.shifts()
         for b in slices(batches):
             ids, total = b.column(b.schema.names.index("ids")).to_pylist(), np.zeros(b.num_rows)
             for e in events(ids):
-                p, at = model.log10(e), np.flatnonzero(e.symbol >= model.shape.words)
+                p, at = model.log10(e, shifts), np.flatnonzero(e.symbol >= model.shape.words)
                 p[at] -= mass[e.symbol[at] - model.shape.words]
                 total += np.bincount(e.row, weights=p, minlength=b.num_rows)
             rest = [x for x in b.schema.names if x != "ids"]

@@ -261,3 +261,32 @@ def test_weights_added_and_draws_in_steps_are_the_plain_ones():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 * maxent.STEP * 11 * 4
+
+
+@pytest.mark.parametrize("gathered", [1, 700, 1 << 18])
+def test_counts_of_a_task_meet_before_they_leave_it(spark, monkeypatch, gathered):
+    """Counts of many batches, added in the task after any number of keys, are those of all tokens."""
+    monkeypatch.setattr(maxent, "GATHERED", gathered)
+    rows = [(f"the same words here w{i}",) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "text string").coalesce(1)
+    v = maxent.vocabulary(docs)
+    got = {r["key"]: r["c"] for r in v.counts.collect()}
+    assert got == {maxent.END: 3000, **dict.fromkeys(("the", "same", "words", "here"), 3000), **{f"w{i}": 1 for i in range(3000)}}
+
+
+def test_logits_are_shifted_only_where_they_may_leave_float32():
+    """Within bounds the draws and logs are those of shifted logits; weights beyond them bring the shift back, so nothing overflows."""
+    rng, s = np.random.default_rng(7), maxent.Shape(4, 4, 2, 64, 64)
+    made = lambda scale: maxent.Model(s, *(rng.normal(0, scale, (64, n)).astype(np.float32) for n in (6, 4)), rng.normal(-2, 1, 6).astype(np.float32), rng.normal(-2, 1, (4, 4)).astype(np.float32))
+    ids = [rng.integers(0, 18, 300).astype(np.uint16).tobytes() for _ in range(4)]
+    for scale, shift in ((1.0, False), (40.0, True)):
+        model, shifted = made(scale), {"class": True, "member": True}
+        assert model.shifts() == {"class": shift, "member": shift}
+        with np.errstate(over="raise", invalid="raise", divide="raise"):
+            for e in maxent.events(ids):
+                assert np.allclose(model.log10(e), model.log10(e, shifted), atol=1e-4) and np.isfinite(model.log10(e)).all()
+                for a, b in zip(model.drawn(e, np.arange(4)), model.drawn(e, np.arange(4), shifted), strict=True):
+                    assert a[0] == b[0] and (a[3] != b[3]).mean() < 0.01
+    empty = made(1.0)
+    empty.member_log[2] = -1e9  # a class without members
+    assert empty.shifts() == {"class": False, "member": False}
