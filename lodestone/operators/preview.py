@@ -275,12 +275,14 @@ def with_checks(rows: DataFrame) -> DataFrame:
     return once(rows, checks=F.concat(F.transform("checks", told), more)).drop("_left", "_ids")
 
 
-def previews(records: DataFrame, access: DataFrame, key: str, rules: DataFrame | None = None) -> DataFrame:
+def previews(records: DataFrame, access: DataFrame | None, key: str, rules: DataFrame | None = None) -> DataFrame:
     """One nested row a capture: key, status, product_url, rule_catalog_version, fields, presence, crawler_access, findings, checks, counts, variants, price_context.
 
     records: record.records() rows with key, url, robots_status, and maybe x_robots (the header), robots_error, feed_error. The status is that of the crawler rules' read.
+    access: None where the captures went through technical() before they were settled, so that the join takes narrow rows.
     """
-    rows = with_checks(with_findings(with_presence(technical(records, access, key)), rules))
+    rows = records if access is None else technical(records, access, key)
+    rows = with_checks(with_findings(with_presence(rows), rules))
     count = lambda items, cond: F.size(F.filter(items, cond)).cast("long")
     variants = F.coalesce("feed.variants", F.array().cast(rows.schema["feed"].dataType["variants"].dataType))
     counts = F.struct(*[count("findings", (lambda s: lambda f: f["severity"] == s)(s)).alias(s) for s in readiness.SEVERITIES])

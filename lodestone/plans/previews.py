@@ -101,7 +101,7 @@ def _preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parsed = robots.rules(spark.createDataFrame(list(_SITES), "site string, body string"), "site")
     access = robots.access(captures.select(F.col("part").alias("page"), "site", urls.part(F.col("url"), 5).alias("path")), parsed, "site")
-    return preview.previews(record.records(captures), access, "part")
+    return preview.previews(record.records(preview.technical(captures, access, "part")), None, "part")
 
 
 # shut: nothing but the feed can be read; one: the site closes these products to all

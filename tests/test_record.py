@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import captures
 from lodestone.operators import preview, product, record
+from lodestone.plans import previews
+from .conftest import SF
 
 URL = "https://shop.example/en/products/pendant"
 FEED = {"id": 7, "handle": "pendant", "title": "Pendant", "vendor": " ", "type": "Necklaces", "images": ["//cdn.shopify.com/s/files/1/02/a.jpg?v=1&width=9"], "variants": [{"id": 1, "sku": "A", "barcode": "1", "price": 1999, "available": True}, {"id": 2, "sku": "B", "barcode": "2", "price": "2199", "available": False}]}
@@ -84,3 +86,13 @@ def test_usage_types(spark):
     got = one([(1, 200, b) for b in bodies] + [(1, 500, "{")])
     assert got == {"k": 1, "model_calls": 4, "input_tokens": 8, "output_tokens": 2, "reasoning_tokens": 4, "total_tokens": 11, "web_search_requests": 0, "cost_usd": 0.875}
     assert one([(1, 200, bodies[0]), (1, 200, '{"usage":{"cost":"0.5"}}')])["cost_usd"] is None
+
+
+def test_crawler_rules_meet_captures_before_they_are_settled(spark, monkeypatch):
+    """The join by page takes narrow rows: a settled capture is many times wider than its page's crawler access."""
+    given = []
+    monkeypatch.setattr(previews.record, "records", lambda captures: given.append(captures) or captures)
+    monkeypatch.setattr(previews.preview, "previews", lambda rows, access, key: rows)
+    rows = previews._preview_rows(spark, SF)
+    assert {"robots_ok", "robots_reason", "crawler_access"} <= set(given[0].columns) and rows is given[0]
+    assert rows.count() == spark.read.parquet(f"{SF}/part.parquet").count()
