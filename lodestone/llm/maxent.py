@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import in_batches, releasing, shared_dir, slices, table
-from .partials import tree_sum
+from .partials import pack, tree_sum
 
 #: The key of the end of a text: no word holds white space.
 END = "\n"
@@ -40,7 +40,7 @@ STEP = 512
 #: Keys with counts that a task gathers before it adds those of equal keys and hands them on.
 GATHERED = 1 << 18
 #: Features that a task holds, of each kind, before it counts them.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Logits within so much of zero need no shift: neither their exponentials nor sums of these leave float32.
 SAFE = 80.0
 #: Training tokens of a task.
@@ -367,14 +367,17 @@ def fit(coded: DataFrame, v: Vocabulary, rounds: int = 5, smooth: float = 3.0, p
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             model = sent.value
             shifts = model.shifts()
-            got = {name: [np.zeros(n, np.int32), np.zeros(n, np.int32)] for name, n in zip(("class", "member"), shares, strict=True)}
-            held = {(name, i): [] for name in got for i in (0, 1)}
+            vector = np.zeros(2 * sum(shares), np.int32)
+            cuts = np.cumsum([0, shares[0], shares[0], shares[1], shares[1]])
+            got = {(name, i): vector[cuts[2 * k + i] : cuts[2 * k + i + 1]] for k, name in enumerate(("class", "member")) for i in (0, 1)}
+            held = {of: [] for of in got}
 
             def settle(least: int) -> None:
-                for (name, i), x in held.items():
+                for of, x in held.items():
                     if sum(map(len, x)) > least:
-                        got[name][i] += np.bincount(np.concatenate(x), minlength=len(got[name][i])).astype(np.int32)
+                        part = np.concatenate(x)
                         x.clear()
+                        np.add(got[of], np.bincount(part, minlength=len(got[of])), out=got[of], casting="unsafe")
 
             for b in batches:
                 ids = b.column(0).to_pylist()
@@ -386,10 +389,10 @@ def fit(coded: DataFrame, v: Vocabulary, rounds: int = 5, smooth: float = 3.0, p
                             held[name, i].append((rows * wide + y).ravel().astype(np.int32))
                     settle(HELD)
             settle(0)
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([*got["class"], *got["member"]]).tobytes()])], names=["vector"])
+            yield pa.RecordBatch.from_arrays([pa.array([pack(vector)], pa.list_(pa.binary()))], names=["vector"])
 
         part = coded.where(F.pmod(F.xxhash64("ids"), F.lit(rounds)) == k).select("ids").coalesce(tasks)
-        found = tree_sum(in_batches(part).mapInArrow(releasing(run), "vector binary"), 2 * sum(shares), np.int32)
+        found = tree_sum(in_batches(part).mapInArrow(releasing(run), "vector array<binary>"), 2 * sum(shares), np.int32)
         for weights, seen, drawn in zip((m.by_class, m.by_member), *(np.split(found, np.cumsum([shares[0], shares[0], shares[1]]))[k::2] for k in (0, 1)), strict=True):
             step = (seen + np.float32(smooth)).astype(np.float32)
             step /= (drawn + np.float32(smooth)).astype(np.float32)

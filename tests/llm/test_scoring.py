@@ -290,3 +290,30 @@ def test_logits_are_shifted_only_where_they_may_leave_float32():
     empty = made(1.0)
     empty.member_log[2] = -1e9  # a class without members
     assert empty.shifts() == {"class": False, "member": False}
+
+
+def test_gradients_leave_a_task_packed(spark, monkeypatch):
+    """What a task of a round hands to the JVM is compressed blocks, far smaller than its vector; merging holds no whole vector."""
+    sizes, whole = [], maxent.tree_sum
+    monkeypatch.setattr(maxent, "tree_sum", lambda vectors, *a: sizes.extend(sum(map(len, r[0])) if isinstance(r[0], list) else len(r[0]) for r in vectors.collect()) or whole(vectors, *a))
+    docs = spark.createDataFrame([(LONG,), ("a b c",)], "text string").repartition(2)
+    v = maxent.vocabulary(docs)
+    maxent.fit(maxent.encode(docs, v), v, 1)
+    assert sizes and max(sizes) < 1 << 20  # a vector has 27 MB
+    x = np.zeros(1 << 22, np.int32)
+    x[::1000] = 5
+    a, b = partials.pack(x), partials.pack(x[::-1])
+    tracemalloc.start()
+    both = partials.added(a, b, np.int32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes // 4 and (partials.unpack(both, len(x), np.int32) == x + x[::-1]).all()
+
+
+def test_tree_sum_packed(spark):
+    """Packed vectors of any length and number a partition, none too."""
+    n = partials.BLOCK + 3
+    vector = lambda i: np.arange(n, dtype=np.int64) * i
+    df = spark.range(0, 30, 1, 7).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([partials.pack(vector(i)) for i in b.column(0).to_pylist()], pa.list_(pa.binary()))], names=["vector"]) for b in it), "vector array<binary>")
+    assert (partials.tree_sum(df, n) == vector(sum(range(30)))).all()
+    assert not partials.tree_sum(df.where("vector IS NULL"), n).any()
