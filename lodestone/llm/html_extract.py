@@ -1,8 +1,9 @@
 """Main text of web pages by page structure and host-wide suffix arrays.
 
 Structure splits a page into the blocks of its article (or, where it names none, all that is not marked as something else) and the
-rest, its frame. The token streams of a host's pages, frames everywhere and the whole of pages without an article, are
-laid end to end; their suffixes are sorted, and runs that several distinct pages share are boilerplate. What it covers goes, unique
+rest, its frame. Class and id names that only hold a word for such things put a block in doubt. The token streams of a host's pages,
+frames and doubtful blocks everywhere and the whole of pages without an article, are laid end to end; their suffix array and its common
+prefixes give the runs that several distinct pages share: boilerplate. Doubtful blocks and pages without an article lose it; unique
 runs stay. A host of any size is dealt to as many arrays as its tokens need.
 """
 
@@ -28,6 +29,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words in class and id that name what is no article.
 CHROME = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus replies respond related recommended share sharing social widget pagination pager toolbar search".split())
+#: Words that say nothing of what an element holds. A name of these and of CHROME alone is as sure as a single word.
+PLAIN = frozenset("area article bar block blog body bottom box button buttons btn col column component container content element entry field foot form global group head heading icon icons inner item items js label left link links list lists main module new outer page panel post primary reader readers right row secondary section site slot story text thread title top unit user users view wrap wrapper zone".split())
+#: Elements that are text of their own, which no name alone takes out of an article.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _STOP = re.compile(r">|=\s*+([\"'])")
@@ -47,15 +52,21 @@ def _is_hidden(attributes: str) -> bool:
     return False
 
 
-def _is_chrome(attributes: str) -> bool:
-    """Whether class or id names what is no article; that says nothing of an element that is or holds an article."""
+def _chrome(tag: str, attributes: str) -> int:
+    """Whether class or id names what is no article: 2 surely, 1 perhaps, as the name has other words or its element is text; 0 if not.
+
+    That says nothing of an element that is or holds an article.
+    """
     if not _NEEDED.search(attributes):
-        return False
-    for name, *values in _NAMED.findall(attributes):
-        name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and any(w.lower() in CHROME for w in _WORDS.findall(_CAMEL.sub(" ", value))):
-            return True
-    return False
+        return 0
+    found = 0
+    for attribute, *values in _NAMED.findall(attributes):
+        for name in "".join(values).split() if attribute.lower() in ("class", "id") else ():
+            words = [w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", name))]
+            if any(w in CHROME for w in words):
+                sure = all(w in CHROME or w in PLAIN or w.isdigit() or len(w) == 1 for w in words)
+                found = max(found, 2 if sure and tag not in TEXTUAL else 1)
+    return found
 
 
 def _is_main(tag: str, attributes: str) -> bool:
@@ -96,7 +107,12 @@ def _tags(page: str) -> Iterator[tuple[int, int, int, str, str]]:
 
 
 def blocks(page: str) -> tuple[list[str], bool, list[str]]:
-    """(texts of the page's main blocks in order, whether they are those of its article or main element, texts of its frame).
+    """(texts of the page's main blocks in order, whether they are those of its article or main element, texts of its frame)."""
+    return parts(page)[:3]
+
+
+def parts(page: str) -> tuple[list[str], bool, list[str], list[int]]:
+    """blocks(page), and which of the main blocks a name puts in doubt; other pages of the host tell whether they are boilerplate.
 
     An element that drops its content counts only where it is closed; one that is not, as in a page cut short,
     drops nothing but its tag. Scripts and the like run to their end tag, or else to the end of the page.
@@ -111,13 +127,17 @@ def blocks(page: str) -> tuple[list[str], bool, list[str]]:
     mains = [k for k, (_, _, kind, tag, attributes) in enumerate(tokens) if kind == 1 and _is_main(tag, attributes)]
     holds_main = lambda k: (at := bisect_left(mains, k)) < len(mains) and mains[at] < close_of[k]
     out: dict[str, list[str]] = {"main": [], "plain": [], "frame": []}
-    main_until, frame_until, any_main, last = -1, -1, False, 0
+    doubtful: dict[str, list[int]] = {"main": [], "plain": [], "frame": []}
+    main_until, frame_until, doubt_until, any_main, last = -1, -1, -1, False, 0
     current: list[str] = []
 
     def end_block() -> None:
         if current:
             if text := " ".join(html.unescape("".join(current)).split()):
-                out["frame" if frame_until >= 0 else "main" if main_until >= 0 else "plain"].append(text)
+                to = "frame" if frame_until >= 0 else "main" if main_until >= 0 else "plain"
+                if doubt_until >= 0:
+                    doubtful[to].append(len(out[to]))
+                out[to].append(text)
             current.clear()
 
     for i, (start, end, kind, tag, attributes) in enumerate(tokens):
@@ -127,6 +147,10 @@ def blocks(page: str) -> tuple[list[str], bool, list[str]]:
         if main_until >= 0 and i >= main_until:
             end_block()
             main_until = -1
+        if doubt_until >= 0 and i >= doubt_until:
+            end_block()
+            doubt_until = -1
+        named = _chrome(tag, attributes) if kind == 1 and attributes and frame_until < 0 and i in close_of and tag not in ("html", "body") and not holds_main(i) else 0
         if frame_until >= 0:
             if i >= frame_until:
                 end_block()
@@ -135,54 +159,86 @@ def blocks(page: str) -> tuple[list[str], bool, list[str]]:
                 current.append(" ")
             elif tag and tag not in INLINE:
                 end_block()
-        elif kind == 1 and i in close_of and (tag in DROPPED or attributes and (_is_hidden(attributes) or _is_chrome(attributes) and not holds_main(i))) and tag not in ("html", "body"):
+        elif kind == 1 and i in close_of and (tag in DROPPED or attributes and _is_hidden(attributes) or named == 2) and tag not in ("html", "body"):
             end_block()
             frame_until = close_of[i]
         elif tag == "br":
             current.append(" ")
         elif tag and tag not in INLINE:
             end_block()
+            if named and doubt_until < 0:
+                doubt_until = close_of[i]
             if kind == 1 and main_until < 0 and _is_main(tag, attributes):
                 main_until, any_main = close_of.get(i, len(tokens)), True
     current.append(page[last:])
     end_block()
-    return (out["main"], True, out["plain"] + out["frame"]) if any_main else (out["plain"], False, out["frame"])
+    return (out["main"], True, out["plain"] + out["frame"], doubtful["main"]) if any_main else (out["plain"], False, out["frame"], doubtful["plain"])
+
+
+def _suffixes(rank: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, common prefix of each suffix and the one before it) of texts laid end to end, by doubling until no order is open.
+
+    rank: of each place its symbol, 0 at the end of a text; left: tokens from a place to the end of its text. Suffixes that are equal up to
+    the ends of their texts stand beside each other.
+    """
+    levels, width, classes = [(1, rank.astype(np.int32))], 1, int(rank.max(initial=0)) + 1
+    at = np.arange(len(rank))
+    while True:
+        behind = np.minimum(at + width, at + left)  # the end of its text at most, whose rank is 0
+        pair = rank.astype(np.int64) << 32
+        pair |= rank[behind]
+        _, rank = np.unique(pair, return_inverse=True)
+        width *= 2
+        n = int(rank.max(initial=0)) + 1
+        if n == classes:
+            levels[-1] = (len(rank), levels[-1][1])  # twice the width tells no more apart: what agrees so far agrees up to the end
+            break
+        levels.append((width, rank.astype(np.int32)))
+        classes = n
+    order = np.argsort(rank, kind="stable")
+    # common prefixes from the widths at which both agree, the widest first
+    i, j = order[:-1].copy(), order[1:].copy()
+    common = np.zeros(len(order), np.int64)
+    for width, r in reversed(levels):
+        same = np.flatnonzero((r[i] == r[j]) & (r[i] > 0))
+        step = np.minimum(width, left[i[same]])
+        common[same + 1] += step
+        i[same] += step
+        j[same] += step
+    return order, common
 
 
 def shared_runs(hosts: np.ndarray, texts: list[list[str]], pages: list[list[int]], run: int, least: int) -> list[np.ndarray]:
     """For each text, the places where a run of `run` tokens starts that `least` distinct pages of its host have.
 
-    hosts, pages: of each text its host and pages. The texts are laid end to end; their suffixes are sorted by host and first `run`
-    tokens by doubling, and neighbours that agree so far make a group. A text of fewer tokens is one run of its own length.
+    hosts, pages: of each text its host and pages. The texts are laid end to end, with symbols of their host; suffixes whose common prefix
+    is as long as a run, or reaches the ends of both texts, have the run in common. A text of fewer tokens is one run of its own length.
     """
     size = np.array([max(1, len(t)) for t in texts], np.int64)
     first = np.cumsum(size + 1) - size - 1
     n = int((size + 1).sum())
     number: dict[str, int] = {}
     rank = np.zeros(n, np.int64)  # 0 is the end of a text
-    rank[np.arange(n)[np.isin(np.arange(n), first + size, invert=True)]] = [number.setdefault(w, len(number) + 1) for t in texts for w in t or [""]]
     owner = np.repeat(np.arange(len(size)), size + 1)
+    inside = np.arange(n) - first[owner]
+    left = size[owner] - inside
+    rank[left > 0] = [number.setdefault(w, len(number) + 1) for t in texts for w in t or [""]]
     _, rank = np.unique(rank + (len(number) + 1) * np.unique(hosts, return_inverse=True)[1][owner] * (rank > 0), return_inverse=True)
-    inside, width = np.arange(n) - first[owner], 1
-    while width < run:
-        by = min(width, run - width)
-        pair = rank.astype(np.int64) << 32
-        pair[:-by] |= np.where(inside[:-by] + by <= size[owner[:-by]], rank[by:], 0)  # nothing behind the end of a text counts
-        pair[first + size] = 0
-        _, rank = np.unique(pair, return_inverse=True)
-        width += by
+    order, common = _suffixes(rank, left)
+    new = common < run
+    new[1:] &= (common[1:] < left[order[1:]]) | (left[order[1:]] != left[order[:-1]])
+    group = np.cumsum(new)
     starts = (inside < size[owner]) & (inside <= np.maximum(0, size[owner] - run))
-    order = np.argsort(rank, kind="stable")  # the suffix array, to the depth of a run
-    order = order[starts[order]]
+    group, order = group[starts[order]], order[starts[order]]
     many = np.array([len(p) for p in pages], np.int64)[owner[order]]
     all_pages = np.concatenate([np.asarray(p, np.int64) for p in pages])
     page_from = np.cumsum([0] + [len(p) for p in pages])[owner[order]]
     at = np.repeat(page_from, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    seen = np.unique(np.stack([np.repeat(rank[order], many), all_pages[at]], axis=1), axis=0)[:, 0]
-    shared = np.zeros(int(rank.max(initial=0)) + 1, bool)
+    seen = np.unique(np.stack([np.repeat(group, many), all_pages[at]], axis=1), axis=0)[:, 0]
+    shared = np.zeros(int(group.max(initial=0)) + 1, bool)
     value, count = np.unique(seen, return_counts=True)
     shared[value[count >= least]] = True
-    hit = np.sort(order[shared[rank[order]]])
+    hit = np.sort(order[shared[group]])
     bounds = np.searchsorted(hit, np.append(first, n))
     return [inside[hit[bounds[i] : bounds[i + 1]]] for i in range(len(texts))]
 
@@ -275,11 +331,12 @@ def _and_end(batches: Iterator) -> Iterator:
 def extract(pages: DataFrame, run: int = 8, shared_pages: int = 3, array_tokens: int = 2_000_000, broadcast_rows: int = 500_000) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html; more columns are ignored).
 
-    Runs of `run` tokens that `shared_pages` distinct pages of a host have in their frames, or anywhere on pages without an
-    article or main element, are boilerplate (a block of fewer tokens as a whole), and pages without such an element lose them. An article
-    stays whole whatever its host repeats, as does the longest block of any other page, its main body: so an article at several
-    addresses, and a line that articles and frames both have, are kept. Pages of a host with equal blocks count as one. A
-    host whose streams have more than `array_tokens` tokens is dealt to several arrays.
+    Runs of `run` tokens that `shared_pages` distinct pages of a host have in their frames or doubtful blocks, or anywhere on pages
+    without an article or main element, are boilerplate (a block of fewer tokens as a whole). Pages without such an element lose them, and
+    so do the blocks of an article that a class or id puts in doubt. The rest of an article stays whole whatever its host repeats, as does the
+    longest block of any other page (one in no doubt, if there is one), its main body: so an article at several addresses, and a line that
+    articles and frames both have, are kept. Pages of a host with equal blocks count as one. A host whose streams have more than
+    `array_tokens` tokens is dealt to several arrays.
 
     Null or empty html gives an empty text. Repeated rows and rows without page_id or url are kept, each for itself; an empty
     table gives no rows. Sides are broadcast only after they were counted as at most `broadcast_rows` rows.
@@ -289,18 +346,22 @@ def extract(pages: DataFrame, run: int = 8, shared_pages: int = 3, array_tokens:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = list(zip(*[blocks(h) for h in b.column(2).to_pylist()], strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found[0], pa.list_(pa.string())), pa.array(found[1], pa.bool_()), pa.array(found[2], pa.list_(pa.string()))], names=["page_id", "url", "blocks", "marked", "frame"])
+            found = list(zip(*[parts(h) for h in b.column(2).to_pylist()], strict=True)) or [[]] * 4
+            types = [pa.list_(pa.string()), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, found, types)], names=["page_id", "url", "blocks", "marked", "frame", "doubtful"])
 
-    parsed = pages.mapInArrow(releasing(parse), "page_id long, url string, blocks array<string>, marked boolean, frame array<string>")
+    parsed = pages.mapInArrow(releasing(parse), "page_id long, url string, blocks array<string>, marked boolean, frame array<string>, doubtful array<int>")
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
     parsed = cut(parsed.withColumn("row", F.monotonically_increasing_id()).withColumn("host", host).withColumn("page", F.xxhash64("host", "blocks")))
     key = [F.xxhash64("host", "text").alias("h1"), F.xxhash64(F.lit("second"), "host", "text").alias("h2")]
-    streams = parsed.select("host", "page", F.explode(F.when(F.col("marked"), F.col("frame")).otherwise(F.concat("blocks", "frame"))).alias("text")).select("host", "page", "text", *key)
+    doubted = F.transform("doubtful", lambda i: F.get("blocks", i))
+    streams = parsed.select("host", "page", F.explode(F.concat(F.when(F.col("marked"), doubted).otherwise(F.col("blocks")), "frame")).alias("text")).select("host", "page", "text", *key)
     gone = boilerplate(streams, run, shared_pages, array_tokens, broadcast_rows)
-    longest = F.transform("blocks", F.length)
+    sure = F.size("doubtful") < F.size("blocks")
+    longest = F.transform("blocks", lambda b, i: F.when(sure & F.array_contains("doubtful", i), -1).otherwise(F.length(b)))
     body = F.array_position(longest, F.array_max(longest)) - 1
-    own = parsed.where("NOT marked").select("row", "host", body.alias("body"), F.posexplode("blocks").alias("i", "text")).where("i <> body")
+    own = parsed.where("NOT marked OR size(doubtful) > 0").select("row", "host", "marked", "doubtful", body.alias("body"), F.posexplode("blocks").alias("i", "text"))
+    own = own.where("IF(marked, array_contains(doubtful, i), i <> body)")
     hits = own.select("row", "host", "i", *key).join(small(gone), KEYS)
     hits = cut(hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("i", "kept"))).alias("gone")))
     left = F.transform("blocks", lambda b, i: F.coalesce(F.try_element_at("gone", i), b))

@@ -826,6 +826,36 @@ def test_frames_of_articles_are_boilerplate_elsewhere(spark):
     assert all(quote in t for t in got.values()) and box in got[0] and box not in got[8] and box in got[9] and "page number 8" in got[8]
 
 
+def test_suffixes_and_common_prefixes():
+    """The whole order and every common prefix, of texts with long repeats and equal ends, against plain comparison."""
+    rng = random.Random(33)
+    for _ in range(30):
+        texts = [[rng.randint(1, 3) for _ in range(rng.randint(1, 25))] for _ in range(6)]
+        texts += [texts[0][3:] + texts[1], texts[2], texts[1] * 4]
+        flat = [x for t in texts for x in [*t, 0]]
+        left = [k for t in texts for k in range(len(t), -1, -1)]
+        order, common = html_extract._suffixes(np.array(flat), np.array(left))
+        own = [flat[i : i + left[i]] for i in order]
+        assert own == sorted(own) and sorted(order) == list(range(len(flat)))
+        for a, b, n in zip(own, own[1:], common[1:], strict=False):
+            assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
+
+
+def test_names_only_propose_and_the_host_decides(spark):
+    """A class word inside an article's own names takes no text; what three pages of the host repeat in such blocks goes, from articles too."""
+    odd = ('<p class="share-price">the price of a share rose {}</p>', '<p class="ad-hoc">an ad hoc meeting took place {}</p>', '<h2 class="header">The second part of it {}</h2>', '<blockquote class="social">they said so themselves {}</blockquote>', '<div id="comment-policy-history"><p>how the policy came about {}</p></div>')
+    for x in odd:
+        assert html_extract.blocks(f"<article><p>a</p>{x}</article>")[0] == ["a", re.sub("<[^>]*>", "", x)]
+    assert html_extract.blocks('<article>a<div class="comment-list">b</div><p class="ad">c</p><div id="userComments">d</div></article>')[0] == ["a"]
+    box = '<div class="promo-of-today">all that you ever wanted to know about our great offers of this day</div>'
+    rows = [(i, "http://a.org/x", f"<article><p>story number {i}</p>{''.join(odd).replace('{}', f'n{i}')}{box}</article>") for i in range(4)] + [(9, "http://b.org/", f"<article><p>story</p>{box}</article>")]
+    rows += [(20 + i, "http://c.org/x", f"<p>page number {i} has a text</p><div class='promo-of-{i}'>an offer {i} that is longer than all of the text that the page has</div>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert got[i] == f"story number {i} " + " ".join(re.sub("<[^>]*>", "", x).format(f"n{i}") for x in odd)
+    assert got[9].startswith("story all that you") and all(got[20 + i].startswith(f"page number {i} has a text an offer") for i in range(2))
+
+
 def test_markup_of_any_length_in_linear_time():
     alt = "x > <article>" * 12_000
     assert html_extract.blocks(f'<p>a<img alt="{alt}">b</p>')[0] == ["a", "b"]
