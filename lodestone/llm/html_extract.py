@@ -4,7 +4,7 @@ Structure splits a page into the blocks of its article (or, where it names none,
 rest, its frame. Class and id names that only hold a word for such things put a block in doubt. The token streams of a host's pages,
 frames and doubtful blocks everywhere and the whole of pages without an article, are laid end to end; their suffix array and its common
 prefixes give the runs that several distinct pages share: boilerplate. Doubtful blocks and pages without an article lose it; unique
-runs stay. A host of any size is dealt to as many arrays as its tokens need.
+runs stay. A host of any size is dealt to as many arrays as its tokens need, and runs around an anchor too frequent for an array are counted.
 """
 
 from __future__ import annotations
@@ -258,6 +258,8 @@ def segments(words: list[str], run: int, gram: int = 4) -> Iterator[tuple[int, i
 
 
 KEYS = ["host", "h1", "h2"]
+#: A part of so many times an array's tokens holds an anchor that very many texts share; its runs are counted one by one instead.
+HOT = 8
 PART = "host long, part long, h1 long, h2 long, start int, pages array<long>, text string"
 
 
@@ -268,7 +270,8 @@ def boilerplate(streams: DataFrame, run: int, least: int, array_tokens: int, bro
     few = once.withColumn("k", F.row_number().over(W.partitionBy(*KEYS).orderBy("page"))).where(F.col("k") <= least)
     texts = cut(few.groupBy(*KEYS).agg(F.collect_list("page").alias("pages"), F.first("text").alias("text")))
     sizes = cut(texts.groupBy("host").agg(F.ceil(F.sum(F.size(F.split("text", " "))) / array_tokens).cast("long").alias("parts")).where("parts > 1"))
-    sizes = F.broadcast(sizes) if sizes.count() <= broadcast_rows else sizes
+    large = sizes.count()
+    sizes = F.broadcast(sizes) if large <= broadcast_rows else sizes
     dealt = texts.join(sizes, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,6 +287,16 @@ def boilerplate(streams: DataFrame, run: int, least: int, array_tokens: int, bro
             types = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int64()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=names)
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 100):
+            out = []
+            for r in b.to_pylist():
+                words = r["text"].split(" ")
+                each = [" ".join(words[k : k + run]) for k in range(max(1, len(words) - run + 1))]
+                out += [(r["host"], xxhash.xxh64_intdigest(w, 1) - (1 << 63), xxhash.xxh64_intdigest(w, 2) - (1 << 63), r["h1"], r["h2"], r["start"] + k, r["pages"]) for k, w in enumerate(each)]
+            types = [pa.int64()] * 5 + [pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=["host", "w1", "w2", "h1", "h2", "at", "pages"])
+
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tokens, last = [], 0, None
         for b in _and_end(batches):
@@ -306,7 +319,20 @@ def boilerplate(streams: DataFrame, run: int, least: int, array_tokens: int, bro
 
     n = int(streams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parted = dealt.select(*KEYS, "pages", "text", "parts").mapInArrow(releasing(deal), PART)
+    found = None
+    if large:
+        hot = parted.groupBy("host", "part").agg(F.sum(F.size(F.split("text", " "))).alias("tokens")).where(F.col("tokens") > HOT * array_tokens)
+        hot = cut(hot.select("host", "part"))
+        if n_hot := hot.count():
+            hot = F.broadcast(hot) if n_hot <= broadcast_rows else hot
+            each = parted.join(hot, ["host", "part"]).select("host", "h1", "h2", "start", "pages", "text").mapInArrow(releasing(windows), "host long, w1 long, w2 long, h1 long, h2 long, at int, pages array<long>")
+            own = each.select("host", "w1", "w2", F.explode("pages").alias("page")).distinct()
+            own = own.withColumn("k", F.row_number().over(W.partitionBy("host", "w1", "w2").orderBy("page"))).where(F.col("k") <= least)
+            shared = own.groupBy("host", "w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+            found = each.join(shared, ["host", "w1", "w2"]).groupBy(*KEYS).agg(F.collect_list("at").alias("starts"))
+            parted = parted.join(hot, ["host", "part"], "left_anti").select(parted.columns)
     covers = parted.repartition(n, "host", "part").sortWithinPartitions("host", "part").mapInArrow(releasing(arrays), "host long, h1 long, h2 long, starts array<int>")
+    covers = covers if found is None else covers.unionByName(found)
     covers = covers.groupBy(*KEYS).agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

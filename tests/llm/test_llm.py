@@ -826,6 +826,22 @@ def test_frames_of_articles_are_boilerplate_elsewhere(spark):
     assert all(quote in t for t in got.values()) and box in got[0] and box not in got[8] and box in got[9] and "page number 8" in got[8]
 
 
+def test_runs_around_a_hot_anchor(spark, monkeypatch):
+    """Texts that share one anchor are no single array; their runs, counted one by one, are those that one array finds."""
+    rng = random.Random(34)
+    menus = [" ".join(["la"] * 9 + [f"m{k}"] * 9) for k in range(3)]
+    rows = [(i, "http://a.org/x", f"<p>{' '.join(['la'] * rng.randint(1, 40) + [f'u{i}'])}</p><p>{menus[i % 3]} t{i}</p><p>{f'body{i} ' * 90}</p><p>of {i % 20}</p>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = lambda tokens: {r["page_id"]: r["text"] for r in html_extract.extract(df, array_tokens=tokens).collect()}
+    want, counted = text(2_000_000), []
+    assert all(f"t{i}" in t and "m1 m1" not in t for i, t in want.items())
+    monkeypatch.setattr(html_extract, "cut", lambda d, cut=html_extract.cut: counted.append(d.columns == ["host", "part"]) or cut(d))
+    for hot in (8, 0):
+        monkeypatch.setattr(html_extract, "HOT", hot)
+        assert text(20) == want
+    assert sum(counted) == 2
+
+
 def test_suffixes_and_common_prefixes():
     """The whole order and every common prefix, of texts with long repeats and equal ends, against plain comparison."""
     rng = random.Random(33)
