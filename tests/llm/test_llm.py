@@ -561,6 +561,69 @@ def test_repeats_in_a_small_alphabet(spark):
     assert Counter(tuple(x) for x in suffix_dedup.remove_repeats(df, bucket_docs=5, common=3).collect()) == plain_removal(rows)
 
 
+def test_few_suffixes_of_repeated_passages_are_sorted(monkeypatch):
+    """A passage between the same neighbours, or strings that only one smallest document has, need no sorting; where only a part repeats, bytes decide."""
+    r = random.Random(12)
+    word = lambda n: bytes(r.choice(b"abcdefghij ") for _ in range(n))
+    body = word(60)
+    segs = [word(r.randint(60, 90)) for _ in range(3000)] + [word(20) + body[k : k + 55] for k in range(5) for _ in range(2)] + [b"ab" * 40, b"ab" * 45]
+    size, low = np.array([len(s) for s in segs]), np.array([r.randrange(900) for _ in segs])
+    first: dict[bytes, int] = {}
+    for s, d in zip(segs, low.tolist(), strict=True):
+        for k in range(len(s) - 49):
+            first[s[k : k + 50]] = min(first.get(s[k : k + 50], d), d)
+    want = [first[s[k : k + 50]] for s in segs for k in range(len(s) - 49)]
+    seen, sort = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda t, *a: seen.append(len(t)) or sort(t, *a))
+    text = np.frombuffer(b"".join(segs), np.uint8)
+    assert suffix_dedup.smallest_of_segments(text, size, low, 50).tolist() == want
+    assert 0 < sum(seen) < len(text) / 50
+    monkeypatch.setattr(suffix_dedup, "window_hashes", lambda a, width: np.zeros(len(a) - width + 1, np.uint64))  # hashes that tell nothing apart
+    assert suffix_dedup.smallest_of_segments(text, size, low, 50).tolist() == want and sum(seen) > len(text)
+
+
+def test_segments_share_anchors_by_repeats_not_by_chance():
+    """Of prose from few words many 16-byte grams recur; the segments compared are those with a repeated string, at any place of a long text."""
+    r = random.Random(13)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(60)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n)).encode()
+    passage = prose(30)
+    texts = [prose(400) for _ in range(60)] + [b"", b"short", prose(25_000) + passage + prose(40), prose(25_000) + passage + prose(3)]
+    start, n, anchor, row = suffix_dedup.segments(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), 50)
+    begin = np.cumsum([0, *(len(t) for t in texts)])
+    assert [int(n[row == k].sum()) for k in range(len(texts))] == [max(0, len(t) - 49) for t in texts]
+    of: dict[bytes, set] = {}
+    for s, c, a, k in zip(start.tolist(), n.tolist(), anchor.tolist(), row.tolist(), strict=True):
+        for x in range(s - begin[k], s - begin[k] + c):
+            of.setdefault(texts[k][x : x + 50], set()).add(a)
+    assert all(len(a) == 1 for a in of.values())  # equal strings meet
+    known: dict[int, set] = {}
+    for a, k in zip(anchor.tolist(), row.tolist(), strict=True):
+        known.setdefault(a, set()).add(k)
+    assert sum(c for c, a in zip(n.tolist(), anchor.tolist(), strict=True) if len(known[a]) > 1) < n.sum() / 10
+
+
+def test_blobs_of_repeats_grow_little_faster_than_the_input():
+    """Buckets times shards, at 600 partitions for 6 GB of Parquet; and shards that fit a worker whatever the session's partitions."""
+    docs, size = 3_000_000, 10 << 30
+    tasks, shards, buckets = suffix_dedup._numbers(docs, size, 600, 4000)
+    assert shards * buckets <= 1_000_000 and buckets >= tasks
+    for parts in (1, 8, 200):
+        tasks, shards, buckets = suffix_dedup._numbers(docs, size, parts, 4000)
+        assert size / tasks <= 32 << 20 and size / shards <= 12 << 20 and size / buckets <= 16 << 20
+    assert suffix_dedup._numbers(0, 0, 8, 4000)[2] == 1
+
+
+def test_repeats_of_copies_beyond_a_broadcast(spark):
+    """Copies of texts, joined and broadcast: rows that share a doc_id, null and short texts among them."""
+    r = random.Random(14)
+    pool = [None, "", "x" * 49, *("".join(r.choice("abc") for _ in range(120)) for _ in range(4))]
+    rows = [(r.choice([None, *range(30)]), r.choice(pool)) for _ in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (0, 1000):
+        assert Counter(tuple(x) for x in suffix_dedup.remove_repeats(df, bucket_docs=5, broadcast_rows=limit).collect()) == plain_removal(rows)
+
+
 # 8
 def check_shards(got, rows, shards=8):
     sizes = Counter(r["shard"] for r in got)
